@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, quality, secrets, sharding
+from . import bpe, exact_dedup, packing, quality, secrets, sharding
 from . import simhash as sim
 from .common import documents
 
@@ -36,6 +36,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, secrets.BASE), F.sha2(secrets.span_text(secrets.BASE), 256).alias("base_sha256"), secrets.span_text().alias("spans"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), packing.Capacity(tokens=1024), end=2)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_by_bytes(documents(spark, sf_dir), SHARDS)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
     "op3_secrets": op3_secrets,
+    "op5_packing": op5_packing,
     "op6_sharding": op6_sharding,
     "op8_quality": op8_quality,
     "op9_exact_dedup": op9_exact_dedup,
