@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, by_slices, keyed_text, stored
+from .common import SPACE, by_slices, dropped, keyed_text, stored
 
 #: Words of the run whose hash selects a place.
 SEED = 16
@@ -95,102 +95,143 @@ def suffixes(texts: DataFrame, least: int, seed: int) -> DataFrame:
     return texts.mapInArrow(by_slices(each), "key long, order int, doc long, start int")
 
 
-LINK = "a long, b long, shift long, key long, doc long, start int"
+LINK = "a long, b long, shift long, at long, key long, doc long, start int"
+_LINK = [c.split()[0] for c in LINK.split(", ")]
 
 
 def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates (a, b, shift: words of a's place past b's) from a task's sorted suffixes; also, of the first and last key
-    of the task, which other tasks may go on with, the suffix of the smallest document (key, doc, start)."""
-    last = least = None  # rows (key, doc, start): the one before, and the key's smallest so far
+    """Candidates (a, b, shift: words of a's place past b's, at: a's place) from a task's sorted suffixes; also, of the first and last key
+    of the task, which other tasks may go on with, the suffix of the smallest document (key, doc, start).
+
+    Suffixes that go on alike are neighbours, the smallest document first: each of them is compared with that one, and these
+    first ones with the smallest document of the whole run so far.
+    """
+    head = least = None  # rows (key, order, doc, start): the first that goes on like this, and the key's smallest so far
     first_key, ends = None, {}
     for batch in batches:
-        key, doc, start = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3))
+        key, order, doc, start = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
         if not len(key):
             continue
         if first_key is None:
             first_key = int(key[0])
-        same = np.r_[last is not None and last[0] == key[0], key[1:] == key[:-1]]
+        same = np.r_[least is not None and least[0] == key[0], key[1:] == key[:-1]]
         rows = np.flatnonzero(same | np.r_[same[1:], True] | (np.arange(len(key)) == 0))
-        links = []
-        for k, d, s in zip(key[rows].tolist(), doc[rows].tolist(), start[rows].tolist()):
-            row = (k, d, s)
-            if last is not None and last[0] == k:
-                for other in {last, least}:
-                    if other[1] != d:
-                        links.append((d, other[1], s - other[2]) if d > other[1] else (other[1], d, other[2] - s))
-                least = min(least, row)
-            else:
-                if last is not None and last[0] == first_key:
+        links = set()
+        for k, o, d, s in zip(key[rows].tolist(), order[rows].tolist(), doc[rows].tolist(), start[rows].tolist()):
+            if least is None or least[0] != k:
+                if least is not None and least[0] == first_key:
                     ends[first_key] = least
-                least = row
-            last = row
+                head = least = (k, o, d, s)
+                continue
+            other = head if head[1] == o else least
+            if other[2] != d:
+                links.add((d, other[2], s - other[3], s) if d > other[2] else (other[2], d, other[3] - s, other[3]))
+            if head[1] != o:
+                head = (k, o, d, s)
+            if (d, s) < least[2:]:
+                least = (k, o, d, s)
         if links:
-            a, b, shift = (pa.array(x, pa.int64()) for x in zip(*set(links)))
-            none = pa.nulls(len(a), pa.int64())
-            yield pa.RecordBatch.from_arrays([a, b, shift, none, none, pa.nulls(len(a), pa.int32())], ["a", "b", "shift", "key", "doc", "start"])
-    if last is not None:
-        ends[last[0]] = least
-        key, doc, start = zip(*ends.values())
+            columns = [pa.array(x, pa.int64()) for x in zip(*links)]
+            none = pa.nulls(len(links), pa.int64())
+            yield pa.RecordBatch.from_arrays([*columns, none, none, pa.nulls(len(links), pa.int32())], _LINK)
+    if least is not None:
+        ends[least[0]] = least
+        key, _, doc, start = zip(*ends.values())
         none = pa.nulls(len(key), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int32())], ["a", "b", "shift", "key", "doc", "start"])
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int32())], _LINK)
 
 
 def candidates(texts: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame:
-    """Distinct a, b, shift: documents a > b that share a run of words, with a's place `shift` words past b's."""
+    """a, b, shift, first, last: documents a > b that share runs of words, with a's place `shift` words past b's, and the
+    first and last of the places in a where such a run starts."""
     kept = stored(suffixes(texts, least, seed))
     order = ["key", "order", "doc", "start"]
     ranged = kept.repartitionByRange(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
     found = stored(ranged.mapInArrow(neighbours, LINK))
+    dropped(texts.sparkSession, kept)
     # Keys that go on in the next task: a row or two of each task.
     ends = found.where("key IS NOT NULL").select("key", "doc", "start")
     first = ends.groupBy("key").agg(F.min(F.struct("doc", "start")).alias("m"), F.count("*").alias("n")).where("n > 1")
-    across = ends.join(first, "key").where("doc > m.doc").select(F.col("doc").alias("a"), F.col("m.doc").alias("b"), (F.col("start") - F.col("m.start")).cast("long").alias("shift"))
-    return found.where("key IS NULL").select("a", "b", "shift").union(across).distinct()
+    shift = (F.col("start") - F.col("m.start")).cast("long")
+    across = ends.join(first, "key").where("doc > m.doc").select(F.col("doc").alias("a"), F.col("m.doc").alias("b"), shift.alias("shift"), F.col("start").cast("long").alias("at"))
+    links = found.where("key IS NULL").select("a", "b", "shift", "at").union(across)
+    return links.groupBy("a", "b", "shift").agg(F.min("at").alias("first"), F.max("at").alias("last"))
 
 
 def stretches(words: list[bytes], other: list[bytes], shift: int, least: int) -> list[tuple[int, int]]:
     """Start and end, in words, of the stretches of at least `least` words where words[i] is other[i - shift]."""
     begin, end = max(0, shift), min(len(words), len(other) + shift)
     out, at = [], begin
-    for i in range(begin, end):
-        if words[i] != other[i - shift]:
+    for i, (x, y) in enumerate(zip(words[begin:end], other[begin - shift : end - shift]), begin):
+        if x != y:
             if i - at >= least:
                 out.append((at, i))
             at = i + 1
     return out + [(at, end)] * (end - at >= least)
 
 
-FOUND = "row long, other long, start int, end int, start_char int, end_char int, repeat boolean"
+FOUND = "row long, other long, start int, end int, repeat boolean"
 
 
 def compared(pairs: DataFrame, least: int) -> DataFrame:
-    """Each stretch, in both documents; pairs: a, a_text, b, b_text, shift."""
+    """Each stretch, in both documents; pairs: a, b, shift, a_part and b_part (words joined by spaces), a_from and b_from
+    (the places of their first words)."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        a, a_text, b, b_text, shift = (batch.column(i).to_pylist() for i in range(5))
-        for x, tx, y, ty, s in zip(a, a_text, b, b_text, shift):
-            runs = stretches(tx.encode().split(), ty.encode().split(), s, least)
-            if runs:
-                px, py = ([m.span() for m in WORD.finditer(t)] for t in (tx, ty))
-                for i, j in runs:
-                    out.append((x, y, i, j, px[i][0], px[j - 1][1], True))
-                    out.append((y, x, i - s, j - s, py[i - s][0], py[j - s - 1][1], False))
-        kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.bool_()]
-        columns = list(zip(*out)) or [[]] * 7
+        for x, y, shift, a_part, a_from, b_part, b_from in zip(*(batch.column(i).to_pylist() for i in range(7))):
+            for i, j in stretches(a_part.encode().split(), b_part.encode().split(), shift - a_from + b_from, least):
+                out.append((x, y, i + a_from, j + a_from, True))
+                out.append((y, x, i + a_from - shift, j + a_from - shift, False))
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+        columns = list(zip(*out)) or [[]] * 5
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [c.split()[0] for c in FOUND.split(", ")])
 
-    return pairs.select("a", "a_text", "b", "b_text", "shift").mapInArrow(by_slices(each), FOUND)
+    return pairs.select("a", "b", "shift", "a_part", "a_from", "b_part", "b_from").mapInArrow(by_slices(each), FOUND)
+
+
+def with_parts(links: DataFrame, texts: DataFrame, least: int, seed: int) -> DataFrame:
+    """links with what is to be compared of both texts: from `least` words before the first shared run to as many after the
+    last. Longer passages have more shared runs, so the stretches found from these join."""
+    run = seed + (least - seed + 1) // 2
+    out = links
+    for side, moved in (("a", F.lit(0)), ("b", F.col("shift"))):
+        begin = F.greatest(F.lit(0), F.col("first") - moved - least)
+        size = F.col("last") - moved + run + least - begin
+        words = F.array_remove(F.split("text", SPACE + "+"), "")
+        part = F.array_join(F.slice(words, (begin + 1).cast("int"), size.cast("int")), " ")
+        joined = out.join(texts.select(F.col("doc_id").alias(side), "text"), side)
+        out = joined.select(*out.columns, part.alias(f"{side}_part"), begin.alias(f"{side}_from"))
+    return out
+
+
+def with_characters(spans: DataFrame, texts: DataFrame) -> DataFrame:
+    """spans (row, other, start, end, repeat) with the code points where their words start and end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, places = None, []
+        for batch in batches:
+            start_char, end_char = [], []
+            for k, (row, start, end) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)))):
+                if row != last:
+                    last, places = row, [m.span() for m in WORD.finditer(batch.column(5)[k].as_py())]
+                start_char.append(places[start][0])
+                end_char.append(places[end - 1][1])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(start_char, pa.int32()), pa.array(end_char, pa.int32())], [*batch.schema.names[:5], "start_char", "end_char"])
+
+    of = texts.select(F.col("doc_id").alias("row"), "text")
+    return spans.join(of, "row").select("row", "other", "start", "end", "repeat", "text").mapInArrow(run, FOUND + ", start_char int, end_char int")
 
 
 def joined_spans(spans: DataFrame) -> DataFrame:
     """Spans of one row and kind that touch or overlap, as one; other: the smallest of theirs."""
-    spans = spans.groupBy("row", "repeat", "start", "end", "start_char", "end_char").agg(F.min("other").alias("other"))
+    spans = spans.groupBy("row", "repeat", "start", "end").agg(F.min("other").alias("other"))
     by = Window.partitionBy("row", "repeat").orderBy("start", "end")
     before = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
     marked = spans.withColumn("new", F.coalesce((F.col("start") > before).cast("int"), F.lit(1)))
     islands = marked.withColumn("island", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy("row", "repeat", "island").agg(*(f(c).alias(c) for f, c in ((F.min, "start"), (F.max, "end"), (F.min, "start_char"), (F.max, "end_char"), (F.min, "other")))).drop("island")
+    joined = islands.groupBy("row", "repeat", "island").agg(F.min("other").alias("other"), F.min("start").alias("start"), F.max("end").alias("end"))
+    return joined.select("row", "other", "start", "end", "repeat")
 
 
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, seed: int = SEED) -> DataFrame:
@@ -207,10 +248,8 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if texts.groupBy("doc_id").count().where("count > 1").limit(1).count():
         texts = texts.groupBy("doc_id").agg(F.max("text").alias("text"))
     links = stored(candidates(texts, least, seed))
-    a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text"))
-    b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text"))
-    spans = compared(links.join(a, "a").join(b, "b"), least)
-    found = joined_spans(spans)
+    spans = joined_spans(compared(with_parts(links, texts, least, seed), least))
+    found = with_characters(spans, texts)
     return found.select(F.col("row").alias("doc_id"), "start", "end", "start_char", "end_char", F.col("other").alias("other_doc_id"), "repeat")
 
 
