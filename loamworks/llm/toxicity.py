@@ -13,7 +13,6 @@ import io
 import math
 import re
 import zlib
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -96,25 +95,27 @@ def marginals(emissions: list[np.ndarray], change: np.ndarray, first: float) ->
     return out
 
 
-def telling_words(docs: list[list[str]], toxic: np.ndarray) -> set[str]:
-    """Words whose documents are toxic far beyond the share of toxic ones; documents alike but for a few words count once."""
-    sets = [set(d) for d in docs]
-    seen, keep = set(), []
-    for i, words in enumerate(sets):
-        mark = tuple(sorted(zlib.crc32(w.encode()) for w in words)[:3])
-        if mark not in seen:
-            seen.add(mark)
-            keep.append(i)
-    bad, good = Counter(w for i in keep if toxic[i] for w in sets[i]), Counter(w for i in keep if not toxic[i] for w in sets[i])
-    share = sum(bool(toxic[i]) for i in keep) / max(1, len(keep))
-    if not 0 < share < 1:
-        return set()
-
-    def ratio(a: int, b: int) -> float:
-        n = a + b
-        return 2 * ((a * math.log(a / (n * share)) if a else 0) + (b * math.log(b / (n * (1 - share))) if b else 0))
+def telling_words(docs: list[np.ndarray], marks: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Of each word of the vocabulary, whether its documents are toxic far beyond the share of toxic ones.
 
-    return {w for w, a in bad.items() if a >= LEAST_SHARE * (a + good[w]) and ratio(a, good[w]) >= LEAST_RATIO}
+    docs: each one's distinct words, as numbers; marks: a hash of each word. Documents whose three least marks are the same
+    (alike but for a few words) count once.
+    """
+    seen: set[tuple[int, ...]] = set()
+    bad, good, n_bad, n_good = np.zeros(len(marks)), np.zeros(len(marks)), 0, 0
+    for words, is_toxic in zip(docs, toxic):
+        least = tuple(np.sort(marks[words])[:3].tolist())
+        if least in seen:
+            continue
+        seen.add(least)
+        n_bad, n_good = n_bad + is_toxic, n_good + (not is_toxic)
+        (bad if is_toxic else good)[words] += 1
+    share = n_bad / max(1, n_bad + n_good)
+    if not 0 < share < 1:
+        return np.zeros(len(marks), bool)
+    n = np.maximum(bad + good, 1)
+    ratio = 2 * (bad * np.log(np.maximum(bad, 1) / (n * share)) + good * np.log(np.maximum(good, 1) / (n * (1 - share))))
+    return (bad >= LEAST_SHARE * n) & (bad > 0) & (ratio >= LEAST_RATIO)
 
 
 def document_features(prob: np.ndarray) -> tuple[float, float, float]:
@@ -127,39 +128,35 @@ def document_features(prob: np.ndarray) -> tuple[float, float, float]:
 def fit(texts: list[str], labels: list[int], epochs: int = 4, rate: float = 0.5, penalty: float = 1e-6) -> Model:
     """The field and the document model, from labelled texts. Without texts, or with one label only, every score is even
     or near that label's share."""
-    docs, toxic = [WORD.findall(t.lower()) for t in texts], np.array(labels, bool)
-    telling = telling_words(docs, toxic)
+    numbers: dict[str, int] = {}
+    docs = [np.array([numbers.setdefault(w, len(numbers)) for w in WORD.findall(t.lower())], np.int32) for t in texts]
+    toxic = np.array(labels, bool)
+    feature = np.array([features(w) for w in numbers], np.int32).reshape(-1, 3)
+    telling = telling_words([np.unique(d) for d in docs], feature[:, 0].astype(np.int64), toxic)
+    del numbers
     weights, change, first = np.zeros(BUCKETS), np.zeros((2, 2)), 0.0
     squares = np.full(BUCKETS, 1e-3), np.full((2, 2), 1e-3)
-    known: dict[str, tuple[int, int, int]] = {}
-    ids, tags = [], []
-    for words, bad in zip(docs, toxic):
-        for at in range(0, len(words), WINDOW):
-            part = words[at : at + WINDOW]
-            ids.append(np.array([known.get(w) or known.setdefault(w, features(w)) for w in part]))
-            tags.append(np.array([bad and w in telling for w in part], np.int64))
+    parts = [(d[at : at + WINDOW], bad) for d, bad in zip(docs, toxic) for at in range(0, len(d), WINDOW)]
     rng = np.random.default_rng(0)
-    for _ in range(epochs if telling else 0):
-        for batch in np.array_split(rng.permutation(len(ids)), max(1, len(ids) // 512)):
-            emit = [weights[ids[i]].sum(1) for i in batch]
-            probs = marginals(emit, change, first)
-            grad = np.concatenate([tags[i] for i in batch]) - np.concatenate(probs)
-            feature = np.concatenate([ids[i] for i in batch])
-            g = np.bincount(feature.ravel(), np.repeat(grad, 3), BUCKETS) - penalty * weights
+    for _ in range(epochs if telling.any() else 0):
+        for batch in np.array_split(rng.permutation(len(parts)), max(1, len(parts) // 512)):
+            ids = [parts[i][0] for i in batch]
+            tags = [telling[d] & parts[i][1] for d, i in zip(ids, batch)]
+            probs = marginals([weights[feature[d]].sum(1) for d in ids], change, first)
+            grad = np.concatenate(tags).astype(float) - np.concatenate(probs)
+            g = np.bincount(feature[np.concatenate(ids)].ravel(), np.repeat(grad, 3), BUCKETS) - penalty * weights
             squares[0][:] += g * g
             weights += rate * g / np.sqrt(squares[0])
             # Transitions, from expected and seen pairs of tags (a pair's expectation as the product of its marginals).
             gc = np.zeros((2, 2))
-            for i, p in zip(batch, probs):
-                for a in (0, 1):
-                    for b in (0, 1):
-                        pa_, pb = (p[:-1] if a else 1 - p[:-1]), (p[1:] if b else 1 - p[1:])
-                        gc[a, b] += ((tags[i][:-1] == a) & (tags[i][1:] == b)).sum() - (pa_ * pb).sum()
+            for t, p in zip(tags, probs):
+                seen, expected = np.array([~t, t], float), np.array([1 - p, p])
+                gc += seen[:, :-1] @ seen[:, 1:].T - expected[:, :-1] @ expected[:, 1:].T
             squares[1][:] += gc * gc
             change = np.clip(change + 0.1 * rate * gc / np.sqrt(squares[1]), -4, 4)
-    emit = [weights[np.array([known[w] for w in d], np.int64).reshape(-1, 3)].sum(1) for d in docs]
-    x = np.array([document_features(p) for p in marginals(emit, change, first)]).reshape(-1, 3)
-    return Model(weights, change, first, logistic(x, toxic.astype(float)))
+    word = weights[feature].sum(1)
+    x = [document_features(marginals([word[d]], change, first)[0]) for d in docs]
+    return Model(weights, change, first, logistic(np.array(x).reshape(-1, 3), toxic.astype(float)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 50) -> np.ndarray:
