@@ -169,7 +169,10 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     total, seen = document_frequency(rows.select("text"))
     inverse = np.log((1 + total) / (1 + seen)) + 1
     at = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = rows.select("doc_id", "lang", at.alias("at")).where(F.col("at") <= per_language).select(F.col("doc_id").alias("of"), F.col("lang").alias("of_lang")).distinct()
+    # Of a language's rows those of small hashes are ranked: somewhat more than are wanted, however many there are.
+    share = rows.groupBy("lang").agg(F.least(F.lit(1.0), (1.2 * per_language + 300) / F.count("*")).alias("share")).withColumnRenamed("lang", "l")
+    few = rows.select("doc_id", "lang").join(F.broadcast(share), F.col("lang") == F.col("l")).where(F.xxhash64("doc_id") <= F.col("share") * 2.0**64 - 2.0**63)
+    chosen = few.select("doc_id", "lang", at.alias("at")).where(F.col("at") <= per_language).select(F.col("doc_id").alias("of"), F.col("lang").alias("of_lang")).distinct()
     short = rows.where(F.octet_length("text") <= LONGEST)
     picked = short.join(F.broadcast(chosen), (F.col("doc_id") == F.col("of")) & (F.col("lang") == F.col("of_lang")))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
