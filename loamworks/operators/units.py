@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 def chunk_lines(lines: list[str], cap: int, overlap: int) -> list[tuple[int, int]]:
     """First and past-the-last line of each chunk of at most cap bytes (one line may be more).
 
-    The next chunk begins with as many of the last one's lines as make `overlap` bytes, though at least one line is new.
+    The next chunk begins with as many of the last one's lines as make `overlap` bytes, but never with its first one.
     """
     sizes, out, first = [len(x.encode()) for x in lines], [], 0
     while first < len(lines):
