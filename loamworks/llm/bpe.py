@@ -23,7 +23,7 @@ _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 #: White space as the vocabulary's normaliser counts it (Unicode's White_Space).
 _WHITE = r"[\t-\r\x20\x85\xa0  -     　]"
 #: Words kept by a worker; beyond that it starts anew (about 150 bytes each).
-STORE_WORDS = 400_000
+STORE_WORDS = 250_000
 
 
 def byte_characters() -> list[str]:

@@ -29,7 +29,7 @@ BUCKETS = 1 << 14
 #: Makes shares of n-grams into values of about one.
 SCALE = 100.0
 WORD = re.compile(r"[^\W\d_]+")
-STORE_WORDS = 300_000
+STORE_WORDS = 150_000
 UNDETERMINED = "und"
 
 

@@ -31,7 +31,7 @@ BUCKETS = 1 << 18
 WORD = re.compile(r"\w+")
 #: Tokens of a training sequence; longer documents are several sequences there. Scoring takes whole documents.
 WINDOW = 128
-STORE_WORDS = 400_000
+STORE_WORDS = 150_000
 
 
 def features(word: str) -> tuple[int, int, int]:
