@@ -194,13 +194,15 @@ def with_parts(links: DataFrame, texts: DataFrame, least: int, seed: int) -> Dat
     """links with what is to be compared of both texts: from `least` words before the first shared run to as many after the
     last. Longer passages have more shared runs, so the stretches found from these join."""
     run = seed + (least - seed + 1) // 2
+    # One space between words, and the words counted, before texts meet their links: a link then only cuts at spaces.
+    spaced = F.trim(F.regexp_replace("text", r"[\x09-\x0D]" + SPACE + r"*|\x20" + SPACE + "+", " "))
+    lines = texts.select("doc_id", spaced.alias("line")).withColumn("words", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
     out = links
     for side, moved in (("a", F.lit(0)), ("b", F.col("shift"))):
         begin = F.greatest(F.lit(0), F.col("first") - moved - least)
-        size = F.col("last") - moved + run + least - begin
-        words = F.array_remove(F.split("text", SPACE + "+"), "")
-        part = F.array_join(F.slice(words, (begin + 1).cast("int"), size.cast("int")), " ")
-        joined = out.join(texts.select(F.col("doc_id").alias(side), "text"), side)
+        end = F.least(F.col("words"), F.col("last") - moved + run + least)
+        joined = out.join(lines.withColumnRenamed("doc_id", side), side)
+        part = F.call_function("substring_index", F.call_function("substring_index", F.col("line"), F.lit(" "), end.cast("int")), F.lit(" "), (begin - end).cast("int"))
         out = joined.select(*out.columns, part.alias(f"{side}_part"), begin.alias(f"{side}_from"))
     return out
 
