@@ -155,7 +155,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = 4, rate: float = 0.5,
             squares[1][:] += gc * gc
             change = np.clip(change + 0.1 * rate * gc / np.sqrt(squares[1]), -4, 4)
     word = weights[feature].sum(1)
-    x = [document_features(marginals([word[d]], change, first)[0]) for d in docs]
+    x = [document_features(p) for at in range(0, len(docs), 256) for p in marginals([word[d] for d in docs[at : at + 256]], change, first)]
     return Model(weights, change, first, logistic(np.array(x).reshape(-1, 3), toxic.astype(float)))
 
 
