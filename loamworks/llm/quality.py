@@ -17,7 +17,7 @@ from .common import SPACE, stored
 
 SYMBOLS = r"[#*$%&|<>]"
 #: Least spread of each measure: where half of a group's texts are alike, smaller differences don't count.
-LEAST_SPREAD = {"symbol_ratio": 0.01, "dup_line_ratio": 0.12, "repeat_ratio": 0.1, "mean_word_length": 1.0}
+LEAST_SPREAD = {"symbol_ratio": 0.01, "dup_line_ratio": 0.18, "repeat_ratio": 0.16, "mean_word_length": 1.0}
 #: Measures of which too low a value counts as well.
 TWO_SIDED = ("mean_word_length",)
 FENCE = 3.0
