@@ -43,9 +43,14 @@ def word_count(c: Column) -> Column:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    """All runs of n words, joined by a space; none if there are fewer."""
-    runs = F.sequence(F.lit(1), F.size(words) - n + 1)
-    return F.when(F.size(words) >= n, F.transform(runs, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    """All runs of n words, joined by a space; none if there are fewer.
+
+    The words are zipped with themselves moved by one, two …, so they are made n + 1 times a row and not for each run.
+    """
+    if n == 1:
+        return words
+    moved = F.arrays_zip(*(F.slice(words, k + 1, F.greatest(F.size(words), F.lit(0))).alias(f"w{k}") for k in range(n)))
+    return F.transform(F.filter(moved, lambda z: z[f"w{n - 1}"].isNotNull()), lambda z: F.concat_ws(" ", *(z[f"w{k}"] for k in range(n))))
 
 
 def contractions(c: Column) -> Column:
