@@ -423,3 +423,10 @@ SELECT n AS node, min(k) AS component FROM r GROUP BY n""")
 def order_components(spark, sf_dir):
     edges = table(spark, sf_dir, "lineitem").where("l_quantity > 48").select(F.col("l_orderkey").alias("a"), (F.lit(1_000_000_000) + F.col("l_partkey") * 100 + F.col("l_suppkey")).alias("b")).distinct()
     return similarity.components(edges)
+
+
+@query()
+def order_components_all(spark, sf_dir):
+    """Over every line; recursive SQL takes too long for that, so tests hold it against a union-find."""
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("a"), (F.lit(1_000_000_000) + F.col("l_partkey") * 100 + F.col("l_suppkey")).alias("b")).distinct()
+    return graph.components(edges)

@@ -4,11 +4,29 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from loamworks.operators import contracts, gates, graph, pages, review, similarity, units
 from loamworks.sources import readers
 from loamworks.streaming import incremental
 
 
+def test_components_of_all_lines(spark):
+    """The registered query against a union-find over every line."""
+    base = "/root/testdata/sf0.001"
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for r in spark.read.parquet(f"{base}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey").collect():
+        a, b = sorted((find(r[0]), find(1_000_000_000 + r[1] * 100 + r[2])))
+        root[b] = a
+    assert dict(queries()["order_components_all"](spark, base).select("node", "component").collect()) == {x: find(x) for x in root}
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)]
