@@ -11,6 +11,7 @@ import base64
 import binascii
 import json
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,6 +35,7 @@ ASSIGN = re.compile(rf"""({_WORDS}|{_either("api")}_?{_either("key")})["']?\x20*
 ACCESS = re.compile("AKIA[A-Z0-9]{16,}")
 HEX = re.compile("[0-9a-f]{24,}")
 PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----(.*?)-----END \1PRIVATE KEY-----", re.S)
+ESCAPED_BREAK = re.compile(r"(?:\\+[rn])+")
 JWT = re.compile(r"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 B64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 ANY_HEX = re.compile(r"(?:[0-9a-f]{2}){24,}|(?:[0-9A-F]{2}){24,}")
@@ -126,9 +128,20 @@ def signed_token(run: str) -> bool:
     return head["alg"].lower() == "none" or len(decoded(signature) or b"") >= 16
 
 
+def signed_tokens(text: str) -> Iterator[re.Match]:
+    """Signed tokens; a dotted run that is none may still hold one that starts at its next segment."""
+    at = 0
+    while m := JWT.search(text, at):
+        if len(m[0]) >= LEAST_RUN and signed_token(m[0]):
+            yield m
+            at = m.end()
+        else:
+            at = m.start() + m[0].index(".") + 1
+
+
 def pem_key(label: str, body: str) -> bool:
-    """The body of a PEM block, header lines (as of encrypted ones) left out."""
-    lines = [x.strip() for x in body.splitlines()]
+    """The body of a PEM block, header lines (as of encrypted ones) left out. Breaks and slashes may be escaped, as in JSON."""
+    lines = [x.strip() for x in ESCAPED_BREAK.sub("\n", body).replace("\\/", "/").splitlines()]
     data = decoded("".join(x for x in lines if ":" not in x))
     if not data:
         return False
@@ -146,7 +159,7 @@ def spans(text: str) -> list[tuple[str, int, int, int]]:
         out += [("hex", m.start(), m.end(), m.start()) for m in HEX.finditer(text)]
         if "PRIVATE KEY-----" in text:
             out += [("pem", m.start(), m.end(), m.start()) for m in PEM.finditer(text) if pem_key(m[1], m[2])]
-        out += [("jwt", m.start(), m.end(), m.start()) for m in JWT.finditer(text) if len(m[0]) >= LEAST_RUN and signed_token(m[0])]
+        out += [("jwt", m.start(), m.end(), m.start()) for m in signed_tokens(text)]
         for m in B64.finditer(text):
             data = decoded(m[0])
             if data and (der_key(data) or openssh_key(data)):

@@ -5,7 +5,7 @@ import re
 import struct
 
 from loamworks.llm.queries import op3_secrets
-from loamworks.llm.secrets import redact_secrets, scan_secrets, spans
+from loamworks.llm.secrets import redact_secrets, scan_secrets, spans, without_secrets
 
 from .conftest import ODD
 
@@ -65,6 +65,20 @@ def test_structure_decides():
     assert kinds(RSA.hex()) == ["hexkey"] and kinds(PUBLIC.hex()) == []
 
 
+def test_escaped_breaks_and_dotted_runs():
+    body = b64(PKCS8)
+    lines = [body[i : i + 64] for i in range(0, len(body), 64)]
+    for escaped in ("\\n", "\\r\\n", "\\\\n"):
+        key = escaped.join(["-----BEGIN PRIVATE KEY-----", *lines, "-----END PRIVATE KEY-----"])
+        text = '{"private_key": "' + key + escaped + '"}'
+        assert ("pem", text.index(key), text.index(key) + len(key)) in [s[:3] for s in spans(text)]
+        assert not any(x in without_secrets(text, "-") for x in lines)
+        assert "pem" not in [s[0] for s in spans(text.replace(lines[1], lines[1][:-4]))]
+    jwt = url64({"alg": "HS256"}) + "." + url64({"sub": "1"}) + "." + url64(b"s" * 32)
+    for before in ("session_id.", "session_id.abc.", "some_module.some_name.other_name."):
+        assert [s[:3] for s in spans(before + jwt) if s[0] == "jwt"] == [("jwt", len(before), len(before + jwt))]
+
+
 def test_query(spark, sample):
     texts = {r[0]: r[1] or "" for r in sample[1]}
     rows = op3_secrets(spark, "/root/testdata/sf0.001").collect()
