@@ -1,9 +1,11 @@
 """Quality rules with adaptive thresholds, in DataFrame operations only.
 
 For each measure and each language and source a mergeable quantile sketch is kept: counts of logarithmic buckets (of a
-fixed relative width, so sketches merge by adding counts, in any order, and quantiles have a bounded relative error). A
-text is outside if a measure lies beyond the outer fence of its group: three times the interquartile range, or three
-times a least spread, beyond the quartiles. Groups of few rows use the merged sketch of their language, or of all.
+fixed relative width, so sketches merge by adding counts, in any order, and quantiles have a bounded relative error). They
+hold the texts that the base rule passes. A text is outside if a measure lies further beyond the group's upper quantile
+than REACH times that quantile's distance from the median (word lengths: the lower one, too). So no cutoff is a constant:
+where most of a group's texts have none of something the threshold is none, where they vary widely it is far off. Groups of
+few rows use the merged sketch of their language, or of all.
 """
 
 from __future__ import annotations
@@ -16,11 +18,12 @@ from pyspark.sql import functions as F
 from .common import SPACE, stored
 
 SYMBOLS = r"[#*$%&|<>]"
-#: Least spread of each measure: where half of a group's texts are alike, smaller differences don't count.
-LEAST_SPREAD = {"symbol_ratio": 0.01, "dup_line_ratio": 0.18, "repeat_ratio": 0.16, "mean_word_length": 1.0}
+#: Upper quantile of each measure that its threshold starts from (the lower one is as far from the other end).
+LEVEL = {"symbol_ratio": 0.9, "dup_line_ratio": 0.99, "repeat_ratio": 0.99, "mean_word_length": 0.9}
 #: Measures of which too low a value counts as well.
 TWO_SIDED = ("mean_word_length",)
-FENCE = 3.0
+#: How far beyond that quantile, as a multiple of its distance from the median, a threshold lies.
+REACH = 2.0
 #: Relative error of a sketch's quantiles.
 ERROR = 0.01
 #: Rows from which a group has thresholds of its own.
@@ -89,51 +92,54 @@ def sketches(rows: DataFrame) -> DataFrame:
     return long.groupBy("lang", "source", "measure", bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """by, measure, rows, q1, q3 of sketches merged by these columns."""
+def thresholds_of(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """One row for each group of sketches merged by these columns: rows, and low_ and high_ of each measure."""
     merged = sketch.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*by, "measure")
     upto = merged.select("*", F.sum("n").over(group.orderBy("bucket")).alias("upto"), F.sum("n").over(group).alias("rows"))
-    value = F.when(F.col("bucket") == ZERO, 0.0).otherwise(2 * F.pow(F.lit(GAMMA), F.col("bucket")) / (GAMMA + 1))
-    first = lambda q: F.min(F.when(F.col("upto") >= q * F.col("rows"), value))
-    # Buckets rise with their values, so the least value past a rank is the quantile.
-    return upto.groupBy(*by, "measure").agg(F.max("rows").alias("rows"), first(0.25).alias("q1"), first(0.75).alias("q3"))
-
-
-def fences(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """One row for each group: rows, and low_ and high_ of each measure."""
-    table = quartiles(sketch, by)
-    spread = F.greatest(F.col("q3") - F.col("q1"), F.create_map(*(F.lit(x) for kv in LEAST_SPREAD.items() for x in kv))[F.col("measure")])
-    table = table.select(*by, "measure", "rows", (F.col("q1") - FENCE * spread).alias("low"), (F.col("q3") + FENCE * spread).alias("high"))
+    level = F.create_map(*(F.lit(x) for kv in LEVEL.items() for x in kv))[F.col("measure")]
+    # Buckets rise with their values, so the least bucket past a rank has the quantile.
+    first = lambda q: F.min(F.when(F.col("upto") >= q * F.col("rows"), F.col("bucket")))
+    table = upto.groupBy(*by, "measure").agg(F.max("rows").alias("rows"), first(1 - level).alias("least"), first(F.lit(0.5)).alias("middle"), first(level).alias("most"))
+    # A bucket's values lie between these two ends, so a group of equal values is inside its own thresholds.
+    upper = lambda c: F.when(F.col(c) == ZERO, 0.0).otherwise(F.pow(F.lit(GAMMA), F.col(c)))
+    lower = lambda c: F.when(F.col(c) == ZERO, 0.0).otherwise(F.pow(F.lit(GAMMA), F.col(c) - 1))
+    high, low = upper("most") + REACH * (upper("most") - upper("middle")), lower("least") - REACH * (lower("middle") - lower("least"))
+    table = table.select(*by, "measure", "rows", low.alias("low"), high.alias("high"))
     at = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(c)))
     return table.groupBy(*by).agg(F.max("rows").alias("rows"), *(at(m, c).alias(f"{c}_{m}") for m in VALUES for c in ("low", "high")))
 
 
-def thresholds(rows: DataFrame) -> DataFrame:
-    """lang, source and the fences that hold for that group: its own, its language's or those of all rows."""
+def thresholds(rows: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
+    """of_lang, of_source and the thresholds that hold for that group: its own, its language's or those of all rows."""
     sketch = stored(sketches(rows))
     names = [f"{c}_{m}" for m in VALUES for c in ("low", "high")]
-    own = fences(sketch, ["lang", "source"])
-    lang = fences(sketch, ["lang"]).select(F.col("lang").alias("of"), F.col("rows").alias("lang_rows"), *(F.col(n).alias(f"lang_{n}") for n in names))
-    every = fences(sketch.withColumn("one", F.lit(1)), ["one"]).select(*(F.col(n).alias(f"all_{n}") for n in names), "one")
+    own = thresholds_of(sketch, ["lang", "source"])
+    lang = thresholds_of(sketch, ["lang"]).select(F.col("lang").alias("of"), F.col("rows").alias("lang_rows"), *(F.col(n).alias(f"lang_{n}") for n in names))
+    every = thresholds_of(sketch.withColumn("one", F.lit(1)), ["one"]).select(*(F.col(n).alias(f"all_{n}") for n in names), "one")
     wide = own.join(lang, F.col("lang").eqNullSafe(F.col("of")), "left").withColumn("one", F.lit(1)).join(every, "one", "left")
-    held = lambda n: F.when(F.col("rows") >= LEAST_ROWS, F.col(n)).when(F.col("lang_rows") >= LEAST_ROWS, F.col(f"lang_{n}")).otherwise(F.col(f"all_{n}"))
+    held = lambda n: F.when(F.col("rows") >= least_rows, F.col(n)).when(F.col("lang_rows") >= least_rows, F.col(f"lang_{n}")).otherwise(F.col(f"all_{n}"))
     return wide.select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), *(held(n).alias(n) for n in names))
 
 
-def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def base_failed() -> Column:
+    """Too short, or mostly repeated."""
+    return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_rows: int = LEAST_ROWS) -> DataFrame:
     """The counts of measures(), base_failed (too short, or mostly repeated) and kept, for each row of df.
 
-    Null languages and sources are groups of their own. Empty texts fail. No rows: no rows.
+    Null languages and sources are groups of their own; groups of fewer than least_rows rows that pass the base have the
+    thresholds of their language, or of all. Empty texts fail. Repeated rows are judged alike. No rows: no rows.
     """
     rows = stored(measures(df, id_col, text_col, lang_col, source_col))
-    table = thresholds(rows)
+    table = thresholds(rows.where(~base_failed()), least_rows)
     same = F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source"))
     outside = F.lit(False)
     for m, (a, b) in VALUES.items():
         outside = outside | (ratio(a, b) > F.col(f"high_{m}"))
         if m in TWO_SIDED:
             outside = outside | (ratio(a, b) < F.col(f"low_{m}"))
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     judged = rows.join(table, same, "left")
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~F.coalesce(outside, F.lit(False))).alias("kept"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & ~F.coalesce(outside, F.lit(False))).alias("kept"))

@@ -77,30 +77,32 @@ FROM t
 """
 
 def _op8_sql() -> str:
-    """The counts, the buckets and the fences of quality.py in SQL."""
-    values = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{m}' AS measure, {quality.LEAST_SPREAD[m]}::DOUBLE AS spread, CASE WHEN {b} > 0 THEN {a}::DOUBLE / {b} ELSE 0 END AS value FROM c" for m, (a, b) in quality.VALUES.items())
+    """The counts, the buckets and the thresholds of quality.py in SQL."""
+    values = " UNION ALL ".join(f"SELECT doc_id, lang, source, base_failed, '{m}' AS measure, {quality.LEVEL[m]}::DOUBLE AS level, CASE WHEN {b} > 0 THEN {a}::DOUBLE / {b} ELSE 0 END AS value FROM c" for m, (a, b) in quality.VALUES.items())
     gamma = f"{quality.GAMMA!r}::DOUBLE"
+    end = lambda c, less: f"CASE WHEN {c} = {quality.ZERO} THEN 0 ELSE pow({gamma}, {c} - {less}) END"
+    high = f"{end('most', 0)} + {quality.REACH} * ({end('most', 0)} - {end('middle', 0)})"
+    low = f"{end('least', 1)} - {quality.REACH} * ({end('middle', 1)} - {end('least', 1)})"
+    held = lambda n: f"CASE WHEN a.total >= {quality.LEAST_ROWS} THEN a.{n} WHEN b.total >= {quality.LEAST_ROWS} THEN b.{n} ELSE e.{n} END"
     return rf"""
 WITH m AS (SELECT doc_id, lang, source, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
   list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l,
   length(text) - length(regexp_replace(text, '{quality.SYMBOLS}', '', 'g')) AS symbols FROM documents),
 win AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM m)),
 cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1) GROUP BY doc_id),
-c AS (SELECT m.doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, coalesce(symbols, 0)::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines,
+n AS (SELECT m.doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, coalesce(symbols, 0)::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines,
   (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words FROM m LEFT JOIN cov USING (doc_id)),
+c AS (SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM n),
 r AS ({values}),
-s AS (SELECT lang, source, measure, spread, CASE WHEN value <= 0 THEN {quality.ZERO} ELSE ceil(ln(value) / ln({gamma}))::INT END AS bucket, count(*) AS n FROM r GROUP BY ALL),
-u AS (SELECT 1 AS level, * FROM s UNION ALL SELECT 2, lang, NULL, measure, spread, bucket, sum(n) FROM s GROUP BY ALL UNION ALL SELECT 3, NULL, NULL, measure, spread, bucket, sum(n) FROM s GROUP BY ALL),
-k AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, measure) AS total,
-  CASE WHEN bucket = {quality.ZERO} THEN 0 ELSE 2 * pow({gamma}, bucket) / ({gamma} + 1) END AS val FROM u),
-q AS (SELECT level, lang, source, measure, spread, max(total) AS total, min(val) FILTER (upto >= 0.25 * total) AS q1, min(val) FILTER (upto >= 0.75 * total) AS q3 FROM k GROUP BY ALL),
-f AS (SELECT level, lang, source, measure, total, q1 - {quality.FENCE} * greatest(q3 - q1, spread) AS low, q3 + {quality.FENCE} * greatest(q3 - q1, spread) AS high FROM q),
-o AS (SELECT r.doc_id, bool_or(value > CASE WHEN a.total >= {quality.LEAST_ROWS} THEN a.high WHEN b.total >= {quality.LEAST_ROWS} THEN b.high ELSE e.high END
-  OR (r.measure = 'mean_word_length' AND value < CASE WHEN a.total >= {quality.LEAST_ROWS} THEN a.low WHEN b.total >= {quality.LEAST_ROWS} THEN b.low ELSE e.low END)) AS outside
+s AS (SELECT lang, source, measure, level AS p, CASE WHEN value <= 0 THEN {quality.ZERO} ELSE ceil(ln(value) / ln({gamma}))::INT END AS bucket, count(*) AS n FROM r WHERE NOT base_failed GROUP BY ALL),
+u AS (SELECT 1 AS level, * FROM s UNION ALL SELECT 2, lang, NULL, measure, p, bucket, sum(n) FROM s GROUP BY ALL UNION ALL SELECT 3, NULL, NULL, measure, p, bucket, sum(n) FROM s GROUP BY ALL),
+k AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, measure) AS total FROM u),
+q AS (SELECT level, lang, source, measure, max(total) AS total, min(bucket) FILTER (upto >= (1 - p) * total) AS least, min(bucket) FILTER (upto >= 0.5 * total) AS middle, min(bucket) FILTER (upto >= p * total) AS most FROM k GROUP BY ALL),
+f AS (SELECT level, lang, source, measure, total, {low} AS low, {high} AS high FROM q),
+o AS (SELECT r.doc_id, bool_or(value > {held("high")} OR (r.measure IN ({", ".join(f"'{x}'" for x in quality.TWO_SIDED)}) AND value < {held("low")})) AS outside
   FROM r JOIN f a ON a.level = 1 AND a.measure = r.measure AND a.lang IS NOT DISTINCT FROM r.lang AND a.source IS NOT DISTINCT FROM r.source
   JOIN f b ON b.level = 2 AND b.measure = r.measure AND b.lang IS NOT DISTINCT FROM r.lang JOIN f e ON e.level = 3 AND e.measure = r.measure GROUP BY r.doc_id)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words) AND NOT outside AS kept FROM c JOIN o USING (doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(outside, FALSE) AS kept FROM c LEFT JOIN o USING (doc_id)
 """
 
 

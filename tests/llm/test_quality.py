@@ -1,9 +1,10 @@
+import random
 import re
 from collections import Counter
 
 from pyspark.sql import functions as F
 
-from loamworks.llm.quality import measures, quality_rules
+from loamworks.llm.quality import measures, quality_rules, sketches
 
 from .conftest import ODD
 
@@ -43,3 +44,25 @@ def test_odd_rows(odd, docs):
     text = " ".join(f"word{i}" for i in range(60))
     df = docs([(1, text, None, None, 1), (2, text, "en", None, 1)]).withColumn("bucket", F.lit(1)).withColumn("rows", F.lit(2))
     assert [r.kept for r in quality_rules(df).collect()] == [True, True]
+
+
+def test_groups_have_cutoffs_of_their_own(docs):
+    """The same text is kept where its like is common and dropped where it isn't; a group of equal values keeps itself."""
+    rng = random.Random(5)
+    plain_text = lambda: [f"w{rng.randrange(10**6):06d}" for _ in range(80)]
+    marked = lambda n: " ".join(w + "#" * (i < n) for i, w in enumerate(plain_text()))
+    rows = [(k, marked(rng.randrange(5, 30)), "en", "code", 0) for k in range(100)]
+    rows += [(100 + k, marked(0), "en", "prose", 0) for k in range(100)] + [(200 + k, marked(7), "de", "equal", 0) for k in range(60)]
+    rows += [(900, marked(20), "en", "code", 0), (901, marked(20), "en", "prose", 0), (902, marked(79), "en", "code", 0)]
+    kept = {r.doc_id: r.kept for r in quality_rules(docs(rows), least_rows=50).collect()}
+    assert kept[900] and not kept[901] and sum(kept[k] for k in range(100)) >= 99 and all(kept[k] for k in range(100, 260))
+    # Groups of too few rows have the thresholds of their language.
+    few = {r.doc_id: r.kept for r in quality_rules(docs(rows), least_rows=150).collect()}
+    assert few[900] == few[901]
+
+
+def test_sketches_merge(spark, sample):
+    rows = measures(sample[0])
+    halves = sketches(rows.where("doc_id % 2 = 0")).union(sketches(rows.where("doc_id % 2 = 1")))
+    merged = halves.groupBy("lang", "source", "measure", "bucket").agg(F.sum("n").alias("n"))
+    assert sorted(map(str, merged.collect())) == sorted(map(str, sketches(rows).collect()))
