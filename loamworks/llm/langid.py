@@ -11,8 +11,7 @@ from __future__ import annotations
 
 import io
 import re
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,35 +24,61 @@ from .common import SLICE_ROWS, by_slices, keyed_text
 #: Sample for each language, at most, and the longest text in it (bytes): bounds of what the driver holds.
 PER_LANGUAGE = 1200
 LONGEST = 100_000
-BUCKETS = 1 << 14
+#: Buckets that n-grams are hashed into, as a power of two.
+BITS = 14
+BUCKETS = 1 << BITS
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: Makes shares of n-grams into values of about one.
 SCALE = 100.0
+#: Runs of letters, and of numbers such as superscripts or Roman numerals, at which Words cuts them.
 WORD = re.compile(r"[^\W\d_]+")
 STORE_WORDS = 400_000
 UNDETERMINED = "und"
 
 
-def grams(word: str) -> bytes:
-    """The buckets of a word's n-grams, as bytes of 16-bit numbers."""
-    w = f"_{word}_"
-    parts = [w[i : i + n] for n in (1, 2, 3) for i in range(len(w) - n + 1)]
-    return np.array([zlib.crc32(p.encode()) % BUCKETS for p in parts], "<u2").tobytes()
+def buckets_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of the words' n-grams, word by word, and how many each word has."""
+    code = np.frombuffer("".join(f"_{w}_" for w in words).encode("utf-32-le"), "<u4").astype(np.uint64)
+    lengths = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(code))  # characters of the word from here on
+    hashes, x = np.empty((len(code), 3), np.uint64), np.zeros(len(code), np.uint64)
+    for n in range(3):
+        x[: len(code) - n] = x[: len(code) - n] * FACTOR + code[n:] + np.uint64(1)
+        hashes[:, n] = x
+    hashes = (hashes ^ (hashes >> np.uint64(31))) * FACTOR
+    inside = left[:, None] > np.arange(3)
+    return (hashes >> np.uint64(64 - BITS))[inside].astype("<u2"), 3 * lengths - 3
 
 
-class Grams:
-    """Buckets of texts, with a bounded store of words."""
+def grams(words: list[str]) -> list[bytes]:
+    """The buckets of each word's n-grams, as bytes of 16-bit numbers."""
+    buckets, counts = buckets_of(words)
+    data, ends = buckets.tobytes(), (2 * np.cumsum(counts)).tolist()
+    return [data[a:b] for a, b in zip([0, *ends], ends)]
 
-    def __init__(self):
+
+class Words:
+    """The runs of letters of texts, lower-cased, and a bounded store of what make() says of each."""
+
+    def __init__(self, make: Callable[[list[str]], list[bytes]]):
         self.known: dict[str, bytes] = {}
+        self.make = make
 
-    def of(self, text: str) -> np.ndarray:
+    def of(self, texts: list[str]) -> list[list[str]]:
         if len(self.known) > STORE_WORDS:
             self.known = {}
-        known, words = self.known, WORD.findall(text.lower())
-        for w in words:
-            if w not in known:
-                known[w] = grams(w)
-        return np.frombuffer(b"".join([known[w] for w in words]), "<u2")
+        lists = [WORD.findall(t.lower()) for t in texts]
+        new = set().union(*lists).difference(self.known)
+        if odd := {w for w in new if not w.isalpha()}:
+            parts = lambda w: "".join(c if c.isalpha() else " " for c in w).split()
+            lists = [words if odd.isdisjoint(words) else [x for w in words for x in parts(w)] for words in lists]
+            new = set().union(*lists).difference(self.known)
+        if new:
+            self.known.update(zip(new, self.make(list(new))))
+        return lists
+
+    def joined(self, words: Iterable[str]) -> bytes:
+        return b"".join(map(self.known.__getitem__, words))
 
 
 def document_frequency(texts: DataFrame) -> tuple[int, np.ndarray]:
@@ -63,12 +88,12 @@ def document_frequency(texts: DataFrame) -> tuple[int, np.ndarray]:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, seen, rows = Grams(), np.zeros(BUCKETS, np.int64), 0
+        store, seen, rows = Words(grams), np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
-                for text in batch.slice(at, SLICE_ROWS).column(0).to_pylist():
+                for words in store.of([t or "" for t in batch.slice(at, SLICE_ROWS).column(0).to_pylist()]):
                     there = np.zeros(BUCKETS, bool)
-                    there[store.of(text or "")] = True
+                    there[np.frombuffer(store.joined(set(words)), "<u2")] = True
                     seen += there
                     rows += 1
         used = np.flatnonzero(seen)
@@ -121,11 +146,32 @@ def temperature_for(logits: np.ndarray, of: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
+class Leader:
+    """Follow-the-regularised-leader with elastic-net penalties: weights (inputs by classes), and a step by a batch."""
+
+    def __init__(self, inputs: int, classes: int, alpha: float, beta: float, l1: float, l2: float):
+        self.z, self.n, self.w = (np.zeros((inputs, classes), np.float32) for _ in range(3))
+        self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
+
+    def step(self, x: np.ndarray, of: np.ndarray) -> None:
+        """One step by the mean gradient of the log loss over rows x of classes `of`."""
+        p = softmax(x @ self.w)
+        p[np.arange(len(x)), of] -= 1
+        g = x.T @ p / max(1, len(x))
+        sigma = (np.sqrt(self.n + g * g) - np.sqrt(self.n)) / self.alpha
+        self.z += g - sigma * self.w
+        self.n += g * g
+        kept = np.abs(self.z) > self.l1
+        self.w = np.where(kept, (np.sign(self.z) * self.l1 - self.z) / ((self.beta + np.sqrt(self.n)) / self.alpha + self.l2), 0).astype(np.float32)
+
+
 def fit(texts: list[str], langs: list[str], inverse: np.ndarray, alpha: float = 0.5, beta: float = 0.01, l1: float = 2e-4, l2: float = 2e-4, epochs: int = 4) -> Model:
     """Follow-the-regularised-leader over small batches; every fifth text is left out and sets the temperature."""
     languages = sorted(set(langs))
-    of, store = np.array([languages.index(x) for x in langs], np.int64), Grams()
-    rows = [np.unique(store.of(t), return_counts=True) for t in texts]
+    of, rows = np.array([languages.index(x) for x in langs], np.int64), []
+    for at in range(0, len(texts), SLICE_ROWS):
+        store = Words(grams)
+        rows += [np.unique(np.frombuffer(store.joined(w), "<u2"), return_counts=True) for w in store.of(texts[at : at + SLICE_ROWS])]
 
     def values(chosen: np.ndarray) -> np.ndarray:
         x = np.zeros((len(chosen), BUCKETS + 1), np.float32)
@@ -137,18 +183,11 @@ def fit(texts: list[str], langs: list[str], inverse: np.ndarray, alpha: float =
 
     left_out = np.arange(len(rows)) % 5 == 4
     rng, k = np.random.default_rng(0), len(languages)
-    z, n, w = (np.zeros((BUCKETS + 1, k), np.float32) for _ in range(3))
+    leader = Leader(BUCKETS + 1, k, alpha, beta, l1, l2)
     for _ in range(epochs if k > 1 else 0):
         for chosen in np.array_split(rng.permutation(np.flatnonzero(~left_out)), max(1, len(rows) // 64)):
-            x = values(chosen)
-            p = softmax(x @ w)
-            p[np.arange(len(chosen)), of[chosen]] -= 1
-            g = x.T @ p / max(1, len(chosen))
-            sigma = (np.sqrt(n + g * g) - np.sqrt(n)) / alpha
-            z += g - sigma * w
-            n += g * g
-            w = np.where(np.abs(z) <= l1, 0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2)).astype(np.float32)
-    check = np.flatnonzero(left_out)
+            leader.step(values(chosen), of[chosen])
+    check, w = np.flatnonzero(left_out), leader.w
     logits = np.concatenate([values(c) @ w for c in np.array_split(check, max(1, len(check) // 64))]) if len(check) and k else np.zeros((0, k))
     return Model(languages, w[:BUCKETS] * inverse[:, None].astype(np.float32), w[BUCKETS], temperature_for(logits, of[check]) if k > 1 else 1.0)
 
@@ -183,28 +222,24 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 class Scorer:
     def __init__(self, data: bytes):
         self.model = Model.load(data)
-        self.known: dict[str, bytes] = {}
+        self.words = Words(self.sums)
 
-    def word(self, word: str) -> bytes:
-        """The sum of the weights of the word's n-grams, and their number."""
-        buckets = np.frombuffer(grams(word), "<u2")
-        return np.r_[self.model.weights[buckets].sum(0), len(buckets)].astype("<f8").tobytes()
+    def sums(self, words: list[str]) -> list[bytes]:
+        """Of each word the sum of the weights of its n-grams, and their number."""
+        buckets, counts = buckets_of(words)
+        starts = np.cumsum(counts) - counts
+        sums = np.add.reduceat(self.model.weights[buckets].astype(np.float64), starts)
+        data, width = np.column_stack([sums, counts]).astype("<f8").tobytes(), 8 * (len(self.model.languages) + 1)
+        return [data[at : at + width] for at in range(0, len(data), width)]
 
     def logits(self, texts: list[str]) -> np.ndarray:
         """One row for each text; all NaN if it has no letter."""
-        if len(self.known) > STORE_WORDS:
-            self.known = {}
-        k, known = len(self.model.languages), self.known
+        k = len(self.model.languages)
         out = np.full((len(texts), k), np.nan)
-        for i, text in enumerate(texts):
-            words = WORD.findall(text.lower())
-            if not words:
-                continue
-            for w in words:
-                if w not in known:
-                    known[w] = self.word(w)
-            sums = np.frombuffer(b"".join([known[w] for w in words]), "<f8").reshape(-1, k + 1).sum(0)
-            out[i] = SCALE * sums[:k] / sums[k] + self.model.bias
+        for i, words in enumerate(self.words.of(texts)):
+            if words:
+                sums = np.frombuffer(self.words.joined(words), "<f8").reshape(-1, k + 1).sum(0)
+                out[i] = SCALE * sums[:k] / sums[k] + self.model.bias
         return out / self.model.temperature
 
 
