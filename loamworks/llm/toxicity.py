@@ -3,7 +3,8 @@
 Labels say which documents are toxic, not which words. So the words of the sample's toxic documents that tell them from
 the others (log-likelihood ratio over documents, near copies counted once) are tagged as toxic there, all other words as
 clean, and the field is fitted to these tagged tokens: hashed features of a word and its ends, and transitions.
-Forward-backward gives each token's probability; a small logistic model over the largest and the summed odds, fitted to
+Forward-backward gives the probability of each token's tag and of each pair of successive tags, and with these the exact
+gradient of the tags' likelihood. A small logistic model over the largest and the summed odds, fitted to
 the document labels, makes the document's score.
 """
 
@@ -24,7 +25,7 @@ from .common import by_slices, keyed_text
 
 #: Labelled documents that the model is fitted to, at most, and the longest of them in bytes: bounds of what the driver holds.
 SAMPLE = 4000
-LONGEST = 100_000
+LONGEST = 20_000
 #: A word tells toxic documents if its log-likelihood ratio is at least this and so many of its documents are toxic.
 LEAST_RATIO, LEAST_SHARE = 25.0, 0.9
 BUCKETS = 1 << 18
@@ -34,9 +35,17 @@ WINDOW = 128
 STORE_WORDS = 150_000
 
 
-def features(word: str) -> tuple[int, int, int]:
-    """Buckets of the word, its first and its last four letters."""
-    return tuple(zlib.crc32(x.encode()) % BUCKETS for x in (f"w:{word}", f"p:{word[:4]}", f"s:{word[-4:]}"))
+def names(word: str) -> tuple[str, str, str]:
+    """The word, its first and its last four letters, as features."""
+    return f"w:{word}", f"p:{word[:4]}", f"s:{word[-4:]}"
+
+
+def bucket(name: str) -> int:
+    return zlib.crc32(name.encode()) % BUCKETS
+
+
+def features(word: str) -> tuple[int, ...]:
+    return tuple(map(bucket, names(word)))
 
 
 @dataclass
@@ -64,7 +73,13 @@ class Model:
 
 
 def marginals(emissions: list[np.ndarray], change: np.ndarray, first: float) -> list[np.ndarray]:
-    """The probability of the toxic tag at each token of each sequence, by forward-backward over all sequences at once."""
+    """The probability of the toxic tag at each token of each sequence."""
+    return chain(emissions, change, first)[0]
+
+
+def chain(emissions: list[np.ndarray], change: np.ndarray, first: float, pairs: bool = False) -> tuple[list[np.ndarray], np.ndarray]:
+    """The probability of the toxic tag at each token of each sequence, by forward-backward over all sequences at once; and
+    with pairs: how many of each pair of successive tags are expected, over all sequences."""
     order = sorted(range(len(emissions)), key=lambda i: -len(emissions[i]))
     lengths = np.array([len(emissions[i]) for i in order])
     longest = int(lengths[0]) if len(order) else 0
@@ -82,17 +97,33 @@ def marginals(emissions: list[np.ndarray], change: np.ndarray, first: float) ->
         before = math.exp(first) if t == 0 else forward[starts[t - 1] : starts[t - 1] + b - a]
         forward[a:b] = odds[a:b] * (before if t == 0 else (m[0, 1] + before * m[1, 1]) / (m[0, 0] + before * m[1, 0]))
         np.clip(forward[a:b], 1e-15, 1e15, out=forward[a:b])
+    expected = np.zeros((2, 2))
     for t in range(longest - 2, -1, -1):
         a, n = starts[t], int(active[t + 1])
         after = backward[starts[t + 1] : starts[t + 1] + n] * odds[starts[t + 1] : starts[t + 1] + n]
         backward[a : a + n] = (m[1, 0] + m[1, 1] * after) / (m[0, 0] + m[0, 1] * after)
+        if pairs:
+            here = forward[a : a + n]
+            each = np.array([[m[0, 0] + 0 * after, m[0, 1] * after], [m[1, 0] * here, m[1, 1] * here * after]])
+            expected += (each / each.sum((0, 1))).sum(2)
     ratio = forward * backward
     prob = np.empty(len(at))
     prob[at] = ratio / (1 + ratio)
     out: list[np.ndarray] = [np.zeros(0)] * len(emissions)
     for k, i in enumerate(order):
         out[i] = prob[base[k] : base[k] + lengths[k]]
-    return out
+    return out, expected
+
+
+def gradient(tags: list[np.ndarray], emissions: list[np.ndarray], change: np.ndarray, first: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Of the tags' log-likelihood: by each token's emission (one after the other), by the transitions, by the first tag."""
+    probs, expected = chain(emissions, change, first, pairs=True)
+    seen = np.zeros((2, 2))
+    for t in tags:
+        both = np.array([~t, t], float)
+        seen += both[:, :-1] @ both[:, 1:].T
+    tokens = np.concatenate(tags).astype(float) - np.concatenate(probs)
+    return tokens, seen - expected, sum(float(t[0]) - float(p[0]) for t, p in zip(tags, probs) if len(t))
 
 
 def telling_words(docs: list[np.ndarray], marks: np.ndarray, toxic: np.ndarray) -> np.ndarray:
@@ -135,25 +166,21 @@ def fit(texts: list[str], labels: list[int], epochs: int = 4, rate: float = 0.5,
     telling = telling_words([np.unique(d) for d in docs], feature[:, 0].astype(np.int64), toxic)
     del numbers
     weights, change, first = np.zeros(BUCKETS), np.zeros((2, 2)), 0.0
-    squares = np.full(BUCKETS, 1e-3), np.full((2, 2), 1e-3)
+    squares, chain_squares = np.full(BUCKETS, 1e-3), np.full(5, 1e-3)
     parts = [(d[at : at + WINDOW], bad) for d, bad in zip(docs, toxic) for at in range(0, len(d), WINDOW)]
     rng = np.random.default_rng(0)
     for _ in range(epochs if telling.any() else 0):
         for batch in np.array_split(rng.permutation(len(parts)), max(1, len(parts) // 512)):
             ids = [parts[i][0] for i in batch]
             tags = [telling[d] & parts[i][1] for d, i in zip(ids, batch)]
-            probs = marginals([weights[feature[d]].sum(1) for d in ids], change, first)
-            grad = np.concatenate(tags).astype(float) - np.concatenate(probs)
-            g = np.bincount(feature[np.concatenate(ids)].ravel(), np.repeat(grad, 3), BUCKETS) - penalty * weights
-            squares[0][:] += g * g
-            weights += rate * g / np.sqrt(squares[0])
-            # Transitions, from expected and seen pairs of tags (a pair's expectation as the product of its marginals).
-            gc = np.zeros((2, 2))
-            for t, p in zip(tags, probs):
-                seen, expected = np.array([~t, t], float), np.array([1 - p, p])
-                gc += seen[:, :-1] @ seen[:, 1:].T - expected[:, :-1] @ expected[:, 1:].T
-            squares[1][:] += gc * gc
-            change = np.clip(change + 0.1 * rate * gc / np.sqrt(squares[1]), -4, 4)
+            tokens, pairs, begin = gradient(tags, [weights[feature[d]].sum(1) for d in ids], change, first)
+            g = np.bincount(feature[np.concatenate(ids)].ravel(), np.repeat(tokens, 3), BUCKETS) - penalty * weights
+            squares += g * g
+            weights += rate * g / np.sqrt(squares)
+            moved = np.r_[pairs.ravel(), begin]
+            chain_squares += moved * moved
+            moved = 0.1 * rate * moved / np.sqrt(chain_squares)
+            change, first = np.clip(change + moved[:4].reshape(2, 2), -4, 4), max(-4.0, min(4.0, first + float(moved[4])))
     word = weights[feature].sum(1)
     x = [document_features(p) for at in range(0, len(docs), 256) for p in marginals([word[d] for d in docs[at : at + 256]], change, first)]
     return Model(weights, change, first, logistic(np.array(x).reshape(-1, 3), toxic.astype(float)))
@@ -194,20 +221,27 @@ class Scorer:
     def __init__(self, data: bytes):
         self.model = Model.load(data)
         self.known: dict[str, float] = {}
+        # Many words share their ends; these have few values.
+        self.ends: dict[str, float] = {}
+
+    def end(self, name: str) -> float:
+        if name not in self.ends:
+            self.ends[name] = float(self.model.weights[bucket(name)])
+        return self.ends[name]
 
     def emission(self, word: str) -> float:
-        value = float(self.model.weights[list(features(word))].sum())
-        self.known[word] = value
+        whole, *ends = names(word)
+        value = self.known[word] = float(self.model.weights[bucket(whole)]) + sum(map(self.end, ends))
         return value
 
     def score(self, texts: list[str]) -> tuple[list[float], list[np.ndarray]]:
         if len(self.known) > STORE_WORDS:
-            self.known = {}
+            self.known, self.ends = {}, {}
         known = self.known
         words = [WORD.findall(t.lower()) for t in texts]
-        for w in {w for d in words for w in d if w not in known}:
+        for w in set().union(*words).difference(known):
             self.emission(w)
-        probs = marginals([np.array([known[w] for w in d], np.float64) for d in words], self.model.change, self.model.first)
+        probs = marginals([np.fromiter(map(known.__getitem__, d), np.float64, len(d)) for d in words], self.model.change, self.model.first)
         x = np.array([document_features(p) for p in probs]).reshape(-1, 3)
         return (1 / (1 + np.exp(-np.clip(x @ self.model.document, -30, 30)))).tolist(), probs
 
@@ -267,7 +301,10 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
 
 def drop_toxic(df: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of df whose text scores below `least`, all columns as they are."""
+    """The rows of df whose text scores below `least`, all columns as they are.
+
+    A null text is scored as an empty one. Repeated rows and ids are rows of their own: equal texts stay or go alike.
+    """
     shared, at = df.sparkSession.sparkContext.broadcast(model.dump()), df.columns.index(text_col)
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:

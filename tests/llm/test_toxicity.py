@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 
 from loamworks.llm.queries import op7_toxicity
-from loamworks.llm.toxicity import drop_toxic, fit, marginals, offending, score, train
+from loamworks.llm.toxicity import Scorer, chain, drop_toxic, features, fit, gradient, marginals, offending, score, train
 
 from .conftest import ODD
 
@@ -29,6 +29,36 @@ def test_marginals():
     assert marginals([], change, 0.0) == []
 
 
+def likelihood(tags, emission, change, first):
+    """Log-likelihood of tags, by every tag sequence."""
+    value = lambda y: first * y[0] + sum(e * t for e, t in zip(emission, y)) + sum(change[a, b] for a, b in zip(y, y[1:]))
+    return value(tags) - np.log(sum(np.exp(value(y)) for y in itertools.product((0, 1), repeat=len(tags))))
+
+
+def test_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(6)
+    change, first = rng.normal(size=(2, 2)), 0.4
+    rows = [rng.normal(size=n) * 2 for n in (6, 1, 4, 7)]
+    tags = [rng.random(len(r)) < 0.5 for r in rows]
+    total = lambda rows, change, first: sum(likelihood(t.astype(int).tolist(), r, change, first) for t, r in zip(tags, rows))
+    tokens, pairs, begin = gradient([*tags, np.zeros(0, bool)], [*rows, np.zeros(0)], change, first)
+    step = 1e-5
+    for a, b in itertools.product((0, 1), repeat=2):
+        d = np.zeros((2, 2))
+        d[a, b] = step
+        assert abs((total(rows, change + d, first) - total(rows, change - d, first)) / (2 * step) - pairs[a, b]) < 1e-5
+    assert abs((total(rows, change, first + step) - total(rows, change, first - step)) / (2 * step) - begin) < 1e-5
+    at = 0
+    for k, r in enumerate(rows):
+        for i in range(len(r)):
+            moved = [[x.copy() for x in rows] for _ in range(2)]
+            moved[0][k][i] += step
+            moved[1][k][i] -= step
+            assert abs((total(moved[0], change, first) - total(moved[1], change, first)) / (2 * step) - tokens[at]) < 1e-5
+            at += 1
+    assert abs(chain(rows, change, first, pairs=True)[1].sum() - sum(len(r) - 1 for r in rows)) < 1e-9
+
+
 def test_held_out_accuracy(spark):
     base = "/root/testdata/sf0.1"
     rows = op7_toxicity(spark, base).join(spark.read.parquet(f"{base}/labels.parquet"), "doc_id").where("held_out").select("doc_id", "predicted", "toxic", "score").collect()
@@ -50,6 +80,12 @@ def small_model():
     return fit(texts, labels)
 
 
+def test_fitted_chain_and_emissions():
+    model = small_model()
+    assert model.first != 0 and model.change.any()
+    assert all(np.isclose(Scorer(model.dump()).emission(w), model.weights[list(features(w))].sum()) for w in ("nasty", "w1", "ä", "other"))
+
+
 def test_spans_and_filter(docs, odd):
     model = small_model()
     rows = {r.doc_id: r for r in score(docs([(1, "w1 İ Nasty, w2"), (2, "w1 w2"), (3, None)]), model).collect()}
