@@ -2,7 +2,8 @@
 
 A long base64 or hex run is only a candidate. It is reported once it decodes and its structure holds: DER private keys
 whose nested lengths add up, OpenSSH private keys whose length-prefixed fields fill the blob, PEM blocks that hold one
-of these (or an encrypted body), signed tokens whose header and payload are JSON objects with an algorithm.
+of these (or an encrypted body), signed tokens whose header and payload are JSON objects with an algorithm. Every search takes
+time in proportion to the text.
 """
 
 from __future__ import annotations
@@ -34,9 +35,10 @@ _WORDS = "|".join(_either(w) for w in ("password", "passwd", "secret", "token"))
 ASSIGN = re.compile(rf"""({_WORDS}|{_either("api")}_?{_either("key")})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile("AKIA[A-Z0-9]{16,}")
 HEX = re.compile("[0-9a-f]{24,}")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----(.*?)-----END \1PRIVATE KEY-----", re.S)
+PEM_MARK = re.compile(r"-----(BEGIN|END) ((?:[A-Z0-9]{1,32} ){0,4})PRIVATE KEY-----")
 ESCAPED_BREAK = re.compile(r"(?:\\+[rn])+")
-JWT = re.compile(r"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
+#: Dotted runs, in which three successive segments may be a signed token.
+DOTTED = re.compile(r"[A-Za-z0-9_.-]+")
 B64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 ANY_HEX = re.compile(r"(?:[0-9a-f]{2}){24,}|(?:[0-9A-F]{2}){24,}")
 
@@ -116,27 +118,45 @@ def openssh_key(data: bytes) -> bool:
     return 1 <= keys <= 16 and all(field() for _ in range(keys + 1)) and at == len(data)
 
 
-def signed_token(run: str) -> bool:
-    header, payload, signature = run.split(".")
+def json_object(segment: str) -> dict | None:
+    """The JSON object that a base64 segment encodes."""
+    data = decoded(segment)
+    if not data or data.lstrip()[:1] != b"{":
+        return None
     try:
-        head = json.loads(decoded(header) or b"")
-        body = json.loads(decoded(payload) or b"")
+        value = json.loads(data)
     except (ValueError, RecursionError):
-        return False
-    if not isinstance(head, dict) or not isinstance(body, dict) or not isinstance(head.get("alg"), str):
-        return False
-    return head["alg"].lower() == "none" or len(decoded(signature) or b"") >= 16
-
-
-def signed_tokens(text: str) -> Iterator[re.Match]:
-    """Signed tokens; a dotted run that is none may still hold one that starts at its next segment."""
-    at = 0
-    while m := JWT.search(text, at):
-        if len(m[0]) >= LEAST_RUN and signed_token(m[0]):
-            yield m
-            at = m.end()
-        else:
-            at = m.start() + m[0].index(".") + 1
+        return None
+    return value if isinstance(value, dict) else None
+
+
+def signed_tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of signed tokens: header and payload are JSON objects, the header names an algorithm, and a signature
+    of 16 bytes or more follows (none needs none). In a dotted run each segment may be a header."""
+    for m in DOTTED.finditer(text):
+        if len(m[0]) < LEAST_RUN or m[0].count(".") < 2:
+            continue
+        segments, at, k = m[0].split("."), m.start(), 0
+        while k + 2 < len(segments):
+            header, payload, signature = segments[k : k + 3]
+            size, head = len(header) + len(payload) + len(signature) + 2, None
+            if len(header) >= 8 and len(payload) >= 2 and size >= LEAST_RUN:
+                head = json_object(header)
+            name = head.get("alg") if head else None
+            if isinstance(name, str) and json_object(payload) is not None and (name.lower() == "none" or len(decoded(signature) or b"") >= 16):
+                yield at, at + size
+                at, k = at + size + 1, k + 3
+            else:
+                at, k = at + len(header) + 1, k + 1
+
+
+def pem_blocks(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of PEM blocks whose body holds a key: a mark of the beginning and the next mark, that of its end."""
+    last = None
+    for mark in PEM_MARK.finditer(text):
+        if last and last[1] == "BEGIN" and mark[1] == "END" and last[2] == mark[2] and pem_key(mark[2], text[last.end() : mark.start()]):
+            yield last.start(), mark.end()
+        last = mark
 
 
 def pem_key(label: str, body: str) -> bool:
@@ -155,11 +175,11 @@ def spans(text: str) -> list[tuple[str, int, int, int]]:
     out = [("assign", m.start(), m.end(), m.start(2)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     if "AKIA" in text:
         out += [("access", m.start(), m.end(), m.start()) for m in ACCESS.finditer(text)]
+    if "PRIVATE KEY-----" in text:
+        out += [("pem", a, b, a) for a, b in pem_blocks(text)]
     if max(map(len, text.split()), default=0) >= 24:
         out += [("hex", m.start(), m.end(), m.start()) for m in HEX.finditer(text)]
-        if "PRIVATE KEY-----" in text:
-            out += [("pem", m.start(), m.end(), m.start()) for m in PEM.finditer(text) if pem_key(m[1], m[2])]
-        out += [("jwt", m.start(), m.end(), m.start()) for m in signed_tokens(text)]
+        out += [("jwt", a, b, a) for a, b in signed_tokens(text)]
         for m in B64.finditer(text):
             data = decoded(m[0])
             if data and (der_key(data) or openssh_key(data)):

@@ -3,6 +3,7 @@ import hashlib
 import json
 import re
 import struct
+import time
 
 from loamworks.llm.queries import op3_secrets
 from loamworks.llm.secrets import redact_secrets, scan_secrets, spans, without_secrets
@@ -97,3 +98,28 @@ def test_redaction(docs, odd):
     assert out == {1: 'a token = "[REDACTED]" b', 2: None, 3: "clean", 4: "[REDACTED]"}
     assert redact_secrets(odd).count() == scan_secrets(odd).count() == len(ODD)
     assert scan_secrets(docs([])).count() == 0
+
+
+def test_glued_tokens_and_short_lines():
+    token = lambda n: url64({"alg": "HS256"}) + "." + url64({"sub": n}) + "." + url64(b"s" * 32)
+    found = lambda t: [s[:3] for s in spans(t) if s[0] == "jwt"]
+    for before in ("session1.", "a.b.c.", "..", "x" * 50 + "."):
+        text = before + token("1")
+        assert found(text) == [("jwt", len(before), len(text))]
+    two = token("1") + "." + token("2")
+    assert found(two) == [("jwt", 0, len(token("1"))), ("jwt", len(token("1")) + 1, len(two))]
+    body = b64(PKCS8)
+    short = "-----BEGIN PRIVATE KEY-----\n" + "\n".join(body[i : i + 16] for i in range(0, len(body), 16)) + "\n-----END PRIVATE KEY-----"
+    assert [s[:3] for s in spans(short)] == [("pem", 0, len(short))]
+    opened = "-----BEGIN PRIVATE KEY-----\nabc\n" * 3
+    assert ("pem", len(opened), len(opened) + len(short)) in [s[:3] for s in spans(opened + short)]
+
+
+def test_time_grows_with_the_text():
+    """Five million characters of each kind that a search could start over in."""
+    n = 5_000_000
+    texts = ["aB3-" * (n // 4), "a." * (n // 2), "aaaaaaaa." * (n // 9), "-----BEGIN PRIVATE KEY-----\n" * (n // 28), "-----BEGIN " + "A " * (n // 2), "token " + " " * n, "ab" * (n // 2), "AKIA" * (n // 4), "password" * (n // 8)]
+    for t in texts:
+        began = time.process_time()
+        spans(t)
+        assert time.process_time() - began < 20, t[:20]
