@@ -1,18 +1,19 @@
 import hashlib
 import re
 
-from loamworks.llm.exact_dedup import drop_copies, exact_groups
+from loamworks.llm.exact_dedup import digests, drop_copies, exact_groups, merged
 
 from .conftest import ODD
 
 
 def plain(rows):
     norm = [re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t in rows]
-    out = []
+    out, stay = [], set()
     for (doc, _), t in zip(rows, norm):
         same = [d for (d, _), u in zip(rows, norm) if u == t]
         keep = min((d for d in same if d is not None), default=None)
-        out.append((str(doc), str(keep), len(same), doc == keep, hashlib.sha256(t.encode()).hexdigest()))
+        out.append((str(doc), str(keep), len(same), doc == keep and t not in stay, hashlib.sha256(t.encode()).hexdigest()))
+        stay |= {t} if doc == keep else set()
     return sorted(out)
 
 
@@ -44,3 +45,23 @@ def test_hot_group_and_clashing_names(docs):
     rows = [(i, "same" if i % 3 else f"own {i}") for i in range(600)]
     df = docs(rows).withColumnsRenamed({"n_chars": "run", "lang": "kept", "source": "digest"})
     assert got(df) == plain(rows)
+
+
+def test_tied_rows_and_hot_ids(docs):
+    """Rows that repeat an id and a text count as copies of each other; one id on many rows."""
+    rows = [(7, "a b")] * 5 + [(8, "a  b")] * 3 + [(9, f"t{i}") for i in range(300)] + [(None, "z")] * 2
+    df = docs(rows)
+    assert got(df) == plain(rows)
+    kept = {(r.doc_id, r.text) for r in drop_copies(df).collect()}
+    assert len(kept) == drop_copies(df).count() == sum(k for *_, k, _ in plain(rows))
+
+
+def test_every_level_is_sorted(docs, sample):
+    """What a task holds after the last round is a stretch of the sorted digests, and the tasks' stretches are in order of parts."""
+    for fan in (2, 8):
+        rows = digests(sample[0], "doc_id", "text", 16)
+        level = merged(rows, 16, fan)
+        parts = [[bytes(r.digest) for r in p] for p in level.rdd.glom().collect()]
+        assert all(p == sorted(p) for p in parts) and sum(map(len, parts)) == len(set().union(*parts))
+    plan = level._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" in plan and "HashAggregate" not in plan
