@@ -33,13 +33,17 @@ LEAST_SALTS = 64
 
 @dataclass(frozen=True)
 class Capacity:
-    """What a sequence holds. By default only tokens bind: as many places as tokens, and attention for one whole piece."""
+    """What a sequence holds: tokens, documents (places) and attention (the sum of the pieces' squared lengths).
+
+    By default the last two can't be smaller without more sequences: as many places as tokens, for corpora of empty texts,
+    and attention for one whole piece. Their residuals select sequences all the same.
+    """
 
     tokens: int = 1024
     places: int = 1024
     attention: int = 1024 * 1024
     #: Weights of the three residuals, each measured as a share of its capacity.
-    weights: tuple[float, float, float] = (1.0, 1e-6, 1e-6)
+    weights: tuple[float, float, float] = (1.0, 1.0, 1.0)
     #: "norm": least weighted norm of the residual; "dot": largest weighted dot product of demand and what is free.
     rule: str = "norm"
 
@@ -194,7 +198,10 @@ def ranges(planned: list[tuple[int, tuple[tuple[int, int], ...]]]) -> list[tuple
 
 
 def place(cut: DataFrame, capacity: Capacity) -> DataFrame:
-    """The pieces with sequence_id and offset. cut: what pieces() returns, stored (it is read more than once)."""
+    """The pieces with sequence_id and offset. cut: what pieces() returns, stored (it is read more than once).
+
+    Repeated rows each get a place; no pieces: no rows. A piece that no sequence can hold raises ValueError.
+    """
     spark = cut.sparkSession
     salts = max(LEAST_SALTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cut = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))

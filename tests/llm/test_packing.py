@@ -100,3 +100,29 @@ def test_plan_is_as_good_as_best_fit_one_by_one():
             free.append(64 - n)
     counts = {n: items.count(n) for n in set(items)}
     assert sum(m for m, _ in plan(counts, Capacity(64, 64, 4096))) == len(free)
+
+
+def vector_best_fit(items, capacity):
+    """Sequences, one piece after the other: of those that hold it under every capacity the one of the least residual norm."""
+    whole, free = np.array([capacity.tokens, capacity.places, capacity.attention], float), []
+    for n in items:
+        demand = np.array([n, 1, n * n], float)
+        fits = [(float((np.array(capacity.weights) * ((f - demand) / whole) ** 2).sum()), i) for i, f in enumerate(free) if (f >= demand).all()]
+        if fits:
+            free[min(fits)[1]] -= demand
+        else:
+            free.append(whole - demand)
+    return free
+
+
+def test_plan_is_as_good_as_vector_best_fit_one_by_one():
+    """With documents and attention binding, too: sequences end for want of each of the three."""
+    rng = random.Random(8)
+    items = sorted((min(64, int(rng.expovariate(1 / 14)) + 1) for _ in range(900)), reverse=True)
+    counts = {n: items.count(n) for n in set(items)}
+    for capacity in (Capacity(64, 5, 4096), Capacity(64, 64, 4096), Capacity(64, 6, 4096, (1, 0.2, 3)), Capacity(80, 7, 4200)):
+        free, planned = vector_best_fit(items, capacity), plan(counts, capacity)
+        assert abs(sum(m for m, _ in planned) - len(free)) <= 0.01 * len(free)
+    tight = [h for m, h in plan(counts, Capacity(80, 7, 4200))]
+    assert any(sum(c for _, c in h) == 7 for h in tight)
+    assert any(sum(n * c for n, c in h) < 80 and sum(n * n * c for n, c in h) > 4200 - 64 for h in tight)
