@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -36,12 +37,17 @@ def keyed_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one that all executors share (spark.checkpoint.dir).
 
-    Only where that setting is absent, as in local tests, a folder of this machine is set.
+    Only where that setting is absent and all runs in one process (local tests), a folder of this machine is set; on a
+    cluster without a shared folder this raises ValueError.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="spark-loam-", dir="/tmp")
+        base = current.get() if current.isDefined() else None
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-loam-", dir="/tmp")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/loam-{uuid.uuid4().hex}"
