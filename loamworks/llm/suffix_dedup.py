@@ -3,10 +3,11 @@
 Of each text only the suffixes at minimisers are retained: places whose run of SEED words has the least hash among
 neighbouring runs, so the content selects them, and any two passages alike in `least` words retain the same place. A retained
 suffix is known by a run of words that spans its place and half of what a passage has left, to the right or to the left (one
-of the two lies inside the passage). All suffixes are sorted by that run and what follows, by range, so that those which
-very many texts share are spread over tasks; neighbours, and what a run's smallest document has, make candidates. Their
-texts are compared word by word along the diagonal, left and right as far as they agree, and stretches of at least
-`least` words count.
+of the two lies inside the passage). All suffixes are sorted by that run, by range, so that those which very many texts
+share are spread over tasks, and neighbours are compared. Suffixes that are as a neighbour are extended to the left and
+right: each of the places where `least` words that hold the run can begin is compared with the same place of the suffixes
+of smaller documents. So a document has every passage of `least` words that a smaller one has, whoever else shares a part.
+Runs and passages are known by independent 64-bit hashes of their words.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, by_slices, dropped, keyed_text, stored
@@ -45,7 +46,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Runs:
-    """Hashes of any runs of a text's words, by prefix sums of powers."""
+    """Hashes of any runs of a text's words, by prefix sums of powers; of two kinds, which are independent."""
 
     up, down = powers(FACTOR, 1 << 12), powers(INVERSE, 1 << 12)
 
@@ -55,17 +56,22 @@ class Runs:
             Runs.up, Runs.down = powers(FACTOR, 2 * n + 1), powers(INVERSE, 2 * n + 1)
         digest = xxhash.xxh64_intdigest
         each = np.fromiter((digest(w, 0) for w in words), np.uint64, n)
-        self.sums = np.r_[np.uint64(0), np.add.accumulate(each * Runs.up[:n])]
+        self.sums = [np.r_[np.uint64(0), np.add.accumulate(x * Runs.up[:n])] for x in (each, mixed(each))]
 
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[end] - self.sums[start]) * Runs.down[start])
+    def of(self, start: np.ndarray, end: np.ndarray, kind: int = 0) -> np.ndarray:
+        return mixed((self.sums[kind][end] - self.sums[kind][start]) * Runs.down[start])
 
 
-def retained(words: list[bytes], least: int = LEAST, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Key, order and start (in words) of the suffixes kept of a text: two runs of words for each minimiser at most."""
+def run_words(least: int, seed: int) -> int:
+    """Words of the run by which a suffix is known."""
+    return seed + (least - seed + 1) // 2
+
+
+def retained(words: list[bytes], least: int = LEAST, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Key and start (in words) of the suffixes kept of a text: two runs of words for each minimiser at most."""
     n, window = len(words), least - seed + 1
     if n < least:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        return np.zeros(0, np.int64), np.zeros(0, np.int32)
     runs = Runs(words)
     at = np.arange(n - seed + 1)
     hashes = runs.of(at, at + seed)
@@ -73,138 +79,148 @@ def retained(words: list[bytes], least: int = LEAST, seed: int = SEED) -> tuple[
     for a in range(0, len(hashes) - window + 1, 1 << 14):  # in steps, for very long texts
         view = np.lib.stride_tricks.sliding_window_view(hashes[a : a + (1 << 14) + window - 1], window)
         chosen.append(np.unique(view.argmin(1) + np.arange(len(view))) + a)
-    places = np.unique(np.concatenate(chosen))
-    side = (least - seed + 1) // 2
-    starts = np.unique(np.r_[places, places - side])
-    starts = starts[(starts >= 0) & (starts + seed + side <= n)]
-    ends = starts + seed + side
-    key = runs.of(starts, ends)
-    order = runs.of(ends, np.minimum(n, ends + side))
-    return key.view(np.int64), (order & np.uint64(0x7FFFFFFF)).astype(np.int32), starts.astype(np.int32)
+    places, run = np.unique(np.concatenate(chosen)), run_words(least, seed)
+    starts = np.unique(np.r_[places, places - (run - seed)])
+    starts = starts[(starts >= 0) & (starts + run <= n)]
+    return runs.of(starts, starts + run).view(np.int64), starts.astype(np.int32)
 
 
 def suffixes(texts: DataFrame, least: int, seed: int) -> DataFrame:
-    """key, order, doc, start of every retained suffix."""
+    """key, doc, start of every retained suffix."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [retained(t.encode().split(), least, seed) for t in batch.column(1).to_pylist()]
         of = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
         cat = lambda k, kind: np.concatenate([f[k] for f in found]) if found else np.zeros(0, kind)
-        return pa.RecordBatch.from_arrays([pa.array(cat(0, np.int64)), pa.array(cat(1, np.int32)), batch.column(0).take(pa.array(of)), pa.array(cat(2, np.int32))], ["key", "order", "doc", "start"])
-
-    return texts.mapInArrow(by_slices(each), "key long, order int, doc long, start int")
+        return pa.RecordBatch.from_arrays([pa.array(cat(0, np.int64)), batch.column(0).take(pa.array(of)), pa.array(cat(1, np.int32))], ["key", "doc", "start"])
 
+    return texts.mapInArrow(by_slices(each), f"key long, doc {kind_of(texts)}, start int")
 
-LINK = "a long, b long, shift long, at long, key long, doc long, start int"
-_LINK = [c.split()[0] for c in LINK.split(", ")]
 
+def kind_of(texts: DataFrame) -> str:
+    return texts.schema["doc"].dataType.simpleString()
 
-def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates (a, b, shift: words of a's place past b's, at: a's place) from a task's sorted suffixes; also, of the first and last key
-    of the task, which other tasks may go on with, the suffix of the smallest document (key, doc, start).
 
-    Suffixes that go on alike are neighbours, the smallest document first: each of them is compared with that one, and these
-    first ones with the smallest document of the whole run so far.
-    """
-    head = least = None  # rows (key, order, doc, start): the first that goes on like this, and the key's smallest so far
-    first_key, ends = None, {}
+def with_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc, start of a task's sorted suffixes that have a neighbour's key; the task's first and last, too, as their
+    neighbours may be in other tasks."""
+    held = None  # the last row so far, and whether it has gone out
     for batch in batches:
-        key, order, doc, start = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        key = batch.column(0).to_numpy()
         if not len(key):
             continue
-        if first_key is None:
-            first_key = int(key[0])
-        same = np.r_[least is not None and least[0] == key[0], key[1:] == key[:-1]]
-        rows = np.flatnonzero(same | np.r_[same[1:], True] | (np.arange(len(key)) == 0))
-        links = set()
-        for k, o, d, s in zip(key[rows].tolist(), order[rows].tolist(), doc[rows].tolist(), start[rows].tolist()):
-            if least is None or least[0] != k:
-                if least is not None and least[0] == first_key:
-                    ends[first_key] = least
-                head = least = (k, o, d, s)
-                continue
-            other = head if head[1] == o else least
-            if other[2] != d:
-                links.add((d, other[2], s - other[3], s) if d > other[2] else (other[2], d, other[3] - s, other[3]))
-            if head[1] != o:
-                head = (k, o, d, s)
-            if (d, s) < least[2:]:
-                least = (k, o, d, s)
-        if links:
-            columns = [pa.array(x, pa.int64()) for x in zip(*links)]
-            none = pa.nulls(len(links), pa.int64())
-            yield pa.RecordBatch.from_arrays([*columns, none, none, pa.nulls(len(links), pa.int32())], _LINK)
-    if least is not None:
-        ends[least[0]] = least
-        key, _, doc, start = zip(*ends.values())
-        none = pa.nulls(len(key), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int32())], _LINK)
-
-
-def candidates(texts: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame:
-    """a, b, shift, first, last: documents a > b that share runs of words, with a's place `shift` words past b's, and the
-    first and last of the places in a where such a run starts."""
-    kept = stored(suffixes(texts, least, seed))
-    order = ["key", "order", "doc", "start"]
+        same = key[1:] == key[:-1]
+        out = np.r_[False, same] | np.r_[same, False]
+        if held is None:
+            out[0] = True
+        elif held[0] == key[0]:
+            out[0] = True
+            if not held[1]:
+                yield held[2]
+        yield batch.filter(pa.array(out)).select([1, 2])
+        held = int(key[-1]), bool(out[-1]), batch.slice(len(key) - 1).select([1, 2])
+    if held and not held[1]:
+        yield held[2]
+
+
+def repeated_suffixes(texts: DataFrame, least: int, seed: int) -> DataFrame:
+    """doc, start of the suffixes whose run another suffix has (and a few others, at the ends of tasks)."""
+    kept, order = stored(suffixes(texts, least, seed)), ["key", "doc", "start"]
     ranged = kept.repartitionByRange(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
-    found = stored(ranged.mapInArrow(neighbours, LINK))
+    found = stored(ranged.mapInArrow(with_neighbours, f"doc {kind_of(texts)}, start int"))
     dropped(texts.sparkSession, kept)
-    # Keys that go on in the next task: a row or two of each task.
-    ends = found.where("key IS NOT NULL").select("key", "doc", "start")
-    first = ends.groupBy("key").agg(F.min(F.struct("doc", "start")).alias("m"), F.count("*").alias("n")).where("n > 1")
-    shift = (F.col("start") - F.col("m.start")).cast("long")
-    across = ends.join(first, "key").where("doc > m.doc").select(F.col("doc").alias("a"), F.col("m.doc").alias("b"), shift.alias("shift"), F.col("start").cast("long").alias("at"))
-    links = found.where("key IS NULL").select("a", "b", "shift", "at").union(across)
-    return links.groupBy("a", "b", "shift").agg(F.min("at").alias("first"), F.max("at").alias("last"))
-
+    return found
 
-def stretches(words: list[bytes], other: list[bytes], shift: int, least: int) -> list[tuple[int, int]]:
-    """Start and end, in words, of the stretches of at least `least` words where words[i] is other[i - shift]."""
-    begin, end = max(0, shift), min(len(words), len(other) + shift)
-    out, at = [], begin
-    for i, (x, y) in enumerate(zip(words[begin:end], other[begin - shift : end - shift]), begin):
-        if x != y:
-            if i - at >= least:
-                out.append((at, i))
-            at = i + 1
-    return out + [(at, end)] * (end - at >= least)
 
+def surroundings(words: list[bytes], starts: np.ndarray, least: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Key of the suffixes that start there, and of each the hashes of the `least` words that begin at the run's start or up
+    to so many words before it that they still hold the run (0: where the text has no such words)."""
+    runs, run = Runs(words), run_words(least, seed)
+    begin = starts[:, None] - np.arange(least - run, -1, -1)
+    inside = (begin >= 0) & (begin + least <= len(words))
+    begin = np.where(inside, begin, 0)
+    return runs.of(starts, starts + run), np.where(inside, runs.of(begin, begin + least, 1) | np.uint64(1), np.uint64(0))
 
-FOUND = "row long, other long, start int, end int, repeat boolean"
 
-
-def compared(pairs: DataFrame, least: int) -> DataFrame:
-    """Each stretch, in both documents; pairs: a, b, shift, a_part and b_part (words joined by spaces), a_from and b_from
-    (the places of their first words)."""
+def extended(found: DataFrame, texts: DataFrame, least: int, seed: int) -> DataFrame:
+    """key, doc, start, around (surroundings(), 64 bits each) of these suffixes."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for x, y, shift, a_part, a_from, b_part, b_from in zip(*(batch.column(i).to_pylist() for i in range(7))):
-            for i, j in stretches(a_part.encode().split(), b_part.encode().split(), shift - a_from + b_from, least):
-                out.append((x, y, i + a_from, j + a_from, True))
-                out.append((y, x, i + a_from - shift, j + a_from - shift, False))
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
-        columns = list(zip(*out)) or [[]] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [c.split()[0] for c in FOUND.split(", ")])
-
-    return pairs.select("a", "b", "shift", "a_part", "a_from", "b_part", "b_from").mapInArrow(by_slices(each), FOUND)
-
-
-def with_parts(links: DataFrame, texts: DataFrame, least: int, seed: int) -> DataFrame:
-    """links with what is to be compared of both texts: from `least` words before the first shared run to as many after the
-    last. Longer passages have more shared runs, so the stretches found from these join."""
-    run = seed + (least - seed + 1) // 2
-    # One space between words, and the words counted, before texts meet their links: a link then only cuts at spaces.
-    spaced = F.trim(F.regexp_replace("text", r"[\x09-\x0D]" + SPACE + r"*|\x20" + SPACE + "+", " "))
-    lines = texts.select("doc_id", spaced.alias("line")).withColumn("words", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
-    out = links
-    for side, moved in (("a", F.lit(0)), ("b", F.col("shift"))):
-        begin = F.greatest(F.lit(0), F.col("first") - moved - least)
-        end = F.least(F.col("words"), F.col("last") - moved + run + least)
-        joined = out.join(lines.withColumnRenamed("doc_id", side), side)
-        part = F.call_function("substring_index", F.call_function("substring_index", F.col("line"), F.lit(" "), end.cast("int")), F.lit(" "), (begin - end).cast("int"))
-        out = joined.select(*out.columns, part.alias(f"{side}_part"), begin.alias(f"{side}_from"))
-    return out
+        of, keys, at, around = [], [], [], []
+        for i, (text, starts) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+            starts = np.unique(np.array(starts, np.int64))
+            key, hashes = surroundings(text.encode().split(), starts, least, seed)
+            data, width = hashes.astype("<u8").tobytes(), 8 * hashes.shape[1]
+            of += [i] * len(starts)
+            keys.append(key.view(np.int64))
+            at.append(starts.astype(np.int32))
+            around += [data[k : k + width] for k in range(0, len(data), width)]
+        cat = lambda x, kind: np.concatenate([np.zeros(0, kind), *x])
+        return pa.RecordBatch.from_arrays([pa.array(cat(keys, np.int64)), batch.column(0).take(pa.array(of, pa.int64())), pa.array(cat(at, np.int32)), pa.array(around, pa.binary())], ["key", "doc", "start", "around"])
+
+    places = found.groupBy("doc").agg(F.collect_list("start").alias("starts"))
+    return texts.join(places, "doc").select("doc", "text", "starts").mapInArrow(by_slices(each), f"key long, doc {kind_of(texts)}, start int, around binary")
+
+
+def matched(least: int, shift: int):
+    """A function for mapInArrow over sorted suffixes (key, doc, start, around): the words [start, end) of row that other
+    has too; repeat: other is smaller. Of the first and last key of a task, which others may go on with, also each hash's
+    smallest document (key, hash, other; start: where its words begin). shift: words before a run where `around` begins."""
+
+    def stretches(begins: list[tuple[int, object]]) -> Iterator[tuple[int, int, object]]:
+        """Of places in order, each with the document that has its words, those that follow one another as one."""
+        at = 0
+        for i in range(1, len(begins) + 1):
+            if i == len(begins) or begins[i][0] != begins[i - 1][0] + 1 or begins[i][1] != begins[at][1]:
+                yield begins[at][0], begins[i - 1][0] + least, begins[at][1]
+                at = i
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, first, smallest, answered, ends = None, None, {}, {}, []
+        for batch in batches:
+            rows: list[tuple] = []
+            for k, doc, start, around in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if k != key:
+                    rows += [(y, a, b, x, False, None, None) for y, places in answered.values() for a, b, x in stretches(sorted(places.items()))]
+                    if key is not None and key == first:
+                        ends.append((key, smallest))
+                    first = k if first is None else first
+                    key, smallest, answered = k, {}, {}
+                mine = []
+                for place, h in enumerate(np.frombuffer(around, "<u8").tolist(), start - shift):
+                    if not h:
+                        continue
+                    y = smallest.setdefault(h, (doc, place))
+                    if y[0] != doc:
+                        mine.append((place, y[0]))
+                        answered.setdefault(str(y[0]), (y[0], {}))[1].setdefault(y[1], doc)
+                rows += [(doc, a, b, x, True, None, None) for a, b, x in stretches(mine)]
+            yield batch_of(rows, batch.schema.field(1).type)
+            kind = batch.schema.field(1).type
+        if key is not None:
+            rows = [(y, a, b, x, False, None, None) for y, places in answered.values() for a, b, x in stretches(sorted(places.items()))]
+            for k, held in [*ends, (key, smallest)]:
+                rows += [(None, place, None, doc, None, k, h - (1 << 64) if h >> 63 else h) for h, (doc, place) in held.items()]
+            yield batch_of(rows, kind)
+
+    def batch_of(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        types = [kind, pa.int32(), pa.int32(), kind, pa.bool_(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 7, types)], ["row", "start", "end", "other", "repeat", "key", "hash"])
+
+    return run
+
+
+def stretches_of(texts: DataFrame, least: int, seed: int) -> DataFrame:
+    """row, other, start, end, repeat: words of row that other has too; repeat: other is smaller."""
+    around = extended(repeated_suffixes(texts, least, seed), texts, least, seed)
+    order, kind = ["key", "doc", "start"], kind_of(texts)
+    ranged = around.repartitionByRange(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    found = stored(ranged.mapInArrow(matched(least, least - run_words(least, seed)), f"row {kind}, start int, end int, other {kind}, repeat boolean, key long, hash long"))
+    # Keys that go on in the next task: what each task had as the smallest meets the smallest of all.
+    ends = found.where("key IS NOT NULL").select("key", "hash", F.col("other").alias("row"), "start")
+    whole = ends.groupBy("key", "hash").agg(F.min("row").alias("least"), F.max("row").alias("most")).where("least <> most")
+    across = ends.join(whole, ["key", "hash"]).select("row", F.when(F.col("row") == F.col("least"), F.col("most")).otherwise(F.col("least")).alias("other"), "start", (F.col("start") + least).alias("end"), (F.col("row") != F.col("least")).alias("repeat"))
+    return found.where("key IS NULL").select("row", "other", "start", "end", "repeat").union(across)
 
 
 def with_characters(spans: DataFrame, texts: DataFrame) -> DataFrame:
@@ -221,8 +237,8 @@ def with_characters(spans: DataFrame, texts: DataFrame) -> DataFrame:
                 end_char.append(places[end - 1][1])
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(start_char, pa.int32()), pa.array(end_char, pa.int32())], [*batch.schema.names[:5], "start_char", "end_char"])
 
-    of = texts.select(F.col("doc_id").alias("row"), "text")
-    return spans.join(of, "row").select("row", "other", "start", "end", "repeat", "text").mapInArrow(run, FOUND + ", start_char int, end_char int")
+    of, kind = texts.select(F.col("doc").alias("row"), "text"), kind_of(texts)
+    return spans.join(of, "row").select("row", "other", "start", "end", "repeat", "text").mapInArrow(run, f"row {kind}, other {kind}, start int, end int, repeat boolean, start_char int, end_char int")
 
 
 def joined_spans(spans: DataFrame) -> DataFrame:
@@ -236,33 +252,57 @@ def joined_spans(spans: DataFrame) -> DataFrame:
     return joined.select("row", "other", "start", "end", "repeat")
 
 
+def documents_of(df: DataFrame, id_col: str, text_col: str, least: int) -> tuple[DataFrame, bool]:
+    """doc, text of the texts that may hold a passage; whether a document is more than its id.
+
+    Where ids are null or repeat, a document is an id and a text (known by a hash), those without an id last.
+    """
+    texts = keyed_text(df, id_col, text_col).where(F.length("text") >= 2 * least - 1)
+    plain = texts.where("doc_id IS NULL").isEmpty() and texts.groupBy("doc_id").count().where("count > 1").isEmpty()
+    if plain:
+        return texts.select(F.col("doc_id").alias("doc"), "text"), False
+    several = texts.select(document(F.col("doc_id"), F.col("text")).alias("doc"), "text")
+    return several.groupBy("doc").agg(F.first("text").alias("text")), True
+
+
+def document(id: Column, text: Column) -> Column:
+    return F.struct(id.isNull().alias("none"), id.alias("doc_id"), F.xxhash64(text).alias("hash"))
+
+
+def passages(texts: DataFrame, least: int, seed: int) -> DataFrame:
+    """row, start, end, start_char, end_char, other, repeat; row and other are documents (doc of texts)."""
+    return with_characters(joined_spans(stretches_of(texts, least, seed)), texts)
+
+
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, seed: int = SEED) -> DataFrame:
     """doc_id, start, end (words), start_char, end_char (code points), other_doc_id, repeat: passages of at least `least`
     words that stand in another document too, overlapping ones as one row.
 
-    repeat: a document with a smaller id has it, so it may go; else a greater one that it was compared with has it. Every
-    passage has a row, in the document with the smallest id one without repeat. other_doc_id: the smallest such document that
-    it was compared with. Words are what white space separates, compared as they are. Null and short texts have none. Ids must
-    be whole numbers; rows without an id are left out, and of rows that repeat an id only one text is read, the greatest.
+    repeat: a document with a smaller id has all of its stretches of `least` words, so it may go; else a greater one has
+    them. Every passage has a row with repeat in each document but the one with the smallest id, and one without repeat
+    there. other_doc_id: one of the documents that have it. Words are what white space separates, compared as they are.
+    Null and short texts have none. Ids may be of any orderable type. Rows that repeat an id and a text are one document;
+    other texts of the same id are documents of their own, and so are texts without an id, which come last.
     """
-    texts = keyed_text(df, id_col, text_col).where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = texts.where(F.length("text") >= 2 * least - 1)
-    if texts.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        texts = texts.groupBy("doc_id").agg(F.max("text").alias("text"))
-    links = stored(candidates(texts, least, seed))
-    spans = joined_spans(compared(with_parts(links, texts, least, seed), least))
-    found = with_characters(spans, texts)
-    return found.select(F.col("row").alias("doc_id"), "start", "end", "start_char", "end_char", F.col("other").alias("other_doc_id"), "repeat")
+    texts, several = documents_of(df, id_col, text_col, least)
+    found = passages(texts, least, seed)
+    name = lambda c: F.col(f"{c}.doc_id") if several else F.col(c)
+    return found.select(name("row").alias("doc_id"), "start", "end", "start_char", "end_char", name("other").alias("other_doc_id"), "repeat")
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
-    """df with the passages that a smaller document has cut out of its texts; all rows and other columns stay."""
-    found = repeated_passages(df, id_col, text_col, least).where("repeat")
-    cuts = found.groupBy(F.col("doc_id").alias("__of")).agg(F.sort_array(F.collect_list(F.struct("start_char", "end_char"))).alias("__cuts"))
+    """df with the passages that a smaller document has cut out of its texts; all rows and other columns stay.
+
+    Where ids are null or repeat, a row's own text decides what is cut from it; rows equal in both are cut alike.
+    """
+    texts, several = documents_of(df, id_col, text_col, least)
+    found = passages(texts, least, SEED).where("repeat")
+    cuts = found.groupBy(F.col("row").alias("__of")).agg(F.sort_array(F.collect_list(F.struct("start_char", "end_char"))).alias("__cuts"))
     text = F.col(f"`{text_col}`")
     # What stands between the cuts: from each one's end (first: the text's start) to the next one's start.
     ends = F.concat(F.array(F.lit(0)), F.transform("__cuts", lambda c: c["end_char"]))
     starts = F.concat(F.transform("__cuts", lambda c: c["start_char"]), F.array(F.length(text)))
     left = F.array_join(F.transform(F.arrays_zip(ends.alias("e"), starts.alias("s")), lambda p: F.substring(text, p["e"] + 1, p["s"] - p["e"])), "")
-    joined = df.join(cuts, F.col(f"`{id_col}`") == F.col("__of"), "left")
+    own = F.col(f"`{id_col}`")
+    joined = df.join(cuts, document(own, F.coalesce(text, F.lit(""))) == F.col("__of") if several else own == F.col("__of"), "left")
     return joined.select(*(F.when(F.col("__cuts").isNotNull(), left).otherwise(text).alias(text_col) if c == text_col else df[f"`{c}`"] for c in df.columns))

@@ -1,9 +1,11 @@
 import random
 from collections import defaultdict
 
-from loamworks.llm.suffix_dedup import repeated_passages, retained, stretches, without_repeats
+import numpy as np
+from pyspark.sql import functions as F
+
+from loamworks.llm.suffix_dedup import Runs, repeated_passages, retained, surroundings, without_repeats
 
-from .conftest import ODD
 
 
 def plain(rows, least):
@@ -75,8 +77,35 @@ def test_crowd_and_sample(docs, sample):
     same(got(sample[0], 50), plain(rows, 50))
 
 
+def test_part_in_a_smaller_document(docs):
+    """Passages of exactly 50 words in two documents each, of which a smaller one has 33 to 49 words: none is lost."""
+    rng, rows = random.Random(7), []
+    word = lambda: f"w{rng.random()}"
+    for k in range(150):
+        passage, n = [word() for _ in range(50)], rng.randrange(33, 50)
+        at = rng.randrange(0, 51 - n)
+        around = lambda x: " ".join([word() for _ in range(rng.randrange(0, 40))] + x + [word() for _ in range(rng.randrange(0, 40))])
+        rows += [(k, around(passage[at : at + n])), (1000 + 2 * k, around(passage)), (1001 + 2 * k, around(passage))]
+    rows += [(5000 + k, " ".join([f"l{i}" for i in range(45)] + [f"c{k % 7}-{i}" for i in range(10)] + [word() for _ in range(30)])) for k in range(80)]
+    have = got(docs(rows), 50)
+    same(have, plain(rows, 50))
+    assert sum((1001 + 2 * k, True) in have for k in range(150)) == 150
+
+
+def test_keys_that_go_on_in_other_tasks(docs, spark):
+    """A passage that all documents have, and parts that few share, over more tasks than keys."""
+    rng = random.Random(9)
+    line = [f"l{i}" for i in range(40)]
+    rows = [(d, " ".join([f"a{d % 5}-{i}" for i in range(12)] + line + [f"b{d % 11}-{i}" for i in range(12)] + [f"{rng.random()}" for _ in range(5)])) for d in range(200)]
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        same(got(docs(rows), 50), plain(rows, 50))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_odd_texts_and_cutting(odd, docs):
-    assert {k for k, _ in got(odd.where("doc_id <> 5"), 50)} <= {8}
+    assert {k for k, _ in got(odd, 50)} <= {8}
     assert got(docs([]), 50) == {}
     p = " ".join(f"p{i}" for i in range(60))
     df = docs([(1, "a " + p + " b"), (2, "ü\n" + p + " d " + p), (3, None), (4, "c")]).withColumnsRenamed({"n_chars": "start", "source": "doc"})
@@ -84,7 +113,22 @@ def test_odd_texts_and_cutting(odd, docs):
     assert out == {1: "a " + p + " b", 2: "ü\n d ", 3: None, 4: "c"}
 
 
+def test_repeated_null_and_string_ids(docs):
+    """Each text is cut by its own passages; of equal rows both are, and texts without an id come last."""
+    p, q, u = (" ".join(f"{c}{i}" for i in range(60)) for c in "pqu")
+    rows = [(1, p + " x"), (2, "y " + p), (2, u + " " + q), (2, "y " + p), (3, q + " z"), (None, "n " + u), (None, "m"), (4, None)]
+    want = [(1, p + " x"), (2, "y "), (2, u + " " + q), (2, "y "), (3, " z"), (None, "n "), (None, "m"), (4, None)]
+    text = lambda rows: sorted((str(d), str(t)) for d, t in rows)
+    df = docs(rows)
+    assert text((r.doc_id, r.text) for r in without_repeats(df).collect()) == text(want)
+    assert {(r.doc_id, r.repeat) for r in repeated_passages(df).collect()} == {(1, False), (2, True), (2, False), (3, True), (None, True)}
+    named = docs([r for r in rows[:2]]).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert {r.doc_id: r.text for r in without_repeats(named).collect()} == {"d1": p + " x", "d2": "y "}
+
+
 def test_parts():
-    assert stretches([b"x", b"a", b"b", b"c"], [b"a", b"b", b"d"], 1, 2) == [(1, 3)]
     assert len(retained([b"w"] * 49)[0]) == 0 and len(retained([b"w"] * 50)[0]) > 0
-    assert len(ODD)
+    words = [str(i).encode() for i in range(70)]
+    key, around = surroundings(words, np.array([0, 10, 30]), 50, 16)
+    assert around.shape == (3, 18) and key[1] == Runs(words[10:43]).of(np.array([0]), np.array([33]))[0]
+    assert [int((a > 0).sum()) for a in around] == [1, 11, 8] and around[1][-1] == Runs(words[10:60]).of(np.array([0]), np.array([50]), 1)[0] | np.uint64(1)
