@@ -21,11 +21,20 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+def sentence_parts(c: Column, abbreviations: Iterable[str] = ABBREVIATIONS) -> Column:
+    """Sentences as they stand, blank ones too; an abbreviation's full stop is DOT. Only full stops are looked behind."""
+    kept = F.regexp_replace(c, rf"\.(?<=(?<!\p{{L}})(?i:{'|'.join(abbreviations)})\.)", DOT)
+    return F.split(F.regexp_replace(kept, r"([.!?])\s+", f"$1{END}"), END)
+
+
 def sentences(c: Column, abbreviations: Iterable[str] = ABBREVIATIONS) -> Column:
     """Sentences of a text: ended by . ! ? and white space, but not by an abbreviation's full stop. Blank ones are left out."""
-    kept = F.regexp_replace(c, rf"(?i)(^|[^\p{{L}}])({'|'.join(abbreviations)})\.", f"$1$2{DOT}")
-    parts = F.split(F.regexp_replace(kept, r"([.!?])\s+", f"$1{END}"), END)
-    return F.filter(F.transform(parts, lambda s: strip(F.replace(s, F.lit(DOT), F.lit(".")))), lambda s: s != "")
+    return F.filter(F.transform(sentence_parts(c, abbreviations), lambda s: strip(F.replace(s, F.lit(DOT), F.lit(".")))), lambda s: s != "")
+
+
+def sentence_lengths(c: Column, abbreviations: Iterable[str] = ABBREVIATIONS) -> Column:
+    """Words of each of the sentences()."""
+    return F.filter(F.transform(sentence_parts(c, abbreviations), word_count), lambda n: n > 0)
 
 
 def tokens(c: Column) -> Column:
@@ -54,14 +63,17 @@ def ngrams(words: Column, n: int) -> Column:
 
 
 def contractions(c: Column) -> Column:
-    return F.regexp_count(F.lower(c), F.lit(r"[a-z]+'(?:t|s|re|ve|ll|d|m)\b")).cast("long")
+    lower = F.lower(c)
+    found = F.regexp_count(lower, F.lit(r"(?<=[a-z])'(?:t|s|re|ve|ll|d|m)\b"))
+    return F.when(F.contains(lower, F.lit("'")), found).when(lower.isNotNull(), F.lit(0)).cast("long")
 
 
 def occurrences(c: Column, character: str) -> Column:
     return (F.length(c) - F.length(F.replace(c, F.lit(character), F.lit("")))).cast("long")
 
 
-PUNCTUATION = {"em_dash": "—", "en_dash": "–", "comma": ",", "semicolon": ";", "colon": ":", "question": "?", "exclamation": "!", "ellipsis": "…", "parenthesis": "(", "quote": '"'}
+#: The ten marks that are counted, by name.
+PUNCTUATION = {"comma": ",", "period": ".", "question": "?", "exclamation": "!", "semicolon": ";", "colon": ":", "em_dash": "—", "open_paren": "(", "close_paren": ")", "quote": '"'}
 
 
 def punctuation(c: Column) -> dict[str, Column]:
@@ -73,17 +85,26 @@ def paragraphs(c: Column) -> Column:
 
 
 def phrase_pattern(phrase: str) -> str:
-    """A phrase at word borders (of any letters), with any white space between its words."""
-    return r"(?<![\p{L}\p{N}])" + r"\s+".join(map(re.escape, phrase.lower().split())) + r"(?![\p{L}\p{N}])"
+    """A phrase at word borders (of any letters), with any white space between its words. What stands before its first word
+    is looked at once that word is there."""
+    first, *rest = map(re.escape, phrase.lower().split())
+    return r"\s+".join([rf"{first}(?<![\p{{L}}\p{{N}}]{first})", *rest]) + r"(?![\p{L}\p{N}])"
+
+
+def may_have(lower: Column, phrase: str) -> Column:
+    """Whether a lower-case text has the phrase's longest word at all: a plain search, before the pattern."""
+    return F.contains(lower, F.lit(max(phrase.lower().split(), key=len)))
 
 
 def phrase_count(c: Column, phrase: str) -> Column:
-    return F.regexp_count(F.lower(c), F.lit(phrase_pattern(phrase))).cast("long")
+    lower = F.lower(c)
+    return F.when(may_have(lower, phrase), F.regexp_count(lower, F.lit(phrase_pattern(phrase)))).when(lower.isNotNull(), F.lit(0)).cast("long")
 
 
 def matched_phrases(c: Column, phrases: Iterable[str]) -> Column:
     """The phrases that a text has, in the order of the list."""
-    return F.array_compact(F.array(*(F.when(F.lower(c).rlike(phrase_pattern(p)), F.lit(p)) for p in phrases), F.lit(None).cast("string")))
+    lower = F.lower(c)
+    return F.array_compact(F.array(*(F.when(may_have(lower, p) & lower.rlike(phrase_pattern(p)), F.lit(p)) for p in phrases), F.lit(None).cast("string")))
 
 
 def rate(count: Column, words: Column, per: int = 1000) -> Column:

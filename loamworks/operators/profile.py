@@ -47,9 +47,23 @@ def top_grams(df: DataFrame, n: int, k: int, by: list[str], stop: tuple[str, ...
     words = F.split("gram", " ")
     keep = (~F.col("gram").isin(*stop) & (F.length("gram") > 1)) if n == 1 else F.exists(words, lambda w: ~w.isin(*stop))
     counts = grams.where(keep).groupBy(*by, "gram").agg(F.count("*").alias("n"))
+    return ranked(counts, by, k)
+
+
+def ranked(counts: DataFrame, by: list[str], k: int) -> DataFrame:
+    """The k rows of the greatest n in each group, ties by the gram, with their rank."""
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "gram")).cast("long")).where(F.col("rank") <= k)
 
 
+def first_seen_top(df: DataFrame, by: list[str], order: list[str], k: int, text: str = "text") -> DataFrame:
+    """by, gram, n, first, rank: the k most frequent words of each group, ties by where a word first stands (order, then its
+    place in the text). Only a count and the first place of each word are kept in a task."""
+    each = df.select(*by, F.struct(*order).alias("of"), F.posexplode(T.tokens(F.col(text))).alias("at", "gram"))
+    counts = each.groupBy(*by, "gram").agg(F.count("*").alias("n"), F.min(F.struct("of", "at")).alias("first"))
+    best = Window.partitionBy(*by).orderBy(F.desc("n"), "first")
+    return counts.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
+
+
 def phrase_rates(df: DataFrame, lists: dict[str, tuple[str, ...]], by: list[str], text: str = "text") -> DataFrame:
     """by, lexicon, n, per_1k: how often a list's phrases occur, and for every thousand words."""
     total = lambda ps: sum((T.phrase_count(F.col(text), p) for p in ps), F.lit(0))

@@ -34,7 +34,7 @@ class Rules:
 def signals(df: DataFrame, rules: Rules, text: str = "text") -> DataFrame:
     """The columns of df and what the rules look at: counts, sentence rhythm, matched phrases."""
     t = F.col(text)
-    lengths = F.transform(T.sentences(t), T.word_count)
+    lengths = T.sentence_lengths(t)
     out = df.withColumns({"n_words": T.word_count(t), "lengths": lengths, "em_dash": T.occurrences(t, "—"), "contractions": T.contractions(t), "expandable": sum((T.phrase_count(t, p) for p in rules.expandable), F.lit(0))})
     out = out.withColumns({f"matched_{name}": T.matched_phrases(t, phrases) for name, _, phrases in rules.phrase_rules})
     n = F.size("lengths").cast("long")

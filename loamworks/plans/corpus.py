@@ -311,8 +311,12 @@ def chunk_units(spark, sf_dir):
 
 @query()
 def ffd_bundles(spark, sf_dir):
-    sized = docs(spark, sf_dir).withColumn("size", F.octet_length("text")).withColumn("unit", F.floor(F.col("doc_id") / 500))
-    return units.bundles(sized.where("size <= 30720"), "doc_id", "size", 85_000, "unit")
+    """Short documents as they are and the chunks of long ones, bundled in units of 500 ids."""
+    sized = docs(spark, sf_dir).withColumn("size", F.octet_length("text").cast("long"))
+    whole = sized.where("size <= 30720").select(F.struct("doc_id", F.lit(0).cast("long").alias("part")).alias("piece"), "size")
+    cut = units.chunks(sized.where("size > 30720"), "doc_id", "text", 30_720, 200).select(F.struct("doc_id", "part").alias("piece"), F.col("bytes").alias("size"))
+    pieces = whole.unionAll(cut).withColumn("unit", F.floor(F.col("piece.doc_id") / 500))
+    return units.bundles(pieces.select(F.concat_ws(":", "piece.doc_id", "piece.part").alias("piece"), "size", "unit"), "piece", "size", 85_000, "unit")
 
 
 @query()

@@ -24,7 +24,7 @@ def test_components_of_all_lines(spark):
     for r in spark.read.parquet(f"{base}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey").collect():
         a, b = sorted((find(r[0]), find(1_000_000_000 + r[1] * 100 + r[2])))
         root[b] = a
-    assert dict(queries()["order_components_all"](spark, base).select("node", "component").collect()) == {x: find(x) for x in root}
+    assert dict(queries()["order_components"](spark, base).select("node", "component").collect()) == {x: find(x) for x in root}
 
 
 def test_components(spark):
