@@ -32,7 +32,7 @@ FACTOR = np.uint64(0x9E3779B97F4A7C15)
 SCALE = 100.0
 #: Runs of letters, and of numbers such as superscripts or Roman numerals, at which Words cuts them.
 WORD = re.compile(r"[^\W\d_]+")
-STORE_WORDS = 400_000
+STORE_WORDS = 200_000
 UNDETERMINED = "und"
 
 
@@ -249,6 +249,7 @@ _BUILT: dict[int, Scorer] = {}
 def _scorer(model) -> Scorer:
     key = hash(model.value)
     if key not in _BUILT:
+        _BUILT.clear()  # a worker that outlives a job keeps one model
         _BUILT[key] = Scorer(model.value)
     return _BUILT[key]
 

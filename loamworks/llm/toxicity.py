@@ -32,7 +32,7 @@ BUCKETS = 1 << 18
 WORD = re.compile(r"\w+")
 #: Tokens of a training sequence; longer documents are several sequences there. Scoring takes whole documents.
 WINDOW = 128
-STORE_WORDS = 150_000
+STORE_WORDS = 60_000
 
 
 def names(word: str) -> tuple[str, str, str]:
@@ -252,6 +252,7 @@ _BUILT: dict[int, Scorer] = {}
 def _scorer(model) -> Scorer:
     key = hash(model.value)
     if key not in _BUILT:
+        _BUILT.clear()  # a worker that outlives a job keeps one model
         _BUILT[key] = Scorer(model.value)
     return _BUILT[key]
 
