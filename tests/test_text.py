@@ -51,9 +51,9 @@ def test_rewrite(value):
 
 def test_scores(spark):
     rules = scoring.Rules()
-    texts = ["", "We groundbreaking — synergy. It is arguably so.", "It's fine. " * 3]
+    texts = ["", "We groundbreaking — onboarding. It is presumably so.", "It's fine. " * 3]
     rows = scoring.scored(spark.createDataFrame([(t,) for t in texts], "text string"), rules).collect()
-    assert [r.score for r in rows] == [100, 54, 100]
+    assert [r.score for r in rows] == [100, 43, 100]
     assert [v.rule for v in rows[1].violations] == ["em_dash_banned", "corporate_word", "inflated_claim", "hedge", "no_contractions"]
     uniform = spark.createDataFrame([(" ".join(["One two three four five six seven eight nine."] * 5),), ("word " * 60 + ".",)], "text string")
     assert [[v.rule for v in r.violations] for r in scoring.scored(uniform, rules).collect()] == [["uniform_rhythm"], ["sentence_too_long"]]
