@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_slices, keyed_text, stored
+from .common import by_slices, keyed_text, spread_join, stored
 from .components import connected_components
 
 BITS = 64
@@ -130,6 +130,7 @@ def near_components(prints: DataFrame, distance: int = 2, blocks: int = 4) -> Da
     links = near_links(values.select("fingerprint"), distance, blocks)
     nodes = connected_components(links).select(F.col("node").alias("fingerprint"), "component")
     placed = values.join(nodes, "fingerprint", "left").select("fingerprint", "least", F.coalesce("component", "fingerprint").alias("component"))
+    placed = stored(placed)
     smallest = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = placed.join(smallest, "component").select("fingerprint", "component_id")
-    return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    named = spread_join(placed, smallest, "component").select("fingerprint", "component_id")
+    return spread_join(prints, named, "fingerprint").select("doc_id", "fingerprint", "component_id")

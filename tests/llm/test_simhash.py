@@ -2,6 +2,7 @@ import random
 
 import xxhash
 
+from loamworks.llm.common import spread_join
 from loamworks.llm.components import connected_components
 from loamworks.llm.queries import op2_simhash
 from loamworks.llm.simhash import near_components, near_links, signed, simhash
@@ -88,3 +89,21 @@ def test_components(spark):
     edges = [(1, 2), (2, 1), (3, 3), (None, 4), (5, 6), (6, 7), (8, 7), (2, 9)]
     got = dict(connected_components(spark.createDataFrame(edges, "x long, y long")).collect())
     assert got == {1: 1, 2: 1, 9: 1, 5: 5, 6: 5, 7: 5, 8: 5}
+
+
+def test_hot_keys_are_dealt(spark):
+    """A star with most of the edges, and rows of one fingerprint: joins of hot keys lose and repeat nothing."""
+    edges = [(0, k) for k in range(1, 2000)] + [(5000 + k, 5001 + k) for k in range(5)] + [(1999, 7000)]
+    got = dict(connected_components(spark.createDataFrame(edges, "x long, y long")).collect())
+    assert got == {**{k: 0 for k in range(2000)}, 7000: 0, **{5000 + k: 5000 for k in range(6)}}
+    rows = spark.createDataFrame([(k, 1 if k % 3 else None if k % 2 else k) for k in range(900)] + [(1, 1)] * 5, "id long, key long")
+    table = spark.createDataFrame([(k, f"t{k}") for k in range(0, 900)] + [(None, "none")], "key long, of string")
+    plain = sorted(rows.join(table, "key").collect())
+    assert sorted(spread_join(rows, table, "key", hot_rows=10).collect()) == plain
+    assert sorted(spread_join(rows.withColumn("more", rows.id).select("key", "id"), table, "key", rows, hot_rows=50).collect()) == plain
+    assert spread_join(rows.limit(0), table, "key").count() == 0
+
+
+def test_crowd_of_one_fingerprint(spark):
+    prints = [(k, 77) for k in range(1000, 3000)] + [(5, 76), (6, 1 << 40)]
+    assert linked(spark, prints) == wanted(prints)
