@@ -70,21 +70,29 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def hot_keys(rows: DataFrame, key: str, hot_rows: int = HOT_ROWS, hot_parts: int = HOT_PARTS) -> DataFrame | None:
+    """key, __parts: the keys with more rows than the limit, and how many parts bring each below it, to be broadcast (none: None).
+
+    Fewer than hot_parts keys can have so many rows, so that few come to the driver.
+    """
+    limit = max(hot_rows, rows.count() // hot_parts)
+    hot = rows.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > limit)
+    hot = hot.select(key, F.ceil(F.col("count") / limit).cast("int").alias("__parts"))
+    known = hot.collect()
+    return F.broadcast(rows.sparkSession.createDataFrame(known, hot.schema)) if known else None
+
+
 def spread_join(rows: DataFrame, table: DataFrame, key: str, counted: DataFrame | None = None, hot_rows: int = HOT_ROWS, hot_parts: int = HOT_PARTS) -> DataFrame:
     """rows joined with table on key (inner), a hot key's rows dealt over many tasks.
 
     The keys of counted are counted first: a stored table with some of rows' columns and all of its rows (None: rows itself);
     table has one row for each key. The rows of a hot key take one of as many numbers as bring each below the limit, by a
-    hash of counted's columns, and the key's row of table is repeated for each number. Only hot keys, fewer than hot_parts, come to the driver and are broadcast. Null keys meet nothing.
+    hash of counted's columns, and the key's row of table is repeated for each number. Only hot keys are broadcast. Null keys meet nothing.
     """
     counted = rows if counted is None else counted
-    limit = max(hot_rows, counted.count() // hot_parts)
-    hot = counted.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > limit)
-    hot = hot.select(key, F.ceil(F.col("count") / limit).cast("int").alias("__parts"))
-    known = hot.collect()
-    if not known:
+    parts = hot_keys(counted, key, hot_rows, hot_parts)
+    if parts is None:
         return rows.join(table, key)
-    parts = F.broadcast(rows.sparkSession.createDataFrame(known, hot.schema))
     dealt = rows.join(parts, key, "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in counted.columns)), "__parts"), F.lit(0)).cast("int"))
     repeated = table.join(parts, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)))
     return dealt.drop("__parts").join(repeated.drop("__parts"), [key, "__part"]).drop("__part")
