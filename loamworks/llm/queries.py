@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, packing, quality, secrets, sharding, suffix_dedup, toxicity
+from . import bpe, exact_dedup, langid, packing, periodic, quality, secrets, sharding, suffix_dedup, toxicity
 from . import simhash as sim
-from .common import documents, labels
+from .common import NOT_SPACE, documents, labels
 
 SHARDS = 24
 
@@ -69,6 +69,33 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (langid.fold() == 2).alias("held_out"), "lang_pred", "score")
 
 
+def with_cycles(docs: DataFrame) -> DataFrame:
+    """Documents of which each tenth (by a checksum of the id) goes on repeating some of its words from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(f"{NOT_SPACE}+"), F.lit(0))
+    n, g = F.size(words), F.floor(h / 10)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    cycle = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    changed = F.array_join(F.concat(F.slice(words, F.lit(1), a), F.slice(cycle, F.lit(1), n - a)), " ")
+    return docs.withColumn("text", F.when((h % 10 == 0) & F.col("text").rlike(NOT_SPACE), changed).otherwise(F.col("text")))
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(with_cycles(documents(spark, sf_dir).select("doc_id", "text")), least=6, exponent=4)
+    line = lambda r: F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period")))
+    lines = F.concat(F.array_join(F.transform("runs", line), "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    best = F.col("strongest")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(best[c].alias(c) for c in ("start", "length", "period")),
+        F.expr("(1000 * strongest.length) div strongest.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 OP9_SQL = r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS text FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS keep_id, count(*) OVER (PARTITION BY text) AS group_size,
@@ -117,6 +144,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_langid": op10_langid,
+    "op11_runs": op11_runs,
 }
 
 ORACLES: dict[str, str] = {"op8_quality": _op8_sql(), "op9_exact_dedup": OP9_SQL}
