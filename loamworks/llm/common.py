@@ -28,6 +28,10 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
 def keyed_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns an operator reads, under names of its own; a null text is empty.
 
@@ -55,11 +59,11 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/loam-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, at: str | None = None) -> DataFrame:
+def stored(df: DataFrame, at: str | None = None, codec: str | None = None) -> DataFrame:
     """df written to the shared folder and read again: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = at or shared_dir(spark)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

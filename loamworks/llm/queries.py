@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, packing, periodic, quality, secrets, sharding, suffix_dedup, toxicity
+from . import bpe, exact_dedup, langid, packing, periodic, quality, secrets, sharding, suffix_dedup, toxicity, wrappers
 from . import simhash as sim
-from .common import NOT_SPACE, documents, labels
+from .common import NOT_SPACE, documents, labels, pages
 
 SHARDS = 24
 
@@ -96,6 +96,10 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_text(pages(spark, sf_dir))
+
+
 OP9_SQL = r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS text FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS keep_id, count(*) OVER (PARTITION BY text) AS group_size,
@@ -133,6 +137,15 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+#: The pages of the tables mark their article as such; SQL reads that mark and splits at the tags of blocks.
+OP12_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(html, '<article[^>]*>(.*?)(</article>|$)', 1, 's') AS inner_html FROM pages),
+b AS (SELECT page_id, url, list_transform(string_split_regex(inner_html, '</?(p|h1|article|div|ul|li)[^>]*>'), lambda x:
+  trim(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&amp;?', chr(1), 'g'), '&quot;', '"'), '&lt;', '<'), chr(1), '&'), '\s+', ' ', 'g'))) AS blocks FROM a),
+t AS (SELECT page_id, url, coalesce(array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10) || chr(10)), '') AS text FROM b)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
@@ -145,6 +158,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_langid": op10_langid,
     "op11_runs": op11_runs,
+    "op12_pages": op12_pages,
 }
 
-ORACLES: dict[str, str] = {"op8_quality": _op8_sql(), "op9_exact_dedup": OP9_SQL}
+ORACLES: dict[str, str] = {"op8_quality": _op8_sql(), "op9_exact_dedup": OP9_SQL, "op12_pages": OP12_SQL}
