@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, packing, periodic, quality, secrets, sharding, suffix_dedup, toxicity, wrappers
+from . import bpe, collocations, exact_dedup, langid, packing, periodic, quality, secrets, sharding, suffix_dedup, toxicity, wrappers
 from . import simhash as sim
 from .common import NOT_SPACE, documents, labels, pages
 
@@ -100,6 +100,10 @@ def op12_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.main_text(pages(spark, sf_dir))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir), least=30, words=4, top=2000)
+
+
 OP9_SQL = r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS text FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS keep_id, count(*) OVER (PARTITION BY text) AS group_size,
@@ -146,6 +150,24 @@ t AS (SELECT page_id, url, coalesce(array_to_string(list_filter(blocks, lambda x
 SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t
 """
 
+OP13_SQL = r"""
+WITH p AS (SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k))),
+c AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+t AS (SELECT lang, sum(a)::BIGINT AS n FROM c WHERE k = 1 GROUP BY lang),
+f AS (SELECT *, string_split(phrase, ' ') AS w FROM c WHERE a >= 30),
+u AS (SELECT f.lang, f.k, f.phrase, f.a, cut, x.a AS l, y.a AS r, (2000000::HUGEINT * f.a) // (x.a + y.a) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM f WHERE k > 1) f
+  JOIN (SELECT lang, phrase, a FROM f) x ON x.lang = f.lang JOIN (SELECT lang, phrase, a FROM f) y ON y.lang = f.lang
+  AND x.phrase = array_to_string(f.w[1 : cut], ' ') AND y.phrase = array_to_string(f.w[cut + 1 : k], ' ')),
+b AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+i AS (SELECT DISTINCT f.lang, array_to_string(f.w[s : s + m - 1], ' ') AS phrase, f.a AS more FROM f, (SELECT unnest([2, 3]) AS m), (SELECT unnest([1, 2, 3]) AS s) WHERE m < f.k AND s + m - 1 <= f.k),
+d AS (SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.lang = b.lang AND i.phrase = b.phrase AND 100 * i.more >= 80 * b.a)),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM d)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM o JOIN t USING (lang) WHERE rank <= 2000
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
@@ -159,6 +181,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_langid": op10_langid,
     "op11_runs": op11_runs,
     "op12_pages": op12_pages,
+    "op13_collocations": op13_collocations,
 }
 
-ORACLES: dict[str, str] = {"op8_quality": _op8_sql(), "op9_exact_dedup": OP9_SQL, "op12_pages": OP12_SQL}
+ORACLES: dict[str, str] = {"op8_quality": _op8_sql(), "op9_exact_dedup": OP9_SQL, "op12_pages": OP12_SQL, "op13_collocations": OP13_SQL}
