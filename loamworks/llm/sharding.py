@@ -3,7 +3,8 @@
 Records are hashed into a fixed number of slots, bytes are summed for each slot, and a map says which shard holds which
 slot. Each version of the map is stored; balancing or adding a shard edits the map before it, so that only the rows of
 the slots that it moves go elsewhere. The map has as many rows as there are slots, whatever the input's size: it alone
-is edited on the driver and broadcast.
+is edited on the driver and broadcast. Rows alike in id and text are numbered, and each has a slot of its own, so a row that
+stands very often fills many slots evenly.
 """
 
 from __future__ import annotations
@@ -20,14 +21,38 @@ SLOTS = 8192
 SLOT_MAP = "virtual_slot int, shard int"
 
 
+def sized(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", overhead: int = 8) -> DataFrame:
+    """doc_id, size (UTF-8 bytes of the text and overhead), text_crc32, alike (a hash of these), part (the task that read it)."""
+    rows = keyed_text(df, id_col, text_col).select("doc_id", (F.octet_length("text") + F.lit(overhead)).cast("long").alias("size"), F.crc32("text").alias("text_crc32"))
+    return rows.withColumn("alike", F.xxhash64("doc_id", "text_crc32", "size")).withColumn("part", F.spark_partition_id())
+
+
+def copy_numbers(rows: DataFrame) -> DataFrame:
+    """rows (stored, of sized()) with copy: rows that are alike numbered from 0.
+
+    They are counted for each part of the input and numbered within it, behind those of the parts before, so no group of
+    them is one task's. Only rows that have another like them are numbered.
+    """
+    counts = rows.groupBy("alike", "part").agg(F.count("*").alias("n"))
+    by = Window.partitionBy("alike")
+    before = F.sum("n").over(by.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    repeated = stored(counts.withColumn("before", F.coalesce(before, F.lit(0))).withColumn("all", F.sum("n").over(by)).where("all > 1").select("alike", "part", "before"))
+    if repeated.isEmpty():
+        return rows.withColumn("copy", F.lit(0).cast("long"))
+    at = F.row_number().over(Window.partitionBy("alike", "part").orderBy("doc_id"))
+    numbered = rows.join(repeated, ["alike", "part"], "left")
+    several = numbered.where(F.col("before").isNotNull()).withColumn("copy", F.col("before") + at - 1)
+    return several.unionByName(numbered.where(F.col("before").isNull()).withColumn("copy", F.lit(0).cast("long"))).drop("before")
+
+
 def slotted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, overhead: int = 8) -> DataFrame:
     """doc_id, size (UTF-8 bytes of the text and overhead), text_crc32, virtual_slot of each row; a null text has no bytes.
 
-    The slot depends on id and text, so rows that repeat an id spread unless their texts are equal too.
+    The slot depends on id, text and the row's number among those alike in both, so rows that repeat an id, or a whole row,
+    spread over slots. Which of equal rows has which number can't be told, so results don't depend on the order of rows.
     """
-    return keyed_text(df, id_col, text_col).select(
-        "doc_id", (F.octet_length("text") + F.lit(overhead)).cast("long").alias("size"), F.crc32("text").alias("text_crc32"),
-    ).withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int"))
+    rows = copy_numbers(stored(sized(df, id_col, text_col, overhead)))
+    return rows.select("doc_id", "size", "text_crc32", F.pmod(F.xxhash64("doc_id", "text_crc32", "copy"), F.lit(slots)).cast("int").alias("virtual_slot"))
 
 
 def even_map(slots: int, shards: int) -> list[int]:
