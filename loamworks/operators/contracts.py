@@ -12,7 +12,8 @@ from ..functions import text as T
 CONFIDENCES = ("high", "medium", "low")
 TIERS = ("stable", "current", "audit", "drop")
 ROLES = ("user", "user_confirmation", "assistant_context")
-MODES = {"new": "append", "duplicate": "none", "supersede": "replace", "contradict": "none"}
+#: The mode of each action.
+MODES = {"new": "append", "duplicate": "none", "supersede": "replace", "contradict": "replace"}
 
 Check = tuple[Column, str]
 
@@ -69,20 +70,43 @@ def with_evidence(candidates: DataFrame, events: DataFrame) -> DataFrame:
     return joined.withColumn("reason", F.coalesce("reason", late)).drop("event_role", "event_text")
 
 
+def expected_review(action: Column, confidence: Column) -> Column:
+    """Whether a decision must be reviewed: all but duplicates and sure new facts (an unknown action: null)."""
+    return F.when(action.isin(*MODES), ~((action == "duplicate") | ((action == "new") & F.coalesce(confidence == "high", F.lit(False)))))
+
+
 def decision_checks() -> list[Check]:
-    """Rules of a decision: action and mode fit, a replaced line stands exactly once among the page's lines, what contradicts
-    or is unsure is reviewed. Columns: action, mode, content, old_content, lines, needs_review, confidence."""
+    """Rules of a decision, in order: what follows from the action and the candidate must say so, and an edit fits the page.
+
+    Columns: action, mode, vault, page, section and what they must be (target_vault, target_page, target_section), confidence
+    and the candidate's (candidate_confidence), needs_review, rationale, content, old_content (null where there is none), and
+    lines, those of the page that may be replaced.
+    """
     c = F.col
     mode = F.create_map(*(F.lit(x) for kv in MODES.items() for x in kv))[c("action")]
-    hits = F.size(F.filter("lines", lambda line: line == c("old_content")))
+    replaces, old, new = c("mode") == "replace", c("old_content"), c("content")
+    blank = lambda x: x.isNull() | (T.strip(x) == "")
+    where = lambda rule: F.when(replaces, rule).otherwise(False)
+    starts = lambda x, mark: F.startswith(x, F.lit(mark))
     return [
         (~c("action").isin(*MODES), "invalid action"),
         (c("mode") != mode, "mode does not fit the action"),
-        ((c("action") == "supersede") & c("old_content").isNull(), "supersede without old_content"),
-        ((c("action") != "supersede") & c("old_content").isNotNull(), "old_content without supersede"),
-        (F.when(c("action") == "supersede", hits != 1).otherwise(False), "old_content is not one line of the page"),
-        ((c("action") == "contradict") & ~c("needs_review"), "a contradiction needs review"),
-        ((c("confidence") != "high") & (c("action") != "duplicate") & ~c("needs_review"), "an unsure decision needs review"),
+        (~(c("vault").eqNullSafe(c("target_vault")) & c("page").eqNullSafe(c("target_page"))), "other target than the batch"),
+        (~c("section").eqNullSafe(c("target_section")), "other section than routed"),
+        (~c("confidence").isin(*CONFIDENCES), "invalid confidence"),
+        (~c("confidence").eqNullSafe(c("candidate_confidence")), "confidence is not the candidate's"),
+        (c("needs_review") != expected_review(c("action"), c("confidence")), "needs_review does not follow"),
+        (blank(c("rationale")), "no rationale"),
+        (where(blank(old)), "nothing to replace is named"),
+        (~replaces & old.isNotNull(), "old_content without a replacement"),
+        (F.when(c("action") == "duplicate", ~new.eqNullSafe(F.lit(""))).otherwise(blank(new)), "content does not fit the action"),
+        (new.rlike(r"[\n\r]"), "content of several lines"),
+        ((c("action") == "new") & starts(new, "- "), "new content has a bullet"),
+        (where(old.rlike(r"[\n\r]")), "old_content of several lines"),
+        (where(F.size(F.filter("lines", lambda line: line == old)) != 1), "old_content is not one line of the page"),
+        (where(starts(old, "#")), "a heading may not be replaced"),
+        (where(starts(old, "- ") & ~starts(new, "- ")), "the bullet is lost"),
+        (where(starts(old, "|") & ~(starts(new, "|") & F.endswith(F.rtrim(new), F.lit("|")))), "the table row is lost"),
     ]
 
 

@@ -34,6 +34,54 @@ def fact_class(c: Column, markers: Mapping[str, Sequence[str]], other: str = "ot
     return out
 
 
+#: The classes of facts and the marks that tell them, in order; and those that a type from before has besides.
+CLASS_MARKS = {
+    "relationship": ("relationship", "person", "people", "mentor", "contact", "networking"),
+    "health": ("health", "medical", "symptom", "acne", "skin", "medication", "condition"),
+    "fitness": ("fitness", "workout", "exercise", "running", "nutrition", "body_composition"),
+    "schedule": ("schedule", "calendar", "appointment", "meeting_time", "deadline"),
+    "preference": ("preference", "preferred", "communication_style", "workflow_preference", "tool_choice"),
+    "identity": ("identity", "bio", "background", "education", "credential", "experience", "skill", "role"),
+    "learning": ("learning", "study", "course", "exam_prep", "knowledge"),
+    "project_constraint": ("project_constraint", "architecture_constraint", "security_constraint", "product_constraint"),
+    "project_decision": ("project_decision", "architecture_decision", "product_decision", "technical_decision"),
+    "goal": ("goal", "priority", "aspiration", "career_direction", "objective"),
+    "audit_telemetry": ("test_receipt", "commit_hash", "file_churn", "debug_state", "git_state"),
+    "active_state": ("active_work", "project_status", "current_state", "blocker", "task_request", "next_action"),
+}
+LEGACY_MARKS = CLASS_MARKS | {"active_state": (*CLASS_MARKS["active_state"], "active_project", "project_state", "project_blocker", "project_issue", "project_context", "work_context")}
+#: What tells that a fact is about one run of some work and may not be written unseen. Names are fixed values, patterns are not.
+EXECUTION_PATTERNS = {
+    "pull_request_state": r"(?i)\b(pr|pull request) ?#?\d+\b|\b(not yet|un)merged\b|\bblocked (from|by) merg|\bmerge[- ]blocked\b",
+    "branch_state": r"(?i)\b(branch|worktree)\b.*\b(current|dedicated|isolated|feat/|fix/|chore/)|\b(feat|fix|chore)/[\w.-]+",
+    "commit_state": r"(?i)\bcommit [0-9a-f]{7,40}\b|\b[0-9a-f]{7,40} commit\b",
+    "test_receipt": r"(?i)\b(suite|tests?)\b.{0,48}\b(pass(ed)?|fail(ed)?|green|red|exit code|\d+ ?/ ?\d+)\b",
+    "temporary_implementation": r"(?i)\b(actively|currently) (building|debugging|implementing|testing)\b|\blocal development server\b",
+    "handoff_state": r"(?i)\b(do not|no) (merge|push|open (a )?pr)\b|\btask-by-task implementation\b",
+}
+
+
+def marked_class(text: Column, marks: Mapping[str, Sequence[str]], tier: Column) -> Column:
+    """The first class of which a lower-case text has a mark anywhere; else active_state for current facts, and other."""
+    out = F.when(tier == "current", "active_state").otherwise("other")
+    for name, words in reversed(marks.items()):
+        out = F.when(text.rlike("|".join(words)), name).otherwise(out)
+    return out
+
+
+def with_policy(facts: DataFrame, kind: str, content: str, tier: str, patterns: Mapping[str, str] = EXECUTION_PATTERNS) -> DataFrame:
+    """facts with fact_class, policy_reasons (all that hold, in order; none: an empty array) and policy_review_only.
+
+    The class is told by type and content together, the reasons by content, and by the class where that is telemetry. A null
+    type or content is empty. No fact is dropped.
+    """
+    text = F.coalesce(F.col(content), F.lit(""))
+    fact_class = marked_class(F.concat_ws(" ", T.key_name(F.coalesce(F.col(kind), F.lit(""))), F.lower(text)), CLASS_MARKS, F.col(tier))
+    held = facts.withColumn("fact_class", fact_class)
+    why = reasons(**{name: text.rlike(p) for name, p in patterns.items()}, audit_telemetry=F.col("fact_class") == "audit_telemetry")
+    return held.withColumn("policy_reasons", why).withColumn("policy_review_only", F.size("policy_reasons") > 0)
+
+
 def reasons(**conditions: Column) -> Column:
     """The names of the conditions that hold, in order."""
     return F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in conditions.items()), F.lit(None).cast("string")))
@@ -96,18 +144,36 @@ def safe_path(path: Column) -> Column:
     return ~path.startswith("/") & ~F.exists(F.split(path, "/"), lambda p: p.isin("..", "."))
 
 
-def person_span(c: Column, stop: Sequence[str]) -> Column:
-    """A Title Case span of two or three words at the start of a fact, unless one of its words is on the stop list."""
-    span = F.regexp_extract(c, r"^([A-Z][a-z]+(?: [A-Z][a-z]+){1,2})\b", 1)
-    return F.when((span != "") & ~F.arrays_overlap(F.split(span, " "), F.array(*map(F.lit, stop))), span)
+#: First words that tell an action or the setting of a sentence, not a name; a caller may give others.
+NO_NAMES = (
+    "a", "an", "the", "this", "that", "these", "those", "his", "its", "our", "their", "your", "after", "as", "at", "before", "by", "during", "for", "from",
+    "in", "on", "to", "when", "while", "with", "without", "next", "added", "began", "built", "configured", "created", "implemented", "made", "met", "moved", "started", "used",
+)
+
+
+def person_span(c: Column, stop: Sequence[str], starters: Sequence[str] = NO_NAMES) -> Column:
+    """A Title Case span of two or three words that begins a fact (marks before it aside), if it may be a person's name.
+
+    It isn't if its first word ends with -ing or is a starter, or if that word or the span is on the stop list (any case).
+    Names in the middle of a fact don't count.
+    """
+    span = F.regexp_extract(c, r"^[^\p{L}\p{N}_]*([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,2})(?![\p{L}\p{N}_])", 1)
+    first = F.lower(F.regexp_extract(span, r"^\S+", 0))
+    words = {w.lower() for w in (*stop, *starters)}
+    return F.when((span != "") & ~first.endswith("ing") & ~first.isin(*words) & ~span_key(span).isin(*(w.lower() for w in stop), ""), span)
+
+
+def span_key(span: Column) -> Column:
+    return F.lower(F.regexp_replace(span, r"\s+", " "))
 
 
 def roster_match(facts: DataFrame, key: str, text: str, names: DataFrame, most_words: int = 3) -> DataFrame:
-    """key, name, vault: the longest name that starts a fact and is no possessive there; of equal ones the first vault's.
+    """key, name, vault: the longest name that starts a fact (marks before it aside) and is no possessive there; of equal ones
+    the first vault's.
 
     A name has at most most_words words, so it is one of a fact's first runs of words: a join on equal names.
     """
-    starts = facts.select(key, F.lower(text).alias("t")).select(key, F.explode(F.array(*(F.regexp_extract("t", rf"^((?:\S+\s+){{{n}}}[\w-]+)(?!['’\w-])", 1) for n in range(most_words)))).alias("name")).where("name <> ''").distinct()
+    starts = facts.select(key, F.lower(text).alias("t")).select(key, F.explode(F.array(*(F.regexp_extract("t", rf"^[^\p{{L}}\p{{N}}_]*((?:\S+\s+){{{n}}}[\w-]+)(?!['’\w-])", 1) for n in range(most_words)))).alias("name")).where("name <> ''").distinct()
     found = starts.join(names.select(F.lower("name").alias("name"), "vault"), "name")
     best = Window.partitionBy(key).orderBy(F.desc(F.length("name")), "name", "vault")
     return found.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")

@@ -116,3 +116,90 @@ def undone(pages: DataFrame, log: DataFrame) -> DataFrame:
         F.when(F.col("action") == "replace", F.col("content")).alias("old_content"),
     )
     return applied(pages, back)
+
+
+#: An edit of a page. `insert` puts content back where it was: before next_line, else behind previous_line, else behind the heading.
+EDIT = "seq bigint, action string, section string, content string, old_content string, previous_line string, next_line string"
+
+
+def _times(lines: Column, line: Column) -> Column:
+    return F.size(F.filter(lines, lambda x: x == line))
+
+
+def _anchor(lines: Column, e: Column) -> tuple[Column, Column]:
+    """The line that an insertion is put at, and whether behind it."""
+    stands = lambda line: ~F.coalesce(line == "", F.lit(True)) & F.array_contains(lines, line)
+    before, after = F.coalesce(stands(e["next_line"]), F.lit(False)), F.coalesce(stands(e["previous_line"]), F.lit(False))
+    return F.when(before, e["next_line"]).when(after, e["previous_line"]).otherwise(F.concat(F.lit("## "), e["section"])), ~before
+
+
+def _fault(lines: Column, e: Column) -> Column:
+    """Why an edit doesn't fit the page as it is; null if it does."""
+    action, content = e["action"], e["content"]
+    there, target = F.coalesce(F.array_contains(lines, content), F.lit(False)), F.when(e["action"] == "replace", e["old_content"]).otherwise(content)
+    changes = action.isin("remove", "replace")
+    return (
+        F.when(~F.coalesce(action.isin("append", "remove", "replace", "insert"), F.lit(False)), "unknown action")
+        .when(content.isNull() | ((action == "replace") & e["old_content"].isNull()) | (action.isin("append", "insert") & e["section"].isNull()), "incomplete edit")
+        .when(changes & (_times(lines, target) == 0), "line is gone")
+        .when(changes & (_times(lines, target) > 1), "line stands more than once")
+        .when((action.isin("append", "insert") | ((action == "replace") & (content != e["old_content"]))) & there, "line is there already")
+        .when((action == "insert") & (_times(lines, _anchor(lines, e)[0]) != 1), "no place to return to")
+    )
+
+
+def _edited(lines: Column, e: Column) -> Column:
+    anchor, behind = _anchor(lines, e)
+    at = F.array_position(lines, anchor) + F.when(behind, 1).otherwise(0)
+    inserted = F.concat(F.slice(lines, F.lit(1), F.greatest(at - 1, F.lit(0)).cast("int")), F.array(e["content"]), F.slice(lines, F.greatest(at, F.lit(1)).cast("int"), F.size(lines)))
+    return (
+        F.when(e["action"] == "append", appended(lines, e["section"], e["content"]))
+        .when(e["action"] == "replace", F.transform(lines, lambda x: F.when(x == e["old_content"], e["content"]).otherwise(x)))
+        .when(e["action"] == "remove", F.filter(lines, lambda x: x != e["content"]))
+        .otherwise(inserted)
+    )
+
+
+def edited_strictly(pages: DataFrame, edits: DataFrame) -> DataFrame:
+    """page, lines, fault, seq: pages (page, lines) after their edits (page and EDIT) in order, each of which must fit.
+
+    At the first edit that doesn't, a page stops, with the edit's seq and the fault. Edits of pages that aren't there come as
+    rows with null lines. What the pages' faults mean for the others is decided by whole().
+    """
+    fields = [f.split()[0] for f in EDIT.split(", ")]
+    listed = edits.groupBy("page").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("edits"))
+    start = lambda lines: F.struct(lines.alias("lines"), F.lit(None).cast("string").alias("fault"), F.lit(None).cast("bigint").alias("seq"))
+
+    def step(state: Column, e: Column) -> Column:
+        fault = _fault(state["lines"], e)
+        failed = F.struct(state["lines"].alias("lines"), fault.alias("fault"), e["seq"].alias("seq"))
+        done = F.struct(_edited(state["lines"], e).alias("lines"), state["fault"].alias("fault"), state["seq"].alias("seq"))
+        return F.when(state["fault"].isNotNull(), state).when(fault.isNotNull(), failed).otherwise(done)
+
+    met = pages.join(listed, "page", "full_outer")
+    folded = F.when(F.col("edits").isNull(), start(F.col("lines"))).otherwise(F.aggregate("edits", start(F.col("lines")), step))
+    lost = F.struct(F.col("lines"), F.lit("no such page").alias("fault"), F.element_at("edits", 1)["seq"].alias("seq"))
+    return met.select("page", F.when(F.col("lines").isNull() & F.col("edits").isNotNull(), lost).otherwise(folded).alias("s")).select("page", "s.*")
+
+
+def whole(pages: DataFrame, edited: DataFrame) -> DataFrame:
+    """pages after edited_strictly(), if no page has a fault; else all of them as they were. A single verdict for all pages."""
+    verdict = edited.agg(F.count("fault").alias("faults"))
+    now = edited.where("lines IS NOT NULL").select("page", F.col("lines").alias("__now"))
+    return pages.join(now, "page", "left").crossJoin(F.broadcast(verdict)).select("page", F.when(F.col("faults") == 0, F.col("__now")).otherwise(F.col("lines")).alias("lines"))
+
+
+def reversed_edits(log: DataFrame) -> DataFrame:
+    """The edits that take a log's edits back, the last first: what was appended is removed, what was removed inserted where
+    it was, what was replaced replaced again."""
+    turned = F.create_map(*(F.lit(x) for x in ("append", "remove", "replace", "replace", "remove", "insert")))[F.col("action")]
+    swap = F.col("action") == "replace"
+    return log.select(
+        "page", (-F.col("seq")).alias("seq"), F.coalesce(turned, F.concat(F.lit("undo of "), F.col("action"))).alias("action"), "section",
+        F.when(swap, F.col("old_content")).otherwise(F.col("content")).alias("content"), F.when(swap, F.col("content")).alias("old_content"), "previous_line", "next_line",
+    )
+
+
+def replayed_back(pages: DataFrame, log: DataFrame) -> DataFrame:
+    """pages as they were before a run's log of edits; if one of its events no longer fits, all pages stay as they are."""
+    return whole(pages, edited_strictly(pages, reversed_edits(log)))

@@ -4,20 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import contracts, retrieval
+from ..sources import generations
+from . import contracts, gates, pages, retrieval
+from .contracts import MODES
 from .routing import blank
 
-#: The mode and the review card's verb of each action.
-MODES = {"new": "append", "duplicate": "none", "supersede": "replace", "contradict": "replace"}
-VERBS = {"new": "APPEND", "duplicate": "SKIP", "supersede": "REPLACE", "contradict": "REPLACE"}
+#: The review card's verb of each action.
+VERBS = {"new": "APPEND", "duplicate": "DUPLICATE", "supersede": "SUPERSEDE", "contradict": "CONTRADICT"}
 #: Candidate columns and the names that a decision carries them under.
 CARRIED = {"type": "candidate_type", **{c: c for c in ("memory_tier", "source_role", "source_date", "source_chat", "source_event", "evidence", "historical_review", "historical_age_days", "quality_review_sample", "quality_review_bucket", "fact_class", "policy_review_only", "policy_reasons", "person_review_only", "detected_names", "review_kind")}}
-#: Marks of a fact's class in its type, in order.
-CLASS_MARKS = (("preference", ("prefer", "like")), ("active_state", ("state", "status", "current")), ("decision", ("decision", "choice")), ("biography", ("person", "bio", "relation")))
 
 
 def mapped(c: Column, table: dict[str, str]) -> Column:
@@ -42,7 +41,7 @@ def canonical_decisions(decisions: DataFrame, candidates: DataFrame, sections: D
     (of packed batches). Unknown actions stay as they are, with null derived columns."""
     joined = decisions.join(candidates, key, "left").join(sections, key, "left")
     action, known = F.col("action"), F.col("action").isin(*MODES)
-    review = F.when(known, ~((action == "duplicate") | ((action == "new") & F.col("confidence").eqNullSafe("high"))))
+    review = contracts.expected_review(action, F.col("confidence"))
     fact, old = F.col("candidate_content"), F.col("old_content")
     bullet = F.concat(F.lit("- "), F.regexp_replace(fact, "^- ", ""))
     replaced = F.when(F.startswith(old, F.lit("- ")), bullet).when(~F.startswith(old, F.lit("|")), fact).otherwise(F.col("content"))
@@ -98,11 +97,8 @@ def sidecars(decisions: DataFrame, roots: DataFrame, key: str) -> DataFrame:
 
 
 def fallback_class(kind: Column, tier: Column) -> Column:
-    """The class that a fact's type alone tells; of current facts active_state, else other."""
-    name, out = T.key_name(F.coalesce(kind, F.lit(""))), F.when(tier == "current", "active_state").otherwise("other")
-    for fact_class, marks in reversed(CLASS_MARKS):
-        out = F.when(name.rlike("|".join(marks)), fact_class).otherwise(out)
-    return out
+    """The class that a fact's type alone tells (of facts from before classes were kept); of other current ones active_state."""
+    return gates.marked_class(T.key_name(F.coalesce(kind, F.lit(""))), gates.LEGACY_MARKS, tier)
 
 
 def review_cards(pending: DataFrame, sides: DataFrame, decided: DataFrame, key: str) -> DataFrame:
@@ -155,3 +151,72 @@ def valid_undo(log: DataFrame, fields: Sequence[str]) -> DataFrame:
     """The undo log's events with reason: an unknown action or a missing field. One faulty event bars its run's replay."""
     known = F.col("action").isin("append", "remove", "replace", "index_append")
     return contracts.judged(log, [(~known, "unknown action"), *((blank(F.col(f).cast("string")), f"missing {f}") for f in fields), ((F.col("action") == "replace") & F.col("old_content").isNull(), "replace without old_content")])
+
+
+CLEANUPS = ("remove", "move", "rewrite")
+
+
+def judged_cleanup(manifest: DataFrame, pages: DataFrame, bullet: str = "- ") -> DataFrame:
+    """The rows of a cleanup manifest with reason: the first rule that each breaks.
+
+    manifest: index, action, confidence, page, section, content, new_content (of a rewrite), target_page and target_section (of
+    a move), depends_on (indices that must come before); pages: page, lines. A row is about the line `bullet` and content.
+    """
+    c = F.col
+    line, new = F.concat(F.lit(bullet), "content"), F.concat(F.lit(bullet), "new_content")
+    several = lambda x: x.rlike(r"[\n\r]")
+    at = lambda lines, x: F.coalesce(exact_lines(c(lines), x), F.lit(0))
+    earlier = manifest.select(F.col("index").alias("__needed")).distinct()
+    needs = manifest.select("index", F.explode("depends_on").alias("__needed"))
+    unmet = needs.join(earlier, "__needed", "left_anti").union(needs.where("__needed >= index").select("__needed", "index")).select("index").distinct()
+    repeats = lambda keys, name: manifest.groupBy(*keys).agg(F.count("*").alias(name))
+    rows = manifest.join(repeats(["page", "content"], "__same"), ["page", "content"], "left").join(repeats(["index"], "__indices"), "index", "left")
+    rows = rows.join(unmet.withColumn("__unmet", F.lit(True)), "index", "left")
+    rows = rows.join(pages.select("page", F.col("lines").alias("__from")), "page", "left")
+    rows = rows.join(pages.select(F.col("page").alias("target_page"), F.col("lines").alias("__to")), "target_page", "left")
+    moves, rewrites = c("action") == "move", c("action") == "rewrite"
+    checks = [
+        (c("confidence") != "high", "not of high confidence"),
+        (blank(c("page")) | blank(c("section")) | blank(c("content")) | several(c("content")), "no page, section or single line"),
+        (~gates.safe_path(c("page")), "unsafe page"),
+        (c("__from").isNull(), "no such page"),
+        (at("__from", line) != 1, "the line is not there exactly once"),
+        (F.coalesce(c("__same"), F.lit(1)) > 1, "the line is in the manifest twice"),
+        (~c("action").isin(*CLEANUPS), "unknown action"),
+        (F.when(rewrites, blank(c("new_content")) | several(c("new_content"))).otherwise(False), "no single line to write"),
+        (F.when(rewrites & (c("new_content") != c("content")), at("__from", new) > 0).otherwise(False), "the new line is there already"),
+        (F.when(moves, blank(c("target_page")) | blank(c("target_section")) | ~gates.safe_path(c("target_page")) | c("__to").isNull()).otherwise(False), "no such target"),
+        (F.when(moves, at("__to", line) > 0).otherwise(False), "the target has the line already"),
+        (F.coalesce(c("__indices"), F.lit(2)) > 1, "index is not unique"),
+        (F.coalesce(c("__unmet"), F.lit(False)), "comes before what it depends on"),
+    ]
+    return contracts.judged(rows, checks).select(*manifest.columns, "reason")
+
+
+def cleanup_edits(manifest: DataFrame, bullet: str = "- ") -> DataFrame:
+    """page and pages.EDIT: what a manifest's rows do, in order; a move appends to its target, then removes from its source."""
+    c, text = F.col, lambda x: F.lit(x).cast("string")
+    line = F.concat(F.lit(bullet), "content")
+    edit = lambda seq, page, action, section, content, old: F.struct(page.alias("page"), (c("index") * 2 + seq).cast("bigint").alias("seq"), F.lit(action).alias("action"), section.alias("section"), content.alias("content"), old.alias("old_content"), text(None).alias("previous_line"), text(None).alias("next_line"))
+    at_source = F.when(c("action") == "rewrite", edit(1, c("page"), "replace", c("section"), F.concat(F.lit(bullet), "new_content"), line)).otherwise(edit(1, c("page"), "remove", c("section"), line, text(None)))
+    moved = F.when(c("action") == "move", edit(0, c("target_page"), "append", c("target_section"), line, text(None)))
+    return manifest.select(F.explode(F.array_compact(F.array(moved, at_source))).alias("e")).select("e.*")
+
+
+def apply_cleanup(spark: SparkSession, base: str, manifest: DataFrame, run: str, bullet: str = "- ") -> int:
+    """Applies a whole manifest to the latest generation of a table of pages (page, lines) and commits the next one; its number.
+
+    If a row breaks a rule, or an edit doesn't fit when its turn comes, ValueError says so and nothing is committed; nor is
+    anything if the write fails, or if another writer was first (FileExistsError). roll_back() takes a commit back.
+    """
+    now = generations.latest(spark, base)
+    table = generations.read(spark, base)
+    faults = judged_cleanup(manifest, table, bullet).where("reason IS NOT NULL").orderBy("index").limit(5).collect()
+    if faults or manifest.isEmpty():
+        raise ValueError("manifest rejected: " + ("; ".join(f"{r['index']}: {r.reason}" for r in faults) or "no rows"))
+    edited = pages.edited_strictly(table, cleanup_edits(manifest, bullet))
+    stopped = edited.where("fault IS NOT NULL").limit(5).collect()
+    if stopped:
+        raise ValueError("manifest rejected: " + "; ".join(f"{r.page}, edit {r.seq}: {r.fault}" for r in stopped))
+    counts = {r.action: r["count"] for r in manifest.groupBy("action").count().collect()}
+    return generations.commit(spark, edited.select("page", "lines"), base, now, {"run": run, "actions": counts})

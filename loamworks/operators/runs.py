@@ -44,10 +44,12 @@ def latest_metric(lines: DataFrame, by: list[str], order: str, schema: str) -> D
 
 
 def counters(line: Column, prefix: str) -> Column:
-    """The counters k=v of a line with this prefix, as a map; values that aren't digits only are left out."""
+    """The counters k=v of a line with this prefix, as a map; values that aren't digits only are left out, of a repeated key
+    the last one counts."""
     pairs = F.filter(F.split(F.substr(line, F.lit(len(prefix) + 2)), " "), lambda p: p.rlike(r"^[^=]+=\d+$"))
     entries = F.transform(pairs, lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.substring_index(p, "=", -1).cast("long").alias("v")))
-    return F.when(F.startswith(line, F.lit(prefix + " ")), F.map_from_entries(entries))
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda f: f["k"] == e["k"]))
+    return F.when(F.startswith(line, F.lit(prefix + " ")), F.map_from_entries(last))
 
 
 def source_kind(path: Column) -> Column:
@@ -72,7 +74,7 @@ def nested_or_flat(df: DataFrame, nested: str, field: str) -> Column:
 def marker_info(value: Column, today: Column) -> Column:
     """present, valid, age_days of a marker: seconds since 1970 or an ISO date."""
     text = T.strip(value)
-    day = F.when(text.rlike(r"^\d+$"), F.to_date(F.timestamp_seconds(F.expr("try_cast(0 as bigint)") + text.try_cast("long")))).when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text.try_cast("date"))
+    day = F.when(text.rlike(r"^\d+$"), F.to_date(F.timestamp_seconds(text.try_cast("long")))).when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text.try_cast("date"))
     return F.struct(value.isNotNull().alias("present"), day.isNotNull().alias("valid"), F.datediff(today, day).cast("long").alias("age_days"))
 
 

@@ -37,13 +37,13 @@ def known_terms(spark, sf_dir):
 
 @query(f"""WITH {_LINES}, t AS (SELECT name, vault, page, section FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY vault <> 'v1', vault, page) AS r FROM ri WHERE name NOT LIKE 'red %') WHERE r = 1),
 f AS (SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS name FROM part)
-SELECT f.p_partkey, CASE WHEN t.vault IS NOT NULL THEN 'pre_routed' WHEN f.name NOT LIKE 'Blue %' AND f.name NOT LIKE '%Bolt' THEN 'new_person' ELSE 'remaining' END AS status, t.vault, t.page, t.section,
-CASE WHEN t.vault IS NULL AND f.name NOT LIKE 'Blue %' AND f.name NOT LIKE '%Bolt' THEN f.name END AS detected FROM f LEFT JOIN t ON t.name = lower(f.name)""")
+SELECT f.p_partkey, CASE WHEN t.vault IS NOT NULL THEN 'pre_routed' WHEN f.name NOT LIKE 'Blue %' AND f.name <> 'Red Bolt' THEN 'new_person' ELSE 'remaining' END AS status, t.vault, t.page, t.section,
+CASE WHEN t.vault IS NULL AND f.name NOT LIKE 'Blue %' AND f.name <> 'Red Bolt' THEN f.name END AS detected FROM f LEFT JOIN t ON t.name = lower(f.name)""")
 def fact_partition(spark, sf_dir):
     part = table(spark, sf_dir, "part").withColumn("content", F.concat(F.initcap("p_name"), F.lit(" asked for an offer")))
     index = routing.roster_index(roster_lines(spark, sf_dir)).where("name NOT LIKE 'red %'")
     terms = part.where("p_name LIKE 'blue %'").select(F.lower("p_name").alias("term")).distinct()
-    out = routing.partitioned(part.select("p_partkey", "content"), "p_partkey", "content", index, terms, ("Bolt",), "v1")
+    out = routing.partitioned(part.select("p_partkey", "content"), "p_partkey", "content", index, terms, ("Red Bolt",), "v1")
     return out.select("p_partkey", "status", "vault", "page", "section", "detected")
 
 
@@ -209,16 +209,84 @@ def page_contexts(spark, sf_dir):
     return reconcile.page_contexts(lines, none, facts, 900).select("page", F.size("lines").cast("long").alias("n"), "used", "sha256")
 
 
-@query("""SELECT o_orderkey, CASE WHEN NOT contains(o_orderpriority, '-') THEN 'x' WHEN o_orderstatus NOT IN ('F', 'O') THEN 'invalid action' WHEN o_orderkey % 4 = 0 THEN 'mode does not fit the action' WHEN o_orderstatus = 'O' AND o_orderkey % 3 = 0 THEN 'an unsure decision needs review' END AS reason FROM orders""")
+OLD, NEW = ("- keep", "plain", "| a | b |", "# T", "- twice", "absent", "two\nlines"), ("- b", "t", "| c | d |", "| e", "", "- n", "u", "a\nb", "w")
+LINES = ("# T", "- keep", "- twice", "- twice", "| a | b |", "plain", "two\nlines")
+
+
+def _picked(values, n):
+    return "[" + ", ".join("'" + v.replace("\n", "' || chr(10) || '") + "'" for v in values) + f"][{n} + 1]"
+
+
+@query(f"""WITH d AS (SELECT o_orderkey, ['new', 'duplicate', 'supersede', 'contradict', 'forget'][o_orderkey % 5 + 1] AS action, o_orderkey % 11 = 0 AS wrong_mode, o_orderkey % 13 = 0 AS off_page, o_orderkey % 17 = 0 AS off_section,
+CASE WHEN o_orderkey % 19 = 0 THEN 'sure' ELSE ['high', 'medium', 'low'][o_orderkey % 3 + 1] END AS confidence, o_orderkey % 31 = 0 AS unsaid,
+CASE WHEN o_orderkey % 5 IN (2, 3) THEN {_picked(OLD, "o_orderkey % 7")} WHEN o_orderkey % 37 = 0 THEN 'x' END AS old, CASE WHEN o_orderkey % 5 = 1 THEN CASE WHEN o_orderkey % 41 = 0 THEN 'x' ELSE '' END ELSE {_picked(NEW, "o_orderkey % 9")} END AS new FROM orders),
+e AS (SELECT *, action IN ('supersede', 'contradict') AS replaces, CASE WHEN o_orderkey % 23 = 0 THEN 'low' ELSE confidence END AS candidate FROM d)
+SELECT o_orderkey, CASE WHEN action = 'forget' THEN 'invalid action' WHEN wrong_mode THEN 'mode does not fit the action' WHEN off_page THEN 'other target than the batch' WHEN off_section THEN 'other section than routed' WHEN confidence = 'sure' THEN 'invalid confidence'
+WHEN confidence <> candidate THEN 'confidence is not the candidate''s' WHEN o_orderkey % 29 = 0 THEN 'needs_review does not follow' WHEN unsaid THEN 'no rationale' WHEN NOT replaces AND old IS NOT NULL THEN 'old_content without a replacement'
+WHEN (action = 'duplicate') <> (new = '') THEN 'content does not fit the action' WHEN contains(new, chr(10)) THEN 'content of several lines' WHEN action = 'new' AND starts_with(new, '- ') THEN 'new content has a bullet'
+WHEN replaces AND contains(old, chr(10)) THEN 'old_content of several lines' WHEN replaces AND len(list_filter([{", ".join("'" + x + "'" for x in LINES[:-1])}], lambda x: x = old)) <> 1 THEN 'old_content is not one line of the page' WHEN replaces AND starts_with(old, '#') THEN 'a heading may not be replaced'
+WHEN replaces AND starts_with(old, '- ') AND NOT starts_with(new, '- ') THEN 'the bullet is lost' WHEN replaces AND starts_with(old, '|') AND NOT (new LIKE '|%|') THEN 'the table row is lost' END AS reason FROM e""")
 def decision_contract(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    action = F.when(c("o_orderstatus") == "F", "duplicate").when(c("o_orderstatus") == "O", "new").otherwise("forget")
-    mode = F.when(c("o_orderkey") % 4 == 0, "replace").when(c("o_orderstatus") == "F", "none").otherwise("append")
-    rows = o.select("o_orderkey", action.alias("action"), mode.alias("mode"), F.lit("x").alias("content"), F.lit(None).cast("string").alias("old_content"), F.array(F.lit("a")).alias("lines"), F.lit(False).alias("needs_review"), F.when(c("o_orderkey") % 3 == 0, "low").otherwise("high").alias("confidence"))
+    o, k = table(spark, sf_dir, "orders"), c("o_orderkey")
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (k % n + 1).cast("int"))
+    action = pick(("new", "duplicate", "supersede", "contradict", "forget"), 5)
+    mode = F.when(k % 11 == 0, "stale").otherwise(pick(("append", "none", "replace", "replace", "none"), 5))
+    confidence = F.when(k % 19 == 0, "sure").otherwise(pick(("high", "medium", "low"), 3))
+    rows = o.select(
+        "o_orderkey", action.alias("action"), mode.alias("mode"), confidence.alias("confidence"), F.when(k % 23 == 0, "low").otherwise(confidence).alias("candidate_confidence"),
+        F.lit("v").alias("vault"), F.lit("v").alias("target_vault"), F.when(k % 13 == 0, "q.md").otherwise("p.md").alias("page"), F.lit("p.md").alias("target_page"), F.when(k % 17 == 0, "X").otherwise("S").alias("section"), F.lit("S").alias("target_section"),
+        F.when(k % 31 == 0, "  ").otherwise("why").alias("rationale"), F.when((k % 5).isin(2, 3), pick(OLD, 7)).when(k % 37 == 0, "x").alias("old_content"), F.when(k % 5 == 1, F.when(k % 41 == 0, "x").otherwise("")).otherwise(pick(NEW, 9)).alias("content"),
+        F.array(*map(F.lit, LINES)).alias("lines"),
+    )
+    rows = rows.withColumn("needs_review", F.when(k % 29 == 0, ~contracts.expected_review(c("action"), c("confidence"))).otherwise(contracts.expected_review(c("action"), c("confidence"))))
     return contracts.judged(rows, contracts.decision_checks()).select("o_orderkey", "reason")
 
 
-@query(r"""SELECT doc_id, regexp_extract(text, '^([A-Z][a-z]+(?: [A-Z][a-z]+){1,2})\b', 1) AS span, contains(source, 'src1') AS inside FROM documents""")
+_STARTERS = ", ".join(f"'{w}'" for w in (*gates.NO_NAMES, "nobody"))
+_SPAN = r"'^[^\p{L}\p{N}_]*([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,2})(?:[^\p{L}\p{N}_]|$)'"
+
+
+@query(rf"""WITH s AS (SELECT *, regexp_extract(text, {_SPAN}, 1) AS span FROM documents), f AS (SELECT *, lower(regexp_extract(span, '^\S+')) AS first FROM s)
+SELECT doc_id, CASE WHEN first LIKE '%ing' OR first IN ({_STARTERS}) THEN '' ELSE span END AS span, contains(source, 'src1') AS inside FROM f""")
 def person_spans(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.coalesce(gates.person_span(c("text"), ("Nobody",)), F.lit("")).alias("span"), (gates.safe_path(c("source")) & F.contains("source", F.lit("src1"))).alias("inside"))
+
+
+BEFORE, AFTER = ("", '"', "Implementing ", "Met ", "- ", "The ", "* **", "Next "), (" asked", "'s tea", "", '" said', " (new)")
+
+
+def _list(values):
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+@query(rf"""WITH {_LINES}, f AS (SELECT p_partkey, {_list(BEFORE)}[p_partkey % 8 + 1] || array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') || {_list(AFTER)}[p_partkey % 5 + 1] AS content FROM part),
+i AS (SELECT DISTINCT name FROM ri WHERE name NOT LIKE 'red %' AND name NOT LIKE 'green %'), k AS (SELECT name FROM i UNION SELECT 'blue'),
+r AS (SELECT p_partkey, max(name) AS name FROM f JOIN i ON regexp_matches(lower(content), '^[^\p{{L}}\p{{N}}_]*' || regexp_escape(name) || '(?:[^\w''’-]|$)') GROUP BY p_partkey),
+s AS (SELECT f.*, r.name AS known, regexp_extract(content, {_SPAN}, 1) AS span FROM f LEFT JOIN r USING (p_partkey)), t AS (SELECT *, lower(regexp_extract(span, '^\S+')) AS first FROM s),
+d AS (SELECT *, known IS NULL AND span <> '' AND NOT first LIKE '%ing' AND first NOT IN ({_STARTERS.replace("'nobody'", "'red bolt'")}) AND lower(span) <> 'red bolt' AND lower(span) NOT IN (FROM k) AND first NOT IN (FROM k) AS fresh FROM t)
+SELECT p_partkey, CASE WHEN known IS NOT NULL THEN 'pre_routed' WHEN fresh THEN 'new_person' ELSE 'remaining' END AS status, CASE WHEN fresh THEN span END AS detected FROM d""")
+def new_persons(spark, sf_dir):
+    """Facts that begin with a name, with marks, words and possessives around it."""
+    k = c("p_partkey")
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (k % n + 1).cast("int"))
+    facts = table(spark, sf_dir, "part").select(k, F.concat(pick(BEFORE, 8), F.initcap("p_name"), pick(AFTER, 5)).alias("content"))
+    index = routing.roster_index(roster_lines(spark, sf_dir)).where("name NOT LIKE 'red %' AND name NOT LIKE 'green %'")
+    terms = table(spark, sf_dir, "part").select(F.lower(F.element_at(F.split("p_name", " "), 1)).alias("term")).where("term = 'blue'").distinct()
+    return routing.partitioned(facts, "p_partkey", "content", index, terms, ("Red Bolt",)).select("p_partkey", "status", "detected")
+
+
+FRAGMENTS = {2: "PR #12 waits. ", 3: "The current branch is feat/x. ", 5: "See commit 0abc123. ", 7: "All tests have passed. ", 11: "Currently debugging it. ", 13: "Do not push! "}
+KINDS = ("Tool Choice", "exam-prep", "debug state", "Person", None, "misc")
+
+
+@query(f"""WITH t AS (SELECT o_orderkey, {" || ".join(f"CASE WHEN o_orderkey % {n} = 0 THEN '{x}' ELSE '' END" for n, x in FRAGMENTS.items())} || lower(o_orderpriority) AS content, [{", ".join("NULL" if x is None else f"'{x}'" for x in KINDS)}][o_orderkey % 6 + 1] AS kind, o_orderstatus = 'O' AS current FROM orders),
+u AS (SELECT *, regexp_replace(lower(coalesce(kind, '')), '[^a-z0-9]+', '_', 'g') || ' ' || lower(content) AS told FROM t),
+v AS (SELECT *, CASE {" ".join("WHEN " + " OR ".join(f"contains(told, '{w}')" for w in ws) + f" THEN '{n}'" for n, ws in gates.CLASS_MARKS.items())} WHEN current THEN 'active_state' ELSE 'other' END AS fact_class FROM u)
+SELECT o_orderkey, fact_class, list_filter([{", ".join(f"CASE WHEN regexp_matches(content, '{p}') THEN '{n}' END" for n, p in gates.EXECUTION_PATTERNS.items())}, CASE WHEN fact_class = 'audit_telemetry' THEN 'audit_telemetry' END], lambda x: x IS NOT NULL) AS policy_reasons, len(policy_reasons) > 0 AS policy_review_only FROM v""")
+def policy_reasons(spark, sf_dir):
+    k = c("o_orderkey")
+    parts = [F.when(k % n == 0, x).otherwise("") for n, x in FRAGMENTS.items()]
+    kind = F.element_at(F.array(*(F.lit(x).cast("string") for x in KINDS)), (k % 6 + 1).cast("int"))
+    facts = table(spark, sf_dir, "orders").select(k, F.concat(*parts, F.lower("o_orderpriority")).alias("content"), kind.alias("kind"), F.when(c("o_orderstatus") == "O", "current").otherwise("stable").alias("tier"))
+    return gates.with_policy(facts, "kind", "content", "tier").select("o_orderkey", "fact_class", "policy_reasons", "policy_review_only")

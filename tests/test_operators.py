@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
-from loamworks.operators import contracts, gates, graph, pages, review, similarity, units
+from loamworks.operators import contracts, gates, graph, pages, reconcile, review, routing, similarity, units
 from loamworks.sources import readers
 from loamworks.streaming import incremental
 
@@ -104,13 +104,59 @@ def test_page_edits_and_undo(spark):
     assert fresh(["---", "a: b", "---"]) == ["---", "a: b", "updated: 2024-01-01", "---"] and fresh(["a"]) == ["a"]
 
 
-def test_decisions(spark):
-    good = ("supersede", "replace", "c", "old", ["old", "x"], False, "high")
-    rows = [good, ("split", "append", "c", None, [], False, "high"), ("new", "replace", "c", None, [], False, "high"), ("supersede", "replace", "c", "old", ["old", "old"], False, "high"), ("contradict", "none", "c", None, [], False, "high"), ("new", "append", "c", None, [], False, "low")]
-    df = spark.createDataFrame(rows, "action string, mode string, content string, old_content string, lines array<string>, needs_review boolean, confidence string")
-    kept, out = contracts.split(contracts.judged(df, contracts.decision_checks()))
-    assert kept.count() == 1
-    assert {r.reason for r in out.collect()} == {"invalid action", "mode does not fit the action", "old_content is not one line of the page", "a contradiction needs review", "an unsure decision needs review"}
+DECISION = {"action": "new", "mode": "append", "vault": "v", "page": "p", "section": "S", "target_vault": "v", "target_page": "p", "target_section": "S", "confidence": "high", "candidate_confidence": "high", "needs_review": False, "rationale": "r", "content": "c", "old_content": None, "lines": ["old", "- b", "| t |", "# h", "twice", "twice"]}
+REPLACED = DECISION | {"action": "supersede", "mode": "replace", "needs_review": True, "old_content": "old"}
+DECISION_SCHEMA = ", ".join(f"{k} {'boolean' if k == 'needs_review' else 'array<string>' if k == 'lines' else 'string'}" for k in DECISION)
+
+
+@pytest.mark.parametrize(
+    "row,reason",
+    [
+        (DECISION, None), (REPLACED, None), (REPLACED | {"action": "contradict"}, None), (DECISION | {"action": "duplicate", "mode": "none", "content": ""}, None), (REPLACED | {"old_content": "- b", "content": "- c"}, None),
+        (REPLACED | {"old_content": "| t |", "content": "| u | "}, None), (DECISION | {"confidence": "low", "candidate_confidence": "low", "needs_review": True}, None),
+        (DECISION | {"action": "split"}, "invalid action"), (DECISION | {"action": None}, "invalid action"), (DECISION | {"mode": "replace"}, "mode does not fit the action"), (DECISION | {"page": "q"}, "other target than the batch"),
+        (DECISION | {"section": None}, "other section than routed"), (DECISION | {"confidence": "sure"}, "invalid confidence"), (DECISION | {"candidate_confidence": "low"}, "confidence is not the candidate's"),
+        (REPLACED | {"needs_review": False}, "needs_review does not follow"), (DECISION | {"needs_review": None}, "needs_review does not follow"), (DECISION | {"needs_review": True}, "needs_review does not follow"), (DECISION | {"rationale": " "}, "no rationale"),
+        (REPLACED | {"old_content": None}, "nothing to replace is named"), (DECISION | {"old_content": "old"}, "old_content without a replacement"), (DECISION | {"content": " "}, "content does not fit the action"),
+        (DECISION | {"action": "duplicate", "mode": "none"}, "content does not fit the action"), (DECISION | {"content": "a\nb"}, "content of several lines"), (DECISION | {"content": "- c"}, "new content has a bullet"),
+        (REPLACED | {"old_content": "old\rx"}, "old_content of several lines"), (REPLACED | {"old_content": "twice"}, "old_content is not one line of the page"), (REPLACED | {"old_content": "gone"}, "old_content is not one line of the page"),
+        (REPLACED | {"old_content": "# h"}, "a heading may not be replaced"), (REPLACED | {"old_content": "- b"}, "the bullet is lost"), (REPLACED | {"old_content": "| t |", "content": "| u"}, "the table row is lost"),
+    ],
+)
+def test_decisions(spark, row, reason):
+    df = spark.createDataFrame([tuple(row.values())], DECISION_SCHEMA)
+    assert contracts.judged(df, contracts.decision_checks()).first().reason == reason
+
+
+def test_canonical_decisions_keep_the_contract(spark):
+    """What is derived for each action passes the rules."""
+    given = [(k, a, old, "- new" if old == "- b" else "new") for k, (a, old) in enumerate([("new", None), ("duplicate", None), ("supersede", "old"), ("contradict", "old"), ("contradict", "- b"), ("supersede", "- b")])]
+    decisions = spark.createDataFrame(given, "k int, action string, old_content string, content string")
+    facts = spark.createDataFrame([(k, "fact", ("high", "medium")[k % 2]) for k in range(6)], "k int, candidate_content string, confidence string")
+    sections = spark.createDataFrame([(k, "S") for k in range(6)], "k int, section string")
+    out = reconcile.canonical_decisions(decisions, facts, sections, "k").join(facts.select("k", F.col("confidence").alias("candidate_confidence")), "k")
+    rest = {"vault": "v", "page": "p", "target_vault": "v", "target_page": "p", "target_section": "S", "rationale": "r"}
+    out = out.withColumns({n: F.lit(v) for n, v in rest.items()}).withColumn("lines", F.array(F.lit("old"), F.lit("- b")))
+    assert [r.reason for r in contracts.judged(out, contracts.decision_checks()).collect()] == [None] * 6
+
+
+def test_new_persons(spark):
+    facts = ["Implementing Google Calendar now", "Met Sarah Chen", '"Sam Roe" asked', "Ana Lee's tea", "- Ana Lee asked", "Ana Lee", "Blue Sky works", "Ben Blue came", "Ana Roe came", "Jo  Poe Moe Foe", "Müller Hans", "x Sam Roe", "", None, "Sam Roeé x"]
+    df = spark.createDataFrame(list(enumerate(facts)), "k int, t string")
+    index = spark.createDataFrame([("ana lee", "v", "p.md", "S"), ("ana lee", "a", "z.md", "T")], "name string, vault string, page string, section string")
+    terms = spark.createDataFrame([("blue",), ("ben blue",)], "term string")
+    got = {r.k: (r.status, r.detected, r.vault) for r in routing.partitioned(df, "k", "t", index, terms, ("Ana",), "v").collect()}
+    assert {k: v[1] for k, v in got.items() if v[0] == "new_person"} == {2: "Sam Roe", 9: "Jo  Poe Moe"}
+    assert {k: v[2] for k, v in got.items() if v[0] == "pre_routed"} == {4: "v", 5: "v"} and len(got) == len(facts)
+
+
+def test_policies(spark):
+    rows = [(1, "Tool-Choice", "PR 12: tests passed on branch fix/x", "current"), (2, None, None, "current"), (3, "git state", "", "stable"), (4, "odd", "a test of ideas that passed by", "stable"), (5, "skill", "learning", None)]
+    got = {r.k: (r.fact_class, r.policy_reasons, r.policy_review_only) for r in gates.with_policy(spark.createDataFrame(rows, "k int, kind string, content string, tier string"), "kind", "content", "tier").collect()}
+    assert got[1] == ("preference", ["pull_request_state", "branch_state", "test_receipt"], True) and got[2] == ("active_state", [], False)
+    assert got[3] == ("audit_telemetry", ["audit_telemetry"], True) and got[4][0] == "other" and got[5] == ("identity", [], False)
+    one = lambda kind, tier: spark.range(1).select(reconcile.fallback_class(F.lit(kind), F.lit(tier)).alias("c")).first().c
+    assert (one("Project Blocker", None), one("liked", None), one(None, "current"), one("Debug-State", "current")) == ("active_state", "other", "active_state", "audit_telemetry")
 
 
 def test_gates(spark):

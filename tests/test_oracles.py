@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from loamworks.plans import corpus, flows, routing, runs, voice  # noqa: F401
+from loamworks.plans import corpus, edits, flows, routing, runs, voice  # noqa: F401
 from loamworks.plans.registry import ORACLES, QUERIES
 
 BASE = "/root/testdata/sf0.001"
