@@ -3,8 +3,9 @@
 Of each text only the suffixes at minimisers are retained: places whose run of SEED words has the least hash among
 neighbouring runs, so the content selects them, and any two passages alike in `least` words retain the same place. A retained
 suffix is known by a run of words that spans its place and half of what a passage has left, to the right or to the left (one
-of the two lies inside the passage). All suffixes are sorted by that run, by range, so that those which very many texts
-share are spread over tasks, and neighbours are compared. Suffixes that are as a neighbour are extended to the left and
+of the two lies inside the passage). All suffixes are sorted as suffixes are, by their first word, then the second, the next
+two, the next four and the rest of the run (words in an order of their own, that of their hashes), by range, so that those
+which very many texts share are spread over tasks, and neighbours are compared. Suffixes that are as a neighbour are extended to the left and
 right: each of the places where `least` words that hold the run can begin is compared with the same place of the suffixes
 of smaller documents. So a document has every passage of `least` words that a smaller one has, whoever else shares a part.
 Runs and passages are known by independent 64-bit hashes of their words.
@@ -67,11 +68,11 @@ def run_words(least: int, seed: int) -> int:
     return seed + (least - seed + 1) // 2
 
 
-def retained(words: list[bytes], least: int = LEAST, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Key and start (in words) of the suffixes kept of a text: two runs of words for each minimiser at most."""
+def retained(words: list[bytes], least: int = LEAST, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, start (in words) and order of the suffixes kept of a text: two runs of words for each minimiser at most."""
     n, window = len(words), least - seed + 1
     if n < least:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32)
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
     runs = Runs(words)
     at = np.arange(n - seed + 1)
     hashes = runs.of(at, at + seed)
@@ -82,19 +83,27 @@ def retained(words: list[bytes], least: int = LEAST, seed: int = SEED) -> tuple[
     places, run = np.unique(np.concatenate(chosen)), run_words(least, seed)
     starts = np.unique(np.r_[places, places - (run - seed)])
     starts = starts[(starts >= 0) & (starts + run <= n)]
-    return runs.of(starts, starts + run).view(np.int64), starts.astype(np.int32)
+    return runs.of(starts, starts + run).view(np.int64), starts.astype(np.int32), suffix_order(runs, starts, run)
+
+
+def suffix_order(runs: Runs, starts: np.ndarray, run: int) -> np.ndarray:
+    """64 bits by which suffixes are in order: 16 each of the hashes of word 1, word 2, words 3 and 4, words 5 to 8."""
+    order = np.zeros(len(starts), np.uint64)
+    for a, b in ((0, 1), (1, 2), (2, 4), (4, 8)):
+        order = order << np.uint64(16) | runs.of(starts + min(a, run), starts + min(b, run)) >> np.uint64(48)
+    return (order ^ np.uint64(1 << 63)).view(np.int64)
 
 
 def suffixes(texts: DataFrame, least: int, seed: int) -> DataFrame:
-    """key, doc, start of every retained suffix."""
+    """key, doc, start, order of every retained suffix."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [retained(t.encode().split(), least, seed) for t in batch.column(1).to_pylist()]
         of = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
         cat = lambda k, kind: np.concatenate([f[k] for f in found]) if found else np.zeros(0, kind)
-        return pa.RecordBatch.from_arrays([pa.array(cat(0, np.int64)), batch.column(0).take(pa.array(of)), pa.array(cat(1, np.int32))], ["key", "doc", "start"])
+        return pa.RecordBatch.from_arrays([pa.array(cat(0, np.int64)), batch.column(0).take(pa.array(of)), pa.array(cat(1, np.int32)), pa.array(cat(2, np.int64))], ["key", "doc", "start", "order"])
 
-    return texts.mapInArrow(by_slices(each), f"key long, doc {kind_of(texts)}, start int")
+    return texts.mapInArrow(by_slices(each), f"key long, doc {kind_of(texts)}, start int, order long")
 
 
 def kind_of(texts: DataFrame) -> str:
@@ -125,9 +134,9 @@ def with_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def repeated_suffixes(texts: DataFrame, least: int, seed: int) -> DataFrame:
     """doc, start of the suffixes whose run another suffix has (and a few others, at the ends of tasks)."""
-    kept, order = stored(suffixes(texts, least, seed)), ["key", "doc", "start"]
-    ranged = kept.repartitionByRange(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
-    found = stored(ranged.mapInArrow(with_neighbours, f"doc {kind_of(texts)}, start int"))
+    kept, order = stored(suffixes(texts, least, seed)), ["order", "key", "doc", "start"]
+    ranged = kept.repartitionByRange(*order).sortWithinPartitions(*order)
+    found = stored(ranged.select("key", "doc", "start").mapInArrow(with_neighbours, f"doc {kind_of(texts)}, start int"))
     dropped(texts.sparkSession, kept)
     return found
 
@@ -214,7 +223,7 @@ def stretches_of(texts: DataFrame, least: int, seed: int) -> DataFrame:
     """row, other, start, end, repeat: words of row that other has too; repeat: other is smaller."""
     around = extended(repeated_suffixes(texts, least, seed), texts, least, seed)
     order, kind = ["key", "doc", "start"], kind_of(texts)
-    ranged = around.repartitionByRange(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    ranged = around.repartitionByRange(*order).sortWithinPartitions(*order)
     found = stored(ranged.mapInArrow(matched(least, least - run_words(least, seed)), f"row {kind}, start int, end int, other {kind}, repeat boolean, key long, hash long"))
     # Keys that go on in the next task: what each task had as the smallest meets the smallest of all.
     ends = found.where("key IS NOT NULL").select("key", "hash", F.col("other").alias("row"), "start")
@@ -224,32 +233,35 @@ def stretches_of(texts: DataFrame, least: int, seed: int) -> DataFrame:
 
 
 def with_characters(spans: DataFrame, texts: DataFrame) -> DataFrame:
-    """spans (row, other, start, end, repeat) with the code points where their words start and end."""
+    """spans (row, other, start, end, repeat) with the code points where their words start and end.
+
+    A document's spans are one row, so its text meets them once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, places = None, []
         for batch in batches:
-            start_char, end_char = [], []
-            for k, (row, start, end) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)))):
-                if row != last:
-                    last, places = row, [m.span() for m in WORD.finditer(batch.column(5)[k].as_py())]
-                start_char.append(places[start][0])
-                end_char.append(places[end - 1][1])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(start_char, pa.int32()), pa.array(end_char, pa.int32())], [*batch.schema.names[:5], "start_char", "end_char"])
-
-    of, kind = texts.select(F.col("doc").alias("row"), "text"), kind_of(texts)
-    return spans.join(of, "row").select("row", "other", "start", "end", "repeat", "text").mapInArrow(run, f"row {kind}, other {kind}, start int, end int, repeat boolean, start_char int, end_char int")
-
-
-def joined_spans(spans: DataFrame) -> DataFrame:
-    """Spans of one row and kind that touch or overlap, as one; other: the smallest of theirs."""
-    spans = spans.groupBy("row", "repeat", "start", "end").agg(F.min("other").alias("other"))
-    by = Window.partitionBy("row", "repeat").orderBy("start", "end")
-    before = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    marked = spans.withColumn("new", F.coalesce((F.col("start") > before).cast("int"), F.lit(1)))
-    islands = marked.withColumn("island", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = islands.groupBy("row", "repeat", "island").agg(F.min("other").alias("other"), F.min("start").alias("start"), F.max("end").alias("end"))
-    return joined.select("row", "other", "start", "end", "repeat")
+            for k in range(batch.num_rows):
+                found = pa.RecordBatch.from_struct_array(batch.column(2).slice(k, 1).flatten())
+                places = np.array([m.span() for m in WORD.finditer(batch.column(1)[k].as_py())], np.int32)
+                start, end = found.column("start").to_numpy(), found.column("end").to_numpy()
+                row = batch.column(0).take(pa.array(np.full(len(start), k)))
+                columns = [row, found.column("other"), found.column("start"), found.column("end"), found.column("repeat"), pa.array(places[start, 0]), pa.array(places[end - 1, 1])]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "other", "start", "end", "repeat", "start_char", "end_char"])
+
+    kind = kind_of(texts)
+    listed = spans.groupBy("row").agg(F.collect_list(F.struct("other", "start", "end", "repeat")).alias("spans"))
+    met = listed.join(texts.select(F.col("doc").alias("row"), "text"), "row").select("row", "text", "spans")
+    return met.mapInArrow(run, f"row {kind}, other {kind}, start int, end int, repeat boolean, start_char int, end_char int")
+
+
+def joined_spans(spans: DataFrame, by: list[str], overlap: int = 0) -> DataFrame:
+    """Spans of the same columns `by` that overlap in so many words or more (0: or touch) as one."""
+    spans = spans.select(*by, "start", "end").distinct()
+    window = Window.partitionBy(*by).orderBy("start", "end")
+    before = F.max("end").over(window.rowsBetween(Window.unboundedPreceding, -1))
+    marked = spans.withColumn("new", F.coalesce((F.col("start") > before - overlap).cast("int"), F.lit(1)))
+    islands = marked.withColumn("island", F.sum("new").over(window.rowsBetween(Window.unboundedPreceding, 0)))
+    return islands.groupBy(*by, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
 def documents_of(df: DataFrame, id_col: str, text_col: str, least: int) -> tuple[DataFrame, bool]:
@@ -271,16 +283,18 @@ def document(id: Column, text: Column) -> Column:
 
 def passages(texts: DataFrame, least: int, seed: int) -> DataFrame:
     """row, start, end, start_char, end_char, other, repeat; row and other are documents (doc of texts)."""
-    return with_characters(joined_spans(stretches_of(texts, least, seed)), texts)
+    return with_characters(joined_spans(stretches_of(texts, least, seed), ["row", "other", "repeat"], least - 1), texts)
 
 
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, seed: int = SEED) -> DataFrame:
     """doc_id, start, end (words), start_char, end_char (code points), other_doc_id, repeat: passages of at least `least`
-    words that stand in another document too, overlapping ones as one row.
+    words that stand in another document too, one row for each document that a passage is shared with.
 
-    repeat: a document with a smaller id has all of its stretches of `least` words, so it may go; else a greater one has
-    them. Every passage has a row with repeat in each document but the one with the smallest id, and one without repeat
-    there. other_doc_id: one of the documents that have it. Words are what white space separates, compared as they are.
+    repeat: other_doc_id, a smaller id, has every stretch of `least` words of it, so it may go; else a greater one has them.
+    Of the documents that have a stretch, that of the smallest id is the other one of all others, and one of these is its
+    own; so each document but the smallest has its whole share in rows with repeat, and the smallest has rows without.
+    Stretches that begin at one word after the other in a document, and are shared with the same other one, are one row, also
+    where that one has them apart; rows may overlap. Words are what white space separates, compared as they are.
     Null and short texts have none. Ids may be of any orderable type. Rows that repeat an id and a text are one document;
     other texts of the same id are documents of their own, and so are texts without an id, which come last.
     """
@@ -297,6 +311,7 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     texts, several = documents_of(df, id_col, text_col, least)
     found = passages(texts, least, SEED).where("repeat")
+    found = joined_spans(found.select("row", F.col("start_char").alias("start"), F.col("end_char").alias("end")), ["row"]).select("row", F.col("start").alias("start_char"), F.col("end").alias("end_char"))
     cuts = found.groupBy(F.col("row").alias("__of")).agg(F.sort_array(F.collect_list(F.struct("start_char", "end_char"))).alias("__cuts"))
     text = F.col(f"`{text_col}`")
     # What stands between the cuts: from each one's end (first: the text's start) to the next one's start.

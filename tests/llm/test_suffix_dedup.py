@@ -4,8 +4,7 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from loamworks.llm.suffix_dedup import Runs, repeated_passages, retained, surroundings, without_repeats
-
+from loamworks.llm.suffix_dedup import Runs, repeated_passages, retained, suffix_order, surroundings, without_repeats
 
 
 def plain(rows, least):
@@ -132,3 +131,31 @@ def test_parts():
     key, around = surroundings(words, np.array([0, 10, 30]), 50, 16)
     assert around.shape == (3, 18) and key[1] == Runs(words[10:43]).of(np.array([0]), np.array([33]))[0]
     assert [int((a > 0).sum()) for a in around] == [1, 11, 8] and around[1][-1] == Runs(words[10:60]).of(np.array([0]), np.array([50]), 1)[0] | np.uint64(1)
+
+
+def test_each_partner_of_a_span(docs):
+    """A document whose words two smaller ones have in parts names both, each with its own stretch."""
+    words = [f"w{i}" for i in range(140)]
+    rows = [(1, " ".join(["a"] * 5 + words[10:80])), (2, " ".join(["b"] * 7 + words[50:130])), (3, " ".join(words))]
+    got = {(r.doc_id, r.start, r.end, r.other_doc_id, r.repeat) for r in repeated_passages(docs(rows)).collect()}
+    assert got == {(3, 10, 80, 1, True), (3, 50, 130, 2, True), (1, 5, 75, 3, False), (2, 7, 87, 3, False)}
+    assert {r.doc_id: r.text for r in without_repeats(docs(rows)).collect()}[3] == " ".join(words[:10]) + "  " + " ".join(words[130:])
+
+
+def test_rows_hold_only_what_the_partner_has(docs):
+    """Two stretches side by side, which the partner has apart, are two rows: no run of 50 words across is shared."""
+    a, b = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)]
+    rows = [(1, " ".join(b + ["x"] * 9 + a)), (2, " ".join(a + b))]
+    got = {(r.doc_id, r.start, r.end, r.other_doc_id) for r in repeated_passages(docs(rows)).collect() if r.repeat}
+    assert got == {(2, 0, 60, 1), (2, 60, 120, 1)}
+
+
+def test_suffixes_are_in_order_of_their_words():
+    """By a number for each word: the first word, then the second, then the next two as one, then four."""
+    rng = random.Random(2)
+    words = [rng.choice([b"x", b"y", b"z"]) for _ in range(400)]
+    runs, starts = Runs(words), np.arange(300)
+    part = lambda s, a, b: int(runs.of(np.array([s + a]), np.array([s + b]))[0] >> np.uint64(48))
+    want = sorted(starts.tolist(), key=lambda s: [part(s, a, b) for a, b in ((0, 1), (1, 2), (2, 4), (4, 8))])
+    order = suffix_order(runs, starts, 33)
+    assert np.argsort(order, kind="stable").tolist() == want
