@@ -3,8 +3,9 @@
 For each measure and each language and source a mergeable quantile sketch is kept: counts of logarithmic buckets (of a
 fixed relative width, so sketches merge by adding counts, in any order, and quantiles have a bounded relative error). They
 hold the texts that the base rule passes. A text is outside if a measure lies further beyond the group's upper quantile
-than REACH times that quantile's distance from the median (word lengths: the lower one, too). So no cutoff is a constant:
-where most of a group's texts have none of something the threshold is none, where they vary widely it is far off. Groups of
+than REACH times that quantile's distance from the median (word lengths: the lower one, too). Where that quantile is zero, as
+nearly all of a group's texts have none of something, the threshold is the lower quartile of those that have some, divided by
+1 + REACH: a stray symbol passes, what is like most of the few that have any doesn't. So no cutoff is a constant. Groups of
 few rows use the merged sketch of their language, or of all.
 """
 
@@ -96,16 +97,19 @@ def thresholds_of(sketch: DataFrame, by: list[str]) -> DataFrame:
     """One row for each group of sketches merged by these columns: rows, and low_ and high_ of each measure."""
     merged = sketch.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*by, "measure")
-    upto = merged.select("*", F.sum("n").over(group.orderBy("bucket")).alias("upto"), F.sum("n").over(group).alias("rows"))
+    none = F.sum(F.when(F.col("bucket") == ZERO, F.col("n")).otherwise(0)).over(group)
+    upto = merged.select("*", F.sum("n").over(group.orderBy("bucket")).alias("upto"), F.sum("n").over(group).alias("rows"), none.alias("none"))
     level = F.create_map(*(F.lit(x) for kv in LEVEL.items() for x in kv))[F.col("measure")]
     # Buckets rise with their values, so the least bucket past a rank has the quantile.
     first = lambda q: F.min(F.when(F.col("upto") >= q * F.col("rows"), F.col("bucket")))
-    table = upto.groupBy(*by, "measure").agg(F.max("rows").alias("rows"), first(1 - level).alias("least"), first(F.lit(0.5)).alias("middle"), first(level).alias("most"))
+    some = F.min(F.when((F.col("bucket") > ZERO) & (F.col("upto") - F.col("none") >= 0.25 * (F.col("rows") - F.col("none"))), F.col("bucket")))
+    table = upto.groupBy(*by, "measure").agg(F.max("rows").alias("rows"), first(1 - level).alias("least"), first(F.lit(0.5)).alias("middle"), first(level).alias("most"), some.alias("some"))
     # A bucket's values lie between these two ends, so a group of equal values is inside its own thresholds.
     upper = lambda c: F.when(F.col(c) == ZERO, 0.0).otherwise(F.pow(F.lit(GAMMA), F.col(c)))
     lower = lambda c: F.when(F.col(c) == ZERO, 0.0).otherwise(F.pow(F.lit(GAMMA), F.col(c) - 1))
     high, low = upper("most") + REACH * (upper("most") - upper("middle")), lower("least") - REACH * (lower("middle") - lower("least"))
-    table = table.select(*by, "measure", "rows", low.alias("low"), high.alias("high"))
+    few = F.when(F.col("most") == ZERO, F.coalesce(F.pow(F.lit(GAMMA), F.col("some")) / (1 + REACH), F.lit(0.0))).otherwise(high)
+    table = table.select(*by, "measure", "rows", low.alias("low"), few.alias("high"))
     at = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(c)))
     return table.groupBy(*by).agg(F.max("rows").alias("rows"), *(at(m, c).alias(f"{c}_{m}") for m in VALUES for c in ("low", "high")))
 

@@ -116,7 +116,7 @@ def _op8_sql() -> str:
     values = " UNION ALL ".join(f"SELECT doc_id, lang, source, base_failed, '{m}' AS measure, {quality.LEVEL[m]}::DOUBLE AS level, CASE WHEN {b} > 0 THEN {a}::DOUBLE / {b} ELSE 0 END AS value FROM c" for m, (a, b) in quality.VALUES.items())
     gamma = f"{quality.GAMMA!r}::DOUBLE"
     end = lambda c, less: f"CASE WHEN {c} = {quality.ZERO} THEN 0 ELSE pow({gamma}, {c} - {less}) END"
-    high = f"{end('most', 0)} + {quality.REACH} * ({end('most', 0)} - {end('middle', 0)})"
+    high = f"CASE WHEN most = {quality.ZERO} THEN coalesce(pow({gamma}, few) / (1 + {quality.REACH}), 0) ELSE {end('most', 0)} + {quality.REACH} * ({end('most', 0)} - {end('middle', 0)}) END"
     low = f"{end('least', 1)} - {quality.REACH} * ({end('middle', 1)} - {end('least', 1)})"
     held = lambda n: f"CASE WHEN a.total >= {quality.LEAST_ROWS} THEN a.{n} WHEN b.total >= {quality.LEAST_ROWS} THEN b.{n} ELSE e.{n} END"
     return rf"""
@@ -131,8 +131,9 @@ c AS (SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > 50 * n
 r AS ({values}),
 s AS (SELECT lang, source, measure, level AS p, CASE WHEN value <= 0 THEN {quality.ZERO} ELSE ceil(ln(value) / ln({gamma}))::INT END AS bucket, count(*) AS n FROM r WHERE NOT base_failed GROUP BY ALL),
 u AS (SELECT 1 AS level, * FROM s UNION ALL SELECT 2, lang, NULL, measure, p, bucket, sum(n) FROM s GROUP BY ALL UNION ALL SELECT 3, NULL, NULL, measure, p, bucket, sum(n) FROM s GROUP BY ALL),
-k AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, measure) AS total FROM u),
-q AS (SELECT level, lang, source, measure, max(total) AS total, min(bucket) FILTER (upto >= (1 - p) * total) AS least, min(bucket) FILTER (upto >= 0.5 * total) AS middle, min(bucket) FILTER (upto >= p * total) AS most FROM k GROUP BY ALL),
+k AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, measure) AS total, coalesce(sum(n) FILTER (bucket = {quality.ZERO}) OVER (PARTITION BY level, lang, source, measure), 0) AS without FROM u),
+q AS (SELECT level, lang, source, measure, max(total) AS total, min(bucket) FILTER (upto >= (1 - p) * total) AS least, min(bucket) FILTER (upto >= 0.5 * total) AS middle, min(bucket) FILTER (upto >= p * total) AS most,
+  min(bucket) FILTER (bucket > {quality.ZERO} AND upto - without >= 0.25 * (total - without)) AS few FROM k GROUP BY ALL),
 f AS (SELECT level, lang, source, measure, total, {low} AS low, {high} AS high FROM q),
 o AS (SELECT r.doc_id, bool_or(value > {held("high")} OR (r.measure IN ({", ".join(f"'{x}'" for x in quality.TWO_SIDED)}) AND value < {held("low")})) AS outside
   FROM r JOIN f a ON a.level = 1 AND a.measure = r.measure AND a.lang IS NOT DISTINCT FROM r.lang AND a.source IS NOT DISTINCT FROM r.source

@@ -66,3 +66,13 @@ def test_sketches_merge(spark, sample):
     halves = sketches(rows.where("doc_id % 2 = 0")).union(sketches(rows.where("doc_id % 2 = 1")))
     merged = halves.groupBy("lang", "source", "measure", "bucket").agg(F.sum("n").alias("n"))
     assert sorted(map(str, merged.collect())) == sorted(map(str, sketches(rows).collect()))
+
+
+def test_where_nearly_all_have_none(docs):
+    """The upper quantile is zero: a stray symbol passes, what is like most that have any doesn't; without any, none is drawn."""
+    rng = random.Random(6)
+    marked = lambda n: " ".join(f"w{rng.randrange(10**6):06d}" + "#" * (i < n) for i in range(80))
+    rows = [(k, marked(0), "en", "s", 0) for k in range(400)] + [(1000 + k, marked(rng.randrange(50, 80)), "en", "s", 0) for k in range(20)]
+    rows += [(2000 + k, marked(1), "en", "s", 0) for k in range(4)] + [(3000 + k, marked(0), "de", "s", 0) for k in range(60)]
+    kept = {r.doc_id: r.kept for r in quality_rules(docs(rows), least_rows=50).collect()}
+    assert not any(kept[1000 + k] for k in range(20)) and all(v for k, v in kept.items() if not 1000 <= k < 2000)
