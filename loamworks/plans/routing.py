@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import contracts, gates, reconcile, routing
+from ..operators import contracts, gates, reconcile, retrieval, routing
 from .registry import query, table
 
 c = F.col
@@ -290,3 +290,31 @@ def policy_reasons(spark, sf_dir):
     kind = F.element_at(F.array(*(F.lit(x).cast("string") for x in KINDS)), (k % 6 + 1).cast("int"))
     facts = table(spark, sf_dir, "orders").select(k, F.concat(*parts, F.lower("o_orderpriority")).alias("content"), kind.alias("kind"), F.when(c("o_orderstatus") == "O", "current").otherwise("stable").alias("tier"))
     return gates.with_policy(facts, "kind", "content", "tier").select("o_orderkey", "fact_class", "policy_reasons", "policy_review_only")
+
+
+_TOK = lambda x: f"list_filter(regexp_extract_all(lower({x}), '[a-z0-9][a-z0-9_+-]*'), lambda t: length(t) > 1)"
+
+
+@query(rf"""WITH pg AS (SELECT 'v' || p_size % 4 AS vault, CASE WHEN p_partkey % 5 = 0 THEN 'people/' ELSE 'wiki/' END || replace(p_name, ' ', '-') || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '-' || p_partkey END || '.md' AS page, p_type AS title, [p_brand, p_name] AS headings,
+['notes on metal work', 'widget and gear plans', 'small economy', ''][p_size % 4 + 1] AS purpose, p_name || ' ' || p_name || ' about ' || p_type AS overview, p_partkey FROM part),
+p AS (SELECT * FROM pg QUALIFY row_number() OVER (PARTITION BY vault, page ORDER BY p_partkey) = 1),
+q AS (SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'I met with someone' WHEN 1 THEN 'The Red Widget is a SMALL thing' WHEN 2 THEN 'plans of metal gear, says a friend' ELSE 'economy polished steel' END || ' ' || s_name AS text FROM supplier),
+w AS (SELECT vault, page, unnest({_TOK('page')}) AS t, 5 AS n FROM p UNION ALL SELECT vault, page, unnest({_TOK('title')}), 5 FROM p UNION ALL SELECT vault, page, unnest({_TOK("array_to_string(headings, ' ')")}), 3 FROM p UNION ALL SELECT vault, page, unnest({_TOK('purpose')}), 2 FROM p UNION ALL SELECT vault, page, unnest(list_distinct({_TOK('overview')})), 1 FROM p),
+tf AS (SELECT vault, page, t, sum(n) AS tf FROM w GROUP BY ALL), ln AS (SELECT vault, page, sum(tf) AS len FROM tf GROUP BY ALL), st AS (SELECT count(*) AS n, avg(len) AS mean FROM ln), df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+qt AS (SELECT s_suppkey, t, count(*) AS qf FROM (SELECT s_suppkey, unnest({_TOK('text')}) AS t FROM q) GROUP BY ALL),
+b AS (SELECT s_suppkey, vault, page, sum(qf * ln(1 + (st.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) AS bm25 FROM qt JOIN tf USING (t) JOIN df USING (t) JOIN ln USING (vault, page), st GROUP BY ALL),
+x AS (SELECT s_suppkey, vault, page, ' ' || array_to_string({_TOK('text')}, ' ') || ' ' AS words, {_TOK('text')} AS ws, lower(text) AS low, ' ' || array_to_string({_TOK('title')}, ' ') || ' ' AS title, ' ' || array_to_string({_TOK("replace(regexp_replace(regexp_extract(page, '[^/]+$'), '[.][^.]*$', ''), '-', ' ')")}, ' ') || ' ' AS stem, {_TOK('purpose')} AS purpose FROM q, p),
+s AS (SELECT x.s_suppkey, x.vault, x.page, coalesce(bm25, 0) + least(7.0, 2.0 * len(list_intersect(list_distinct(ws), purpose))) + CASE WHEN contains(words, stem) THEN 14 ELSE 0 END + CASE WHEN contains(words, title) THEN 14 ELSE 0 END + CASE WHEN contains(page, 'people') AND (contains(low, 'met with') OR contains(low, 'friend')) THEN 12 ELSE 0 END AS score
+FROM x LEFT JOIN b USING (s_suppkey, vault, page)),
+r AS (SELECT s_suppkey, vault, page, round(score, 6) AS score, row_number() OVER (PARTITION BY s_suppkey ORDER BY round(score, 6) DESC, vault, page) AS rank FROM s WHERE round(score, 6) > 0)
+SELECT * FROM r WHERE rank <= 12""")
+def boosted_pages(spark, sf_dir):
+    """Suppliers' notes look for parts' pages: by words, phrases, purposes, and people for whom no word is shared."""
+    part, k = table(spark, sf_dir, "part"), c("p_partkey")
+    pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i + 1).cast("int"))
+    name = F.concat(F.when(k % 5 == 0, "people/").otherwise("wiki/"), F.replace("p_name", F.lit(" "), F.lit("-")), F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("-"), k.cast("string"))), F.lit(".md"))
+    page = part.select(F.concat(F.lit("v"), (c("p_size") % 4).cast("string")).alias("vault"), name.alias("page"), F.struct(k, c("p_type").alias("title"), F.array("p_brand", "p_name").alias("headings"), pick(("notes on metal work", "widget and gear plans", "small economy", ""), c("p_size") % 4).alias("purpose"), F.concat("p_name", F.lit(" "), "p_name", F.lit(" about "), "p_type").alias("overview")).alias("s"))
+    pages = page.groupBy("vault", "page").agg(F.min_by("s", "s.p_partkey").alias("s")).select("vault", "page", "s.title", "s.headings", "s.purpose", "s.overview")
+    said = pick(("I met with someone", "The Red Widget is a SMALL thing", "plans of metal gear, says a friend", "economy polished steel"), c("s_suppkey") % 4)
+    asked = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(said, F.lit(" "), "s_name").alias("text"))
+    return retrieval.search_pages(asked, "s_suppkey", "text", pages, 12)
