@@ -5,6 +5,7 @@ Each lists and reads through Spark, so paths may lie in any store that Spark rea
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,14 +13,19 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import pages as P
+from . import discovery
 
 KINDS = ("speech", "writing", "chat", "notes")
 FIELDS = ("text", "content", "body", "message")
 
 
-def whole(spark: SparkSession, path: str, suffix: str) -> DataFrame:
-    """source_path, text of each file below path with a suffix (whole text, any depth); no dot files, no readme."""
+def whole(spark: SparkSession, path: str | list[str], suffix: str, since: datetime.datetime | None = None) -> DataFrame:
+    """source_path, text of each file below path with a suffix (whole text, any depth); no dot files, no readme.
+
+    path: a folder, or files. since: only files changed then or later are opened.
+    """
     df = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").text(path, wholetext=True)
+    df = discovery.changed_since(df, since) if since else df
     name = F.lower(F.element_at(F.split("source_path", "/"), -1))
     out = df.select(F.col("_metadata.file_path").alias("source_path"), F.col("value").alias("text"))
     return out.where(~name.startswith(".") & ~name.rlike(r"^readme\b"))
@@ -84,14 +90,15 @@ def csv_files(spark: SparkSession, path: str) -> DataFrame:
     return records(out, F.col("__kind"))
 
 
-def transcript_events(spark: SparkSession, path: str) -> DataFrame:
+def transcript_events(spark: SparkSession, path: str | list[str], since: datetime.datetime | None = None) -> DataFrame:
     """source_chat, event_no (physical line, from 1), role, text, toggle of transcripts in three dialects.
 
     Roles come from payload.type, else message.role, role or type; only users and assistants count. Meta, summary and
     notification events are dropped; text is a string or the text blocks of an array, joined by line breaks, without
-    reminder and command wrappers. toggle: a user line that turns recording off or on.
+    reminder and command wrappers. toggle: a user line that turns recording off or on. Files in a folder `subagents` are left out; what else is no
+    person's conversation, and what changed, is told by sources.discovery, whose paths this reads.
     """
-    lines = whole(spark, path, ".jsonl").select(F.col("source_path").alias("source_chat"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = whole(spark, path, ".jsonl", since).where(~F.contains("source_path", F.lit(discovery.ASIDE))).select(F.col("source_path").alias("source_chat"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     ev = lines.withColumn("v", F.try_parse_json("line")).where("v IS NOT NULL")
     get = lambda p, t="string": F.try_variant_get("v", p, t)
     flag = lambda p: F.coalesce(get(p, "boolean"), F.lit(False))

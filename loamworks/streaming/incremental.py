@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..sources import discovery, generations
+
 
 def cursor_time(c: Column, now: Column, days: int = 7) -> Column:
     """A marker as a time: ISO or epoch seconds; anything else, or none, is so many days before now."""
@@ -45,6 +48,34 @@ def available(spark: SparkSession, path: str, schema: StructType, each: Callable
     stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def staged(spark: SparkSession, path: str, schema: StructType, stages: list[tuple[str, Callable[[DataFrame, int], None]]], base: str, checkpoint: str, at: str, kind: str = "parquet") -> None:
+    """Take what is new below path in batches, each through all stages in order; its cursor moves only when all are done.
+
+    Under base a file is left for each stage of a batch that is done, then one with the batch's latest time (column at). When a
+    stage fails, the run ends with its error and the cursor stays; the next run takes the same batch again and goes on with
+    that stage, so what earlier ones wrote isn't doubled. A stage that failed half-way is called again with the same number.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        done = lambda name: f"{base}/done/{number:08d}-{name}.json"
+        for name, stage in stages:
+            if not discovery.exists(spark, done(name)):
+                stage(batch, number)
+                generations.publish(spark, done(name), json.dumps({"batch": number, "stage": name}))
+        if not discovery.exists(spark, f"{base}/cursor/{number:08d}.json"):
+            latest = batch.agg(F.max(F.unix_micros(F.col(at).cast("timestamp")))).first()[0]
+            generations.publish(spark, f"{base}/cursor/{number:08d}.json", json.dumps({"batch": number, "micros": latest}))
+
+    available(spark, path, schema, each, checkpoint, kind)
+
+
+def cursor_of(spark: SparkSession, base: str) -> int | None:
+    """The latest time (microseconds) of all batches that went through all stages under base; it never moves back."""
+    if not discovery.exists(spark, f"{base}/cursor"):
+        return None
+    return spark.read.schema("batch long, micros long").option("pathGlobFilter", "*.json").json(f"{base}/cursor").agg(F.max("micros")).first()[0]
+
+
 def windowed_counts(events: DataFrame, at: str, by: list[str], length: str, late: str) -> DataFrame:
     """Counts in tumbling windows, of a stream (rows later than the watermark are left out) or a table."""
     return events.withWatermark(at, late).groupBy(F.window(at, length), *by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), *by, "n")
