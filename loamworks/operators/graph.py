@@ -1,38 +1,70 @@
-"""Connected components by minimum labels, and checks of a link graph."""
+"""Connected components by large and small stars, and checks of a link graph."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import deleted, written
+
+
+#: A key is hot if it has more than so many rows and more than one of so many parts of all rows: fewer than HOT_PARTS keys can be.
+HOT_ROWS, HOT_PARTS = 256, 1024
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows joined with table (one row a key) on key, a hot key's rows dealt over as many parts as bring each below the limit.
+
+    rows is a written table. Fewer than HOT_PARTS keys can be hot; only these are broadcast.
+    """
+    limit = max(HOT_ROWS, rows.count() // HOT_PARTS)
+    hot = rows.groupBy(key).count().where(F.col("count") > limit).select(key, F.ceil(F.col("count") / limit).cast("int").alias("parts")).collect()
+    if not hot:
+        return rows.join(table, key)
+    parts = F.broadcast(rows.sparkSession.createDataFrame(hot, rows.select(key, F.lit(1).alias("parts")).schema))
+    dealt = rows.join(parts, key, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(*rows.columns), "parts"), F.lit(0)).cast("int")).drop("parts")
+    repeated = table.join(parts, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(repeated, [key, "part"]).drop("part")
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Greater neighbours of each node go to the least of the node and its neighbours."""
+    both = written(edges.union(edges.select("b", "a")).toDF("a", "b"))
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    out = written(spread_join(both, least, "a").where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+    deleted(both)
+    return out
+
 
-def _written(df: DataFrame) -> DataFrame:
-    """df through a table in the folder that all executors share (spark.checkpoint.dir; unset, as in tests: a new local one)."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-loam-", dir="/tmp")
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _small_star(edges: DataFrame) -> DataFrame:
+    """A node and its smaller neighbours go to the least of them."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    moved = spread_join(edges, least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return written(moved.union(least.select("a", "m")).where("a <> b").distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component: the least node reachable. edges: two columns; direction and repeats don't matter.
+    """node, component (the least node reachable) for every node of an edge. edges: two columns of one orderable type; direction
+    and repeats don't matter, an edge with a null is none, a loop makes its node a component.
 
-    Each round every node takes the least label of its neighbours, then that label's own label, so paths halve.
+    Large and small stars in turn, until nothing changes: the number of rounds grows with the logarithm of a path's length.
+    The rows of a node with very many edges are dealt over tasks. Only counts and checksums come to the driver.
     """
     a, b = edges.columns
-    both = _written(edges.select(F.col(a).alias("s"), F.col(b).alias("t")).unionAll(edges.select(F.col(b).alias("s"), F.col(a).alias("t"))).where("s IS NOT NULL AND t IS NOT NULL").distinct())
-    labels = _written(both.groupBy("s").agg(F.min("t").alias("m")).select(F.col("s").alias("node"), F.least("s", "m").alias("component")))
+    given = written(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL").distinct())
+    now, sign = written(given.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), None
     while True:
-        around = both.join(labels, both.t == labels.node).groupBy("s").agg(F.min("component").alias("m"))
-        step = labels.join(around, labels.node == around.s, "left").select("node", F.least("component", "m").alias("c"), F.col("component").alias("was"))
-        jump = labels.select(F.col("node").alias("at"), F.col("component").alias("next"))
-        new = _written(step.join(jump, step.c == jump.at, "left").select("node", F.least("c", "next").alias("component"), "was"))
-        if new.where("component <> was").limit(1).count() == 0:
-            return new.select("node", "component")
-        labels = new.select("node", "component")
+        large = _large_star(now)
+        after = _small_star(large)
+        row = after.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
+        for table in (now, large):
+            deleted(table)
+        now = after
+        if (row.n, row.x) == sign:
+            break
+        sign = (row.n, row.x)
+    nodes = given.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return nodes.join(now.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def link_audit(pages: DataFrame, links: DataFrame, index: DataFrame) -> DataFrame:

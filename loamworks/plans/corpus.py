@@ -319,6 +319,13 @@ def ffd_bundles(spark, sf_dir):
     return units.bundles(pieces.select(F.concat_ws(":", "piece.doc_id", "piece.part").alias("piece"), "size", "unit"), "piece", "size", 85_000, "unit")
 
 
+@query()
+def ffd_whole(spark, sf_dir):
+    """All documents in bundles of at most 85,000 bytes, first fit over the whole table."""
+    sized = docs(spark, sf_dir).select("doc_id", F.octet_length("text").cast("long").alias("size"))
+    return units.first_fit_all(sized, "doc_id", "size", 85_000)
+
+
 @query()
 def nextfit_bundles(spark, sf_dir):
     sized = docs(spark, sf_dir).withColumn("size", F.length("text")).withColumn("unit", F.floor(F.col("doc_id") / 500))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
-from loamworks.operators import contracts, gates, graph, pages, reconcile, review, routing, similarity, units
+from loamworks.operators import contracts, gates, graph, pages, reconcile, retrieval, review, routing, similarity, units
 from loamworks.sources import readers
 from loamworks.streaming import incremental
 
@@ -79,6 +79,50 @@ def test_bundles(spark):
     assert len(rows) == 40 and max(used.values()) <= 10
 
 
+def numbered(sizes):
+    """Of each item, the how manieth it is of its size."""
+    seen = {}
+    return [seen.setdefault(s, []).append(0) or len(seen[s]) - 1 for s in sizes]
+
+
+def test_plan_of_first_fit():
+    """By counts of sizes the same bundles as item by item; items larger than a bundle and empty ones included."""
+    rng = random.Random(1)
+    for _ in range(400):
+        cap = rng.choice([7, 10, 50, 100])
+        sizes = [rng.choice([0, 1, 2, 3, 5, rng.randint(1, cap + 5)]) for _ in range(rng.randint(0, 120))]
+        plan = units.first_fit_plan({s: sizes.count(s) for s in sizes}, cap)
+        of = lambda s, n: next(b + (n - first) // per for size, first, m, b, per in plan if size == s and first <= n < first + m)
+        assert [of(s, n) for s, n in zip(sizes, numbered(sizes))] == units.first_fit(sizes, cap)
+
+
+def test_first_fit_over_the_whole_table(spark, monkeypatch):
+    rng = random.Random(5)
+    sizes = [rng.choice([900, 900, 1, 0, None, rng.randint(0, 1100)]) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(sizes)), "k long, s long").repartition(9)
+    monkeypatch.setattr(units, "STRETCH", 16)
+    got = {r.k: r.bundle for r in units.first_fit_all(df, "k", "s", 1000).collect()}
+    assert [got[k] for k in range(3000)] == units.first_fit([s or 0 for s in sizes], 1000)
+    assert units.first_fit_all(df.limit(0), "k", "s", 10).count() == 0
+
+
+def test_all_documents_in_bundles(spark):
+    base = "/root/testdata/sf0.01"
+    got = queries()["ffd_whole"](spark, base).orderBy("doc_id").collect()
+    assert [r.bundle for r in got] == units.first_fit([r["size"] for r in got], 85_000)
+
+
+def test_boost_without_a_shared_word(spark):
+    """A page about people is found by a relation alone; ties by vault and page, no more than k."""
+    rows = [("v", f"people/{n}.md", n, [], "", "") for n in ("ann", "bob", "cy")] + [("v", "wiki/x.md", "steel", [], "rings", "steel"), ("w", "wiki/red-ring.md", "none", None, None, None)]
+    pages_ = spark.createDataFrame(rows, "vault string, page string, title string, headings array<string>, purpose string, overview string")
+    asked = spark.createDataFrame([(1, "My MENTOR said so"), (2, "a mentor of steel rings"), (3, "the red ring"), (4, "")], "q int, t string")
+    got = [(r.q, r.page, r["rank"]) for r in retrieval.search_pages(asked, "q", "t", pages_, 2).orderBy("q", "rank").collect()]
+    assert got == [(1, "people/ann.md", 1), (1, "people/bob.md", 2), (2, "wiki/x.md", 1), (2, "people/ann.md", 2), (3, "wiki/red-ring.md", 1)]
+    scores = {r.page: r.score for r in retrieval.search_pages(asked.where("q = 1"), "q", "t", pages_, 9).collect()}
+    assert scores == {"people/ann.md": 12.0, "people/bob.md": 12.0, "people/cy.md": 12.0}
+
+
 PAGE = "---\nKind: chat\nstatus: active\nstatus: Archived\nupdated: 2020-01-01\n---\n# Title\nSome prose here.\n\n```\n# not a title\n## no heading\n```\n## First\n- a\n\n## Second\n- [[Other|x]] and [[That#y]]\n"
 
 
