@@ -80,7 +80,7 @@ def marker_info(value: Column, today: Column) -> Column:
 
 def marker_alert(name: Column, info: Column) -> Column:
     missing, invalid = ~info["present"], ~info["valid"]
-    return F.when(missing, F.concat(F.lit("missing "), name, F.lit(" marker"))).when(invalid, F.concat(F.lit("invalid "), name, F.lit(" marker"))).when(info["age_days"] > STALE_DAYS, F.concat(F.lit("stale "), name, F.lit(" marker: "), info["age_days"].cast("string"), F.lit(" days")))
+    return F.when(missing, F.concat(F.lit("no cursor kept for "), name)).when(invalid, F.concat(F.lit("unreadable cursor for "), name)).when(info["age_days"] > STALE_DAYS, F.concat(F.lit("cursor for "), name, F.lit(" is old, in days: "), info["age_days"].cast("string")))
 
 
 def assembled(parts: Mapping[str, DataFrame]) -> DataFrame:
@@ -101,7 +101,7 @@ def health(pending: DataFrame, sides: DataFrame, decisions: DataFrame, states: D
     out = assembled({"queue": queue, "runs": runs, "review": decisions.agg(F.count_distinct(key).alias("decisions"))})
     said = lambda c, text: F.when(c > 0, F.concat(c.cast("string"), F.lit(text)))
     q, r = F.col("queue"), F.col("runs")
-    alerts = F.array_compact(F.array(said(q["orphan_pending"], " pending entries lack sidecars"), said(q["orphan_sidecars"], " sidecars lack pending entries"), said(r["failed"], " failed run(s) retained"), said(r["unfinished"], " run(s) not finalized")))
+    alerts = F.array_compact(F.array(said(q["orphan_pending"], " waiting without details"), said(q["orphan_sidecars"], " details without an entry"), said(r["failed"], " failed and kept"), said(r["unfinished"], " begun but not done")))
     return out.select("queue.*", F.col("runs.known").alias("known_runs"), F.col("runs.failed").alias("failed_runs"), F.col("runs.unfinished").alias("unfinished_runs"), F.col("runs.latest").alias("latest_run"), "review.decisions", alerts.alias("alerts"))
 
 

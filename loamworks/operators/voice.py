@@ -87,10 +87,13 @@ def to_rules(profiles: DataFrame, by: list[str], rules: scoring.Rules = scoring.
 
 
 def profile_summary() -> Column:
-    """A few lines about a row of build_profile()."""
-    s = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
-    words = F.array_join(F.slice("vocab_anchors", 1, 12), ", ")
-    return F.concat_ws("\n", F.concat(F.lit("Written target from: "), "derived_from"), F.concat(F.lit("Sentence length: ~"), s("mean"), F.lit(" words (band "), s("band_low"), F.lit("-"), s("band_high"), F.lit(")")), F.concat(F.lit("Em dashes: "), F.when(F.col("em_dash_allowed"), "allowed").otherwise("avoid")), F.concat(F.lit("Contractions: "), s("contraction_per_1k"), F.lit(" per 1k words")), F.concat(F.lit("Vocabulary: "), F.when(words == "", "(n/a)").otherwise(words)))
+    """A row of build_profile() told in a few lines, in this engine's own form."""
+    told = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
+    words = F.array_join(F.slice("vocab_anchors", 1, 12), " ")
+    return F.concat_ws(
+        "\n", F.concat(F.lit("target taken from "), "derived_from"), F.concat(F.lit("mean sentence "), told("mean"), F.lit(", usual "), told("band_low"), F.lit(" to "), told("band_high")),
+        F.when(F.col("em_dash_allowed"), "long dashes occur").otherwise("no long dashes"), F.concat(F.lit("short forms per thousand: "), told("contraction_per_1k")), F.concat(F.lit("typical words: "), F.when(words == "", "none").otherwise(words)),
+    )
 
 
 def ordered_violations(by_severity: bool) -> Column:
@@ -105,12 +108,11 @@ def audited(df: DataFrame, rules: scoring.Rules = scoring.Rules(), text: str = "
     out = scoring.scored(df, rules, text).withColumn("matches", scoring.voice_matches(rules))
     fix = F.create_map(*(F.lit(x) for kv in FIXES.items() for x in kv))
     out = out.withColumns({"plan": F.transform(ordered_violations(False), lambda v: fix[v["rule"]]), "breakdown": F.map_from_entries(F.transform("violations", lambda v: F.struct(v["rule"], v["penalty"])))})
-    found = F.transform(ordered_violations(True), lambda v: F.concat(F.lit("  ["), F.upper(v["severity"]), F.lit("] "), v["rule"], F.lit("  (-"), v["penalty"].cast("string"), F.lit(")\n        fix: "), fix[v["rule"]]))
+    found = F.transform(ordered_violations(True), lambda v: F.concat(v["severity"], F.lit(" "), v["rule"], F.lit(" costs "), v["penalty"].cast("string"), F.lit(": "), fix[v["rule"]]))
     part = lambda title, lines: F.when(F.size(lines) > 0, F.concat(F.lit(title), F.array_join(lines, "\n")))
-    head = F.concat(F.lit("Score: "), F.col("score").cast("string"), F.lit("/100  "), T.score_bar(F.col("score")), F.lit("\n\nVIOLATIONS ("), F.size("violations").cast("string"), F.lit(")"))
-    steps = F.transform("plan", lambda p, i: F.concat(F.lit("  "), (i + 1).cast("string"), F.lit(". "), p))
-    traits = F.transform("matches", lambda m: F.concat(F.lit("  + "), m))
-    return out.withColumn("report", F.concat_ws("\n\n", F.concat_ws("\n", head, F.array_join(found, "\n")), part("VOICE MATCHES\n", traits), part("REWRITE PLAN\n", steps)))
+    head = F.concat(F.lit("draft scores "), F.col("score").cast("string"), F.lit(" of 100 "), T.score_bar(F.col("score")))
+    steps = F.transform("plan", lambda p, i: F.concat((i + 1).cast("string"), F.lit(") "), p))
+    return out.withColumn("report", F.concat_ws("\n\n", head, part("# against the profile\n", found), part("# like the profile\n", F.col("matches")), part("# to do, in this order\n", steps)))
 
 
 def stilted(c: Column, expansions: dict[str, str], grand: dict[str, str], opening: str = "Consequently, ") -> Column:

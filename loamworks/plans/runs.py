@@ -67,7 +67,7 @@ def nested_values(spark, sf_dir):
 
 @query("""WITH m AS (SELECT event_id, event_type, CASE WHEN event_type = 'error' THEN NULL WHEN event_type = 'click' THEN DATE '1970-01-01' + (event_id * 7 % 20000 // 1)::INT WHEN event_type = 'view' THEN ts::DATE END AS day FROM events)
 SELECT event_id, event_type <> 'error' AS present, day IS NOT NULL AS valid, date_diff('day', day, DATE '2024-01-25') AS age_days,
-CASE WHEN event_type = 'error' THEN 'missing m marker' WHEN day IS NULL THEN 'invalid m marker' WHEN date_diff('day', day, DATE '2024-01-25') > 14 THEN 'stale m marker: ' || date_diff('day', day, DATE '2024-01-25') || ' days' END AS alert FROM m""")
+CASE WHEN event_type = 'error' THEN 'no cursor kept for m' WHEN day IS NULL THEN 'unreadable cursor for m' WHEN date_diff('day', day, DATE '2024-01-25') > 14 THEN 'cursor for m is old, in days: ' || date_diff('day', day, DATE '2024-01-25') END AS alert FROM m""")
 def marker_infos(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     value = F.when(c("event_type") == "click", ((c("event_id") * 7 % 20000) * 86400 + 5).cast("string")).when(c("event_type") == "view", F.date_format("ts", "yyyy-MM-dd")).when(c("event_type") != "error", "soon")
@@ -86,8 +86,8 @@ def run_metrics(spark, sf_dir):
 @query("""WITH p AS (SELECT DISTINCT doc_id FROM documents), s AS (SELECT DISTINCT doc_id FROM labels UNION SELECT DISTINCT doc_id + 5000000 FROM labels WHERE toxic = 1), r AS (SELECT user_id, arg_max(event_type, event_id) AS e, max(ts) AS t FROM events GROUP BY user_id),
 q AS (SELECT (SELECT count(*) FROM p) AS pending_entries, (SELECT count(*) FROM s) AS sidecars, (SELECT count(*) FROM p WHERE doc_id NOT IN (SELECT doc_id FROM s)) AS orphan_pending, (SELECT count(*) FROM s WHERE doc_id NOT IN (SELECT doc_id FROM p)) AS orphan_sidecars,
 (SELECT count(*) FROM r) AS known_runs, (SELECT count(*) FROM r WHERE e = 'error') AS failed_runs, (SELECT count(*) FROM r WHERE e = 'click') AS unfinished_runs, (SELECT arg_max(user_id::VARCHAR, (t, user_id::VARCHAR)) FROM r) AS latest_run, (SELECT count(DISTINCT doc_id) FROM labels WHERE quality = 1) AS decisions)
-SELECT *, list_filter([CASE WHEN orphan_pending > 0 THEN orphan_pending || ' pending entries lack sidecars' END, CASE WHEN orphan_sidecars > 0 THEN orphan_sidecars || ' sidecars lack pending entries' END, CASE WHEN failed_runs > 0 THEN failed_runs || ' failed run(s) retained' END,
-CASE WHEN unfinished_runs > 0 THEN unfinished_runs || ' run(s) not finalized' END], lambda x: x IS NOT NULL) AS alerts FROM q""")
+SELECT *, list_filter([CASE WHEN orphan_pending > 0 THEN orphan_pending || ' waiting without details' END, CASE WHEN orphan_sidecars > 0 THEN orphan_sidecars || ' details without an entry' END, CASE WHEN failed_runs > 0 THEN failed_runs || ' failed and kept' END,
+CASE WHEN unfinished_runs > 0 THEN unfinished_runs || ' begun but not done' END], lambda x: x IS NOT NULL) AS alerts FROM q""")
 def health_report(spark, sf_dir):
     labels = table(spark, sf_dir, "labels")
     sides = labels.select("doc_id").unionAll(labels.where("toxic = 1").select((c("doc_id") + 5_000_000).alias("doc_id")))

@@ -51,7 +51,7 @@ def voice_rules(spark, sf_dir):
     return out.select("lang", "rules.derived_from", "rules.em_dash_allowed", "rules.sentence_len_band", "rules.filler_target_per_1k", "rules.vocab_anchors", F.size("rules.score_weights").alias("n_weights"), F.size("rules.corporate_blacklist").alias("n_corporate"), F.element_at("rules.ai_tells", 1).alias("first_tell"))
 
 
-@query(_PROFILES + """SELECT lang, 'Written target from: ' || derived_from AS first_line, 'Vocabulary: ' || array_to_string(vocab_anchors[1:12], ', ') AS last_line FROM targets JOIN vocab_anchors USING (lang)""")
+@query(_PROFILES + """SELECT lang, 'target taken from ' || derived_from AS first_line, 'typical words: ' || array_to_string(vocab_anchors[1:12], ' ') AS last_line FROM targets JOIN vocab_anchors USING (lang)""")
 def profile_summaries(spark, sf_dir):
     text = profiles(spark, sf_dir).select("lang", F.split(voice.profile_summary(), "\n").alias("lines"))
     return text.select("lang", F.element_at("lines", 1).alias("first_line"), F.element_at("lines", -1).alias("last_line"))
@@ -63,7 +63,7 @@ _VIOLATIONS = """, v2 AS (SELECT doc_id, score, unnest([{'i': 0, 'rule': 'em_das
 
 
 @query(_sig_sql() + _VIOLATIONS + """ SELECT scored.doc_id, scored.score, count(v3.rule) AS n_violations, coalesce(string_agg(v3.rule, ',' ORDER BY v3.p DESC, v3.i), '') AS by_penalty, coalesce(string_agg(v3.rule, ',' ORDER BY v3.s, v3.p DESC, v3.i), '') AS by_severity,
-'Score: ' || scored.score || '/100  ' || rpad(repeat('#', scored.score // 5), 20, '-') AS head FROM scored LEFT JOIN v3 ON v3.doc_id = scored.doc_id GROUP BY ALL""")
+'draft scores ' || scored.score || ' of 100 ' || rpad(repeat('#', scored.score // 5), 20, '-') AS head FROM scored LEFT JOIN v3 ON v3.doc_id = scored.doc_id GROUP BY ALL""")
 def draft_audits(spark, sf_dir):
     out = voice.audited(docs(spark, sf_dir), RULES)
     rules = lambda ordered: F.array_join(F.transform(ordered, lambda v: v["rule"]), ",")
