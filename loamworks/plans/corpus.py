@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.lexicon import ABBREVIATIONS
-from ..operators import gates, profile, retrieval, scoring, similarity, units
+from ..operators import gates, phrases, profile, retrieval, scoring, similarity, units
 from .registry import query, table
 
 #: Lists that these tables have hits for: frequent words stand in for spoken fillers, licence phrases for inflated claims.
@@ -337,3 +337,16 @@ def rewritten_documents(spark, sf_dir):
     rules = scoring.Rules()
     out = docs(spark, sf_dir).withColumn("after", T.rewritten(F.col("text"), {"the": "a"}, ("the and",), rules.filler))
     return out.select("doc_id", F.length("text").alias("before"), F.length("after").alias("after"), F.sha2("after", 256).alias("body"))
+
+
+@query(r"""WITH f AS (SELECT string_split(lower(text), ' ') AS w FROM benchmark UNION ALL SELECT string_split(lower(text), ' ') FROM conversations WHERE turn = 0), p AS (SELECT DISTINCT k AS lexicon, array_to_string(w[1:n], ' ') AS phrase FROM f, (VALUES ('pairs', 2), ('triples', 3), ('words', 1)) v(k, n)),
+q AS (SELECT * FROM p WHERE regexp_full_match(phrase, '[\p{L}\p{N}]+( [\p{L}\p{N}]+)*')), d AS (SELECT doc_id, lang, regexp_replace(lower(text), '([^\p{L}\p{N}])', '\1\1', 'g') AS t FROM documents WHERE text IS NOT NULL),
+m AS (SELECT doc_id, lang, lexicon, len(regexp_extract_all(t, '(?:^|[^\p{L}\p{N}])' || replace(phrase, ' ', '\s+') || '(?:[^\p{L}\p{N}]|$)')) AS n FROM d JOIN q ON contains(t, string_split(phrase, ' ')[1])),
+e AS (SELECT doc_id, lang, lexicon, sum(n) AS n FROM m WHERE n > 0 GROUP BY ALL) SELECT lang, lexicon, sum(n)::BIGINT AS n, count(*) AS n_texts FROM e GROUP BY ALL""")
+def phrase_matches(spark, sf_dir):
+    """Some hundreds of phrases, the beginnings of benchmark items and conversations, in all documents at once."""
+    words = F.split(F.lower("text"), " ")
+    opening = table(spark, sf_dir, "benchmark").select("text").union(table(spark, sf_dir, "conversations").where("turn = 0").select("text"))
+    cuts = F.explode(F.array(*(F.struct(F.lit(k).alias("lexicon"), F.array_join(F.slice(words, 1, n), " ").alias("phrase")) for k, n in (("pairs", 2), ("triples", 3), ("words", 1)))))
+    listed = opening.select(cuts.alias("p")).select("p.*").distinct().where(F.col("phrase").rlike(r"^[\p{L}\p{N}]+( [\p{L}\p{N}]+)*$"))
+    return phrases.phrase_totals(docs(spark, sf_dir), "doc_id", "text", listed, ["lang"])
