@@ -102,6 +102,16 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, counted: DataFrame
     return dealt.drop("__parts").join(repeated.drop("__parts"), [key, "__part"]).drop("__part")
 
 
+#: Rows of an Arrow batch where nothing else is set; with texts of some kilobytes, batches of ten thousand take hundreds of megabytes.
+BATCH_ROWS, BATCH_SETTING = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows in this session, if it has no setting of its own."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+
+
 def by_slices(each: Callable[[pa.RecordBatch], pa.RecordBatch], rows: int = SLICE_ROWS):
     """A function for mapInArrow: each() gets a few rows at a time, so that few texts are Python objects at once."""
 

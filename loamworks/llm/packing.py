@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import byte_characters
-from .common import by_slices, keyed_text, stored
+from .common import bounded_batches, by_slices, keyed_text, stored
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Longer texts go through the tokenizers library itself: the faster encoder's pattern can't backtrack so far.
@@ -226,6 +226,7 @@ def place(cut: DataFrame, capacity: Capacity) -> DataFrame:
 
 def pack(df: DataFrame, path: str, capacity: Capacity = Capacity(), end: int | None = 2, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
     """The pieces of all documents, as pieces() has them, with sequence_id and offset (gapless from 0 in each sequence)."""
+    bounded_batches(df.sparkSession)
     return place(stored(pieces(df, path, capacity.tokens, end, id_col, text_col, ids)), capacity)
 
 

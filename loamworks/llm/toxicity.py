@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_slices, keyed_text
+from .common import bounded_batches, by_slices, keyed_text
 
 #: Labelled documents that the model is fitted to, at most, and the longest of them in bytes: bounds of what the driver holds.
 SAMPLE = 4000
@@ -306,6 +306,7 @@ def drop_toxic(df: DataFrame, model: Model, text_col: str = "text", least: float
 
     A null text is scored as an empty one. Repeated rows and ids are rows of their own: equal texts stay or go alike.
     """
+    bounded_batches(df.sparkSession)
     shared, at = df.sparkSession.sparkContext.broadcast(model.dump()), df.columns.index(text_col)
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
