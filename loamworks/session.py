@@ -6,7 +6,8 @@ from pyspark.sql import SparkSession
 
 
 def session(name: str = "loamworks", master: str | None = None, **conf: str) -> SparkSession:
-    """UTC, adaptive execution (skewed joins split, partitions coalesced), and the last of repeated map keys kept."""
+    """UTC, adaptive execution (skewed joins split, partitions coalesced), the last of repeated map keys
+    kept, and Arrow batches of whole texts that stay small."""
     builder = SparkSession.builder.appName(name)
     if master:
         builder = builder.master(master)
@@ -15,6 +16,7 @@ def session(name: str = "loamworks", master: str | None = None, **conf: str) ->
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     }
     for k, v in {**settings, **conf}.items():
         builder = builder.config(k, v)
