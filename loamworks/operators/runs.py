@@ -114,6 +114,32 @@ def stage_updates(events: DataFrame, run: str, stage: str, order: list[str]) ->
     return events.groupBy(run, stage).agg(F.max_by("status", newest).alias("status"), F.max_by("n", F.when(F.col("n").isNotNull(), newest)).alias("n"), F.max_by("validation_failed", newest).alias("validation_failed"))
 
 
+#: Which status may follow which; a stage begins as pending.
+FOLLOWS = {"pending": ("running", "skipped"), "running": ("done", "failed"), "failed": ("running",), "done": (), "skipped": ()}
+
+
+def stage_history(updates: DataFrame, run: str, stage: str, seq: str, status: str = "status") -> DataFrame:
+    """run, stage, status, accepted, rejected (seq, status, reason): each stage's updates in order, through FOLLOWS.
+
+    An update that repeats the present status, that may not follow it, or that has an unknown or no status changes nothing and is
+    listed. A stage's updates are one row of an array, folded in the JVM.
+    """
+    listed = updates.groupBy(run, stage).agg(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("seq"), F.col(status).alias("status")))).alias("u"))
+    follows = F.create_map(*(x for k, v in FOLLOWS.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))))
+    kind = listed.schema["u"].dataType.elementType["seq"].dataType.simpleString()
+    start = F.struct(F.lit("pending").alias("status"), F.lit(0).cast("long").alias("accepted"), F.array().cast(f"array<struct<seq: {kind}, status: string, reason: string>>").alias("rejected"))
+
+    def step(s: Column, u: Column) -> Column:
+        legal = F.coalesce(F.array_contains(follows[s["status"]], u["status"]), F.lit(False))
+        reason = F.when(~F.coalesce(u["status"].isin(*FOLLOWS), F.lit(False)), "unknown status").when(u["status"] == s["status"], "repeated").otherwise(F.concat(F.lit("after "), s["status"]))
+        return F.struct(
+            F.when(legal, u["status"]).otherwise(s["status"]).alias("status"), (s["accepted"] + F.when(legal, 1).otherwise(0)).cast("long").alias("accepted"),
+            F.when(legal, s["rejected"]).otherwise(F.concat(s["rejected"], F.array(F.struct(u["seq"].alias("seq"), u["status"].alias("status"), reason.alias("reason"))))).alias("rejected"),
+        )
+
+    return listed.select(run, stage, F.aggregate("u", start, step).alias("s")).select(run, stage, "s.*")
+
+
 def findings_order(df: DataFrame, confidence: str, order: list[str], by: list[str]) -> DataFrame:
     """df with rank in each group: high confidence first, then medium, then low, then as given."""
     at = F.when(F.col(confidence) == "high", 0).when(F.col(confidence) == "medium", 1).otherwise(2)
