@@ -136,6 +136,18 @@ def marked_blocks(df: DataFrame, key: str, text: str, names: Sequence[str]) -> D
     return blocks.select(key, F.col("block_no").cast("long").alias("block_no"), T.strip(F.regexp_extract("b", "^### (.*)", 1)).alias("heading"), *(value(n).alias(column_name(n)) for n in names), quote.alias("quote"))
 
 
+def inbox_blocks(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, block_no, at (a time), body: the entries of inbox files, each under a heading `## YYYY-MM-DD HH:MM`.
+
+    What stands before the first such heading, or under one whose time doesn't exist, is no entry; other headings belong to
+    the entry they are in.
+    """
+    blocks = df.select(key, F.posexplode(F.split(text, r"(?m)^(?=## \d{4}-\d{2}-\d{2} \d{2}:\d{2}\s*$)")).alias("block_no", "b"))
+    head = F.regexp_extract("b", r"^## (\d{4}-\d{2}-\d{2} \d{2}:\d{2})", 1)
+    rows = blocks.select(key, F.col("block_no").cast("long").alias("block_no"), F.try_to_timestamp(head, F.lit("yyyy-MM-dd HH:mm")).alias("at"), T.strip(F.regexp_replace("b", r"^##[^\n]*", "")).alias("body"))
+    return rows.where("at IS NOT NULL")
+
+
 def column_name(name: str) -> str:
     return name.lower().replace(" ", "_")
 

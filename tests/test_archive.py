@@ -3,6 +3,7 @@
 import json
 
 from loamworks.operators import archive, runs
+from loamworks.sources import readers
 
 
 def test_archive_of_batches(spark, tmp_path):
@@ -34,6 +35,12 @@ def test_index_has_one_line_a_batch(spark):
     assert {(r.batch, r.line) for r in archive.indexed(again, rows(("a", "2026-01-02", "second"))).collect()} == {("a", "second"), ("b", "other"), ("c", "x")}
 
 
+def test_inbox_blocks(spark):
+    text = "# Inbox\nlead\n## 2026-01-02 03:04\none\n### more\ntwo\n\n## Other\nthree\n## 2026-13-02 03:04\nnever\n## 2026-01-03 00:00  \n\n## 2026-01-03 00:00 late\nx"
+    rows = readers.inbox_blocks(spark.createDataFrame([("a", text), ("b", ""), ("c", None)], "k string, t string"), "k", "t").collect()
+    assert [(r.k, str(r["at"]), r.body) for r in rows] == [("a", "2026-01-02 03:04:00", "one\n### more\ntwo\n\n## Other\nthree"), ("a", "2026-01-03 00:00:00", "## 2026-01-03 00:00 late\nx")]
+
+
 def test_states_of_a_stage(spark):
     rows = [(1, "s", 1, "running"), (1, "s", 2, "running"), (1, "s", 3, "failed"), (1, "s", 4, "done"), (1, "s", 5, "running"), (1, "s", 6, "done"), (1, "s", 7, "failed"), (1, "t", 1, "done"), (1, "t", 2, "skipped"), (2, "s", 1, None), (2, "s", 2, "odd")]
     got = {(r.run, r.stage): r for r in runs.stage_history(spark.createDataFrame(rows, "run int, stage string, seq int, status string").repartition(5), "run", "stage", "seq").collect()}
