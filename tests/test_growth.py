@@ -10,3 +10,15 @@ def test_boost_totals_are_those_of_the_pairs(spark):
     asked = spark.createDataFrame([(i, "a red ring and a ring" if i % 3 else "one ring") for i in range(30)] + [(99, None), (98, "none")], "q int, t string")
     want = {(r.q, r.n, r.s) for r in retrieval.boosts(asked, "q", "t", pages, "key", "title").groupBy("q").agg(F.count("*").alias("n"), F.sum("boost").alias("s")).collect()}
     assert {(r.q, r.pages, r.boost) for r in retrieval.boost_totals(asked, "q", "t", pages, "key", "title").collect()} == want and len(want) == 30
+
+
+def test_queries_that_no_page_tells_apart_are_scored_once(spark, monkeypatch):
+    pages = spark.createDataFrame([("v", f"wiki/p{i}.md", "red ring" if i % 2 else "blue bolt", ["small"], "on metal", f"about {i}") for i in range(9)], "vault string, page string, title string, headings array<string>, purpose string, overview string")
+    texts = ["red ring metal", "ring red metal", "red ring metal metal", "red ring metal, says a friend", "nothing", None]
+    asked = spark.createDataFrame([(i, t if t is None else f"{t} unknown{i}") for i, t in enumerate(texts * 4)], "q int, t string")
+    scored, bm25 = [], retrieval.bm25
+    monkeypatch.setattr(retrieval, "bm25", lambda queries, *a: scored.append(queries.count()) or bm25(queries, *a))
+    got = sorted(map(tuple, retrieval.search_pages(asked, "q", "t", pages, 3).select("q", "vault", "page", "score", "rank").collect()))
+    assert scored == [5]
+    alone = [tuple(r) for q in range(6) for r in retrieval.search_pages(asked.where(F.col("q") == q), "q", "t", pages, 3).select("q", "vault", "page", "score", "rank").collect()]
+    assert got == sorted((q + 6 * n, *rest) for q, *rest in alone for n in range(4))
