@@ -40,13 +40,17 @@ def length_histogram(df: DataFrame, by: list[str], text: str = "text") -> DataFr
     return counts.unpivot(by, [name(*b) for b in BINS], "bin", "n")
 
 
+def kept_grams(df: DataFrame, n: int, by: list[str], stop: tuple[str, ...], text: str = "text") -> DataFrame:
+    """by, gram: the n-grams of texts, but for those of stop words only; single words have two letters or more."""
+    grams = df.select(*by, F.explode(T.ngrams(T.tokens(F.col(text)), n)).alias("gram"))
+    words = F.split("gram", " ")
+    return grams.where((~F.col("gram").isin(*stop) & (F.length("gram") > 1)) if n == 1 else F.exists(words, lambda w: ~w.isin(*stop)))
+
+
 def top_grams(df: DataFrame, n: int, k: int, by: list[str], stop: tuple[str, ...], text: str = "text") -> DataFrame:
     """The k most frequent n-grams of each group (ties by the gram), but for those of stop words only; single words have
     two letters or more. N-grams don't cross texts."""
-    grams = df.select(*by, F.explode(T.ngrams(T.tokens(F.col(text)), n)).alias("gram"))
-    words = F.split("gram", " ")
-    keep = (~F.col("gram").isin(*stop) & (F.length("gram") > 1)) if n == 1 else F.exists(words, lambda w: ~w.isin(*stop))
-    counts = grams.where(keep).groupBy(*by, "gram").agg(F.count("*").alias("n"))
+    counts = kept_grams(df, n, by, stop, text).groupBy(*by, "gram").agg(F.count("*").alias("n"))
     return ranked(counts, by, k)
 
 

@@ -24,12 +24,15 @@ def classed(df: DataFrame, kind: str, written: tuple[str, ...], spoken: str) ->
 
 def class_stats(df: DataFrame, by: list[str], fillers: tuple[str, ...], text: str = "text") -> DataFrame:
     """by, of (writing, speech, other, overall) and their sentence lengths and rates. df: classed()."""
-    each = df.withColumn("of", F.explode(F.array("class", F.lit("overall"))))
-    at = lambda p: F.percentile("n", F.lit(p))
-    lengths = each.select(*by, "of", F.explode(T.sentence_lengths(F.col(text))).alias("n")).groupBy(*by, "of").agg(F.count("*").alias("n_sentences"), at(0.1).alias("p10"), at(0.9).alias("p90"), F.avg("n").alias("mean"))
     filler = sum((T.phrase_count(F.col(text), p) for p in fillers), F.lit(0))
-    body = each.select(*by, "of", T.word_count(F.col(text)).alias("w"), filler.alias("f"), T.contractions(F.col(text)).alias("c"), T.occurrences(F.col(text), "—").alias("d"))
-    body = body.groupBy(*by, "of").agg(F.sum("w").alias("n_words"), F.sum("f").alias("f"), F.sum("c").alias("c"), (F.max("d") > 0).alias("em_dash_present"))
+    told = df.select(*by, "class", T.sentence_lengths(F.col(text)).alias("lengths"), T.word_count(F.col(text)).alias("w"), filler.alias("f"), T.contractions(F.col(text)).alias("c"), T.occurrences(F.col(text), "—").alias("d"))
+    sums = told.groupBy(*by, "class").agg(*(F.sum(c).alias(c) for c in "wfc"), F.max("d").alias("d"))
+    # How often each length occurs, by class; texts are read for a class and not once more for all of them.
+    counts = told.select(*by, "class", F.explode("lengths").alias("n")).groupBy(*by, "class", "n").agg(F.count("*").alias("times"))
+    both = F.explode(F.array("class", F.lit("overall"))).alias("of")
+    at = lambda p: F.percentile("n", F.lit(p), F.col("times")).alias(f"p{round(100 * p)}")
+    lengths = counts.select(*by, both, "n", "times").groupBy(*by, "of").agg(F.sum("times").alias("n_sentences"), at(0.1), at(0.9), (F.sum(F.col("n") * F.col("times")) / F.sum("times")).alias("mean"))
+    body = sums.select(*by, both, *"wfcd").groupBy(*by, "of").agg(F.sum("w").alias("n_words"), F.sum("f").alias("f"), F.sum("c").alias("c"), (F.max("d") > 0).alias("em_dash_present"))
     rates = body.select(*by, "of", "n_words", T.rate(F.col("f"), F.col("n_words")).alias("filler_per_1k"), T.rate(F.col("c"), F.col("n_words")).alias("contraction_per_1k"), "em_dash_present")
     return rates.join(lengths, [*by, "of"], "left")
 
@@ -55,12 +58,15 @@ def written_targets(stats: DataFrame, by: list[str], least_words: int = 50) -> D
 
 def anchors(df: DataFrame, targets: DataFrame, by: list[str], of: str, name: str, k: int, stop: tuple[str, ...], openers: bool = False, text: str = "text") -> DataFrame:
     """by and the k most frequent words (or sentence openers) of the texts that a target's column `of` names."""
-    rows = df.join(targets.select(*by, of), by).where((F.col(of) == "overall") | (F.col(of) == F.col("class")))
+    # Counted by class first, so that texts never move by their group: only the first k of each class meet the targets.
     if openers:
-        counts = profile.sentence_lengths(rows, by, text).where("opener <> ''").select(*by, F.col("opener").alias("gram")).groupBy(*by, "gram").agg(F.count("*").alias("n"))
-        top = profile.ranked(counts, by, k)
+        grams = profile.sentence_lengths(df, [*by, "class"], text).where("opener <> ''").withColumnRenamed("opener", "gram")
     else:
-        top = profile.top_grams(rows, 1, k, by, stop, text)
+        grams = profile.kept_grams(df, 1, [*by, "class"], stop, text)
+    counts = grams.groupBy(*by, "class", "gram").agg(F.count("*").alias("n"))
+    overall = counts.groupBy(*by, "gram").agg(F.sum("n").alias("n")).select(*by, F.lit("overall").alias(of), "gram", "n")
+    every = counts.where(F.col("class") != "overall").select(*by, F.col("class").alias(of), "gram", "n").unionAll(overall)
+    top = profile.ranked(every, [*by, of], k).join(targets.select(*by, of), [*by, of])
     return top.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "gram"))), lambda x: x["gram"]).alias(name))
 
 

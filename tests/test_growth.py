@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from loamworks.operators import retrieval
+from loamworks.operators import retrieval, voice
 from loamworks.operators.pages import fold_edits
 
 
@@ -37,3 +37,14 @@ def test_very_many_appends_to_one_page_take_time_in_proportion():
     # A blank line and a heading move the place; another section, an edit and a fault end a run.
     mixed = [edit(0, "append", "x"), edit(1, "append", "\t"), edit(2, "append", "y"), edit(3, "append", "# z"), edit(4, "append", "u"), edit(5, "append", "v", section="New"), edit(6, "append", "w", section="New"), edit(7, "remove", "y"), edit(8, "append", "q"), edit(9, "append", "q"), edit(10, "append", "r")]
     assert fold_edits(["## In"], mixed) == (["## In", "x", "u", "q", "# z", "\t", "", "## New", "v", "w"], "line is there already", 9)
+
+
+def test_profiles_join_no_texts(spark, monkeypatch):
+    """Only counts meet the targets of a group: texts joined by it would all of a language come to one task."""
+    rows = [(i, "en" if i % 5 else "de", f"s{i % 4}", f"The long word{i % 7} is here. Is it? " * 6) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, lang string, source string, text string")
+    joined, join = [], type(df).join
+    monkeypatch.setattr(type(df), "join", lambda self, other, *a: joined.append({*self.columns, *other.columns}) or join(self, other, *a))
+    profile = voice.build_profile(df, ["lang"], "source", ("s0",), "s2", ("the",), ("the", "is"))
+    assert joined and not any("text" in columns for columns in joined)
+    assert sorted((r.lang, r.derived_from, r.vocab_anchors[0]) for r in profile.collect()) == [("de", "writing", "here"), ("en", "writing", "here")]
