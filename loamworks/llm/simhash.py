@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_slices, keyed_text, spread_join, stored
+from .common import bounded_batches, by_slices, keyed_text, spread_join, stored
 from .components import connected_components
 
 BITS = 64
@@ -65,6 +65,7 @@ def simhash(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
         packed = np.packbits(bits, axis=1, bitorder="little").view("<i8").ravel()
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.int64())], ["doc_id", "fingerprint"])
 
+    bounded_batches(df.sparkSession)
     read = keyed_text(df, id_col, text_col)
     return read.mapInArrow(by_slices(each), f"doc_id {read.schema['doc_id'].dataType.simpleString()}, fingerprint long")
 

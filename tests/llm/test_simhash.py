@@ -2,7 +2,7 @@ import random
 
 import xxhash
 
-from loamworks.llm.common import spread_join
+from loamworks.llm.common import BATCH_SETTING, spread_join
 from loamworks.llm.components import connected_components
 from loamworks.llm.queries import op2_simhash
 from loamworks.llm.simhash import near_components, near_links, signed, simhash
@@ -107,3 +107,13 @@ def test_hot_keys_are_dealt(spark):
 def test_crowd_of_one_fingerprint(spark):
     prints = [(k, 77) for k in range(1000, 3000)] + [(5, 76), (6, 1 << 40)]
     assert linked(spark, prints) == wanted(prints)
+
+
+def test_batches_of_texts_are_bounded(docs):
+    df = docs([(1, "a b c"), (2, None)])
+    held = df.sparkSession.conf.get(BATCH_SETTING, None)
+    df.sparkSession.conf.unset(BATCH_SETTING)
+    try:
+        assert simhash(df).count() == 2 and int(df.sparkSession.conf.get(BATCH_SETTING)) <= 1000
+    finally:
+        df.sparkSession.conf.set(BATCH_SETTING, held) if held else df.sparkSession.conf.unset(BATCH_SETTING)
