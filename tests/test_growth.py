@@ -1,10 +1,11 @@
 """Queries whose work must not grow faster than their tables."""
 
+import random
 import time
 
 from pyspark.sql import functions as F
 
-from loamworks.operators import retrieval, voice
+from loamworks.operators import grid, retrieval, similarity, voice
 from loamworks.operators.pages import fold_edits
 from loamworks.plans import edits
 
@@ -55,3 +56,25 @@ def test_lines_are_counted_without_a_lambda(spark):
     """A lambda over the lines of a text would split it again for each line."""
     df = spark.createDataFrame([("a\nb\na", "a"), ("a\nb", "c"), ("", ""), ("a", None)], "t string, x string").select(edits.times(F.split("t", "\n"), F.col("x")).alias("n"))
     assert [r.n for r in df.collect()] == [2, 0, 1, None] and "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_met_by_blocks_are_those_of_all_rows(spark, monkeypatch):
+    """Many small blocks, copies too: all pairs, each once, and no row for a pair and a term."""
+    monkeypatch.setattr(grid, "MOST_ROWS", 40)
+    monkeypatch.setattr(grid, "SCORES", 100)
+    monkeypatch.setattr(grid, "LOOKED_UP", 50)
+    rng = random.Random(5)
+    rows = [(i, [f"w{int(rng.expovariate(0.1))}" for _ in range(rng.randrange(0, 9))]) for i in range(120)]
+    rows += [(200 + i, rng.choice(rows)[1][::-1]) for i in range(40)] + [(300, None), (301, [])]
+    df = spark.createDataFrame(rows, "k int, tokens array<string>")
+    vectors = {}
+    for w in similarity.tfidf(df, "k", "tokens").collect():
+        vectors.setdefault(w.k, {})[w.term] = w.weight
+    product = lambda a, b: sum(x * vectors[b].get(t, 0) for t, x in vectors[a].items())
+    want = {(a, b): (round(product(a, b), 9), len(vectors[a].keys() & vectors[b].keys())) for a in vectors for b in vectors if a < b and product(a, b) >= 0.6}
+    pairs = similarity.row_pairs(df, "k", "tokens", 0.6)
+    assert "[term" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    got = [(r.a, r.b, round(r.similarity, 9), r.shared) for r in pairs.collect()]
+    assert sorted(got) == sorted((*k, *v) for k, v in want.items()) and len(want) > 100
+    plain = similarity.clusters(spark.createDataFrame(list(want), "a int, b int"), df, "k")
+    assert sorted(map(tuple, similarity.row_clusters(df, "k", "tokens", 0.6).collect())) == sorted(map(tuple, plain.collect()))
