@@ -78,3 +78,23 @@ def test_pairs_met_by_blocks_are_those_of_all_rows(spark, monkeypatch):
     assert sorted(got) == sorted((*k, *v) for k, v in want.items()) and len(want) > 100
     plain = similarity.clusters(spark.createDataFrame(list(want), "a int, b int"), df, "k")
     assert sorted(map(tuple, similarity.row_clusters(df, "k", "tokens", 0.6).collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_best_lines_by_blocks(spark, monkeypatch):
+    """A section of many blocks, ties too: the lines are those of a plain count; a task's products give no rows."""
+    monkeypatch.setattr(grid, "MOST_LINES", 50)
+    monkeypatch.setattr(grid, "LEAST_LINES", 1)
+    monkeypatch.setattr(grid, "MOST_FACTS", 7)
+    monkeypatch.setattr(grid, "SCORES", 300)
+    rng = random.Random(6)
+    text = lambda n: " ".join(f"word{int(rng.expovariate(0.05))}" for _ in range(rng.randrange(n)))
+    lines = [(rng.choice("abbbbb"), i, text(12)) for i in range(700)] + [("b", 1000 + i, "word1 word2") for i in range(60)] + [(None, 2000, "word1"), ("b", 2001, None)]
+    facts = [(rng.choice("abbbc"), i, text(40)) for i in range(40)] + [(None, 90, "word1"), ("b", 91, None)]
+    frame = lambda rows, key: spark.createDataFrame(rows, f"section string, {key} int, t string")
+    want = []
+    for s, f, t in facts:
+        shared = [(-len({*t.split()} & {*u.split()}), n) for r, n, u in lines if t and u and s and r == s]
+        want += [(f, n, -o, rank) for rank, (o, n) in enumerate(sorted(x for x in shared if x[0])[:5], 1)]
+    got = retrieval.lexical_matches(frame(lines, "line_no"), "section", "line_no", "t", frame(facts, "fact"), "fact", "t", 5)
+    assert "[section, term" not in got._jdf.queryExecution().optimizedPlan().toString() and "Join Inner" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.fact, r.line_no, r.overlap, r["rank"]) for r in got.collect()) == sorted(want) and len(want) > 100
