@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,10 +44,19 @@ def length_histogram(df: DataFrame, by: list[str], text: str = "text") -> DataFr
 
 
 def kept_grams(df: DataFrame, n: int, by: list[str], stop: tuple[str, ...], text: str = "text") -> DataFrame:
-    """by, gram: the n-grams of texts, but for those of stop words only; single words have two letters or more."""
-    grams = df.select(*by, F.explode(T.ngrams(T.tokens(F.col(text)), n)).alias("gram"))
-    words = F.split("gram", " ")
-    return grams.where((~F.col("gram").isin(*stop) & (F.length("gram") > 1)) if n == 1 else F.exists(words, lambda w: ~w.isin(*stop)))
+    """by, gram: the n-grams of texts, but for those of stop words only; single words have two letters or more.
+
+    The words are zipped with themselves moved by one, two ..., and made rows before they are looked at or joined, so nothing is
+    called for each run."""
+    if n == 1:
+        each = df.select(*by, F.explode(T.tokens(F.col(text))).alias("gram"))
+        return each.where(~F.col("gram").isin(*stop) & (F.length("gram") > 1))
+    names = [f"w{k}" for k in range(n)]
+    words = df.select(*by, T.tokens(F.col(text)).alias("words")).where(F.size("words") >= n)
+    runs = F.arrays_zip(*(F.slice("words", k + 1, F.size("words")).alias(w) for k, w in enumerate(names)))
+    each = words.select(*by, F.explode(runs).alias("z")).select(*by, *(F.col(f"z.{w}").alias(w) for w in names))
+    kept = each.where(F.col(names[-1]).isNotNull() & reduce(operator.or_, (~F.col(w).isin(*stop) for w in names)))
+    return kept.select(*by, F.concat_ws(" ", *names).alias("gram"))
 
 
 def top_grams(df: DataFrame, n: int, k: int, by: list[str], stop: tuple[str, ...], text: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from loamworks.operators import grid, retrieval, similarity, voice
+from loamworks.operators import grid, profile, retrieval, similarity, voice
 from loamworks.operators.pages import fold_edits
 from loamworks.plans import edits
 
@@ -98,3 +98,11 @@ def test_best_lines_by_blocks(spark, monkeypatch):
     got = retrieval.lexical_matches(frame(lines, "line_no"), "section", "line_no", "t", frame(facts, "fact"), "fact", "t", 5)
     assert "[section, term" not in got._jdf.queryExecution().optimizedPlan().toString() and "Join Inner" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.fact, r.line_no, r.overlap, r["rank"]) for r in got.collect()) == sorted(want) and len(want) > 100
+
+
+def test_grams_are_made_without_a_lambda(spark):
+    """A lambda for each run of words took most of the time; results are those of a plain count."""
+    df = spark.createDataFrame([("x", "The end of the end. A b"), ("x", "of the"), ("y", "one"), ("y", None), (None, "a b c")], "g string, text string")
+    grams = profile.kept_grams(df, 2, ["g"], ("of", "the"))
+    assert "lambda" not in grams._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.g or "", r.gram) for r in grams.collect()) == [("", "a b"), ("", "b c"), ("x", "a b"), ("x", "end a"), ("x", "end of"), ("x", "the end"), ("x", "the end")]
