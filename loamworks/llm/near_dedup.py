@@ -1,5 +1,8 @@
 """Near-dedup of texts at a similarity of word shingles: every two texts that are as similar meet, and are verified.
 
+Texts meet by SimHash first, as in operator 2: those whose fingerprints are linked are verified by the similarity of their
+shingles. SimHash alone misses texts at the threshold, so an exact join on first shingles finds the links that are left.
+
 Two sets of shingles whose Jaccard similarity is t or more have one of their first shingles in common, in any order that all
 texts use, if of n shingles the first n - ceil(t n) + 1 are taken. Each text is filed under these; the order puts shingles
 that a sample often has last, so few texts share a block. Lengths and places in the order rule out most other pairs. A block
@@ -28,7 +31,7 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches, by_slices, hot_keys, keyed_text, stored
 from .components import connected_components
-from .simhash import lower_words, shingle_hashes
+from .simhash import lower_words, near_links, shingle_hashes, simhash
 
 #: Texts of a block that are compared pair by pair.
 PAIRED = 16
@@ -211,22 +214,36 @@ def stray_pairs(crowded: DataFrame, centres: DataFrame, stars: DataFrame, nodes:
     """a, b: the strays of crowded blocks, each with the block's texts of other components that may be near it.
 
     stars: a, b, near, far (the least and the greatest distance it may have) of the texts that met a centre; nodes: node, component.
+    A pair comes from one block only, that of the first crowded shingle that both have: where a shingle before it is in both, its
+    block is small and the pair was compared there.
     """
+    keys = crowded.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "key"))).alias("k")).select("id", F.col("k.key").alias("keys"))
     component = lambda c: nodes.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
     away = stars.select(F.col("a").alias("id"), F.col("b").alias("centre"), "near", "far").union(stars.select("b", "a", "near", "far"))
-    placed = crowded.join(centres, "key").join(component("id"), "id", "left").join(component("centre"), "centre", "left").join(away, ["id", "centre"], "left")
+    placed = crowded.join(centres, "key").join(component("id"), "id", "left").join(component("centre"), "centre", "left").join(away, ["id", "centre"], "left").join(keys, "id")
     own, hub = F.coalesce("id_component", "id"), F.coalesce("centre_component", "centre")
     distance = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("near", "far")]
-    placed = stored(placed.select("key", "id", "size", "at", own.alias("component"), (own != hub).alias("stray"), *distance))
+    placed = stored(placed.select("key", "id", "size", "at", "keys", own.alias("component"), (own != hub).alias("stray"), *distance))
     strays = placed.where("stray").drop("stray")
-    others = placed.select("key", *(F.col(c).alias(f"b_{c}") for c in ("id", "size", "at", "component", "stray", "near", "far")))
+    others = placed.select("key", *(F.col(c).alias(f"b_{c}") for c in ("id", "size", "at", "keys", "component", "stray", "near", "far")))
     apart = (F.col("component") != F.col("b_component")) & (~F.col("b_stray") | (F.col("id") < F.col("b_id")))
     reach = 1 - similarity + 1e-9
     near = (F.col("near") - F.col("b_far") <= reach) & (F.col("b_near") - F.col("far") <= reach)
-    found = strays.join(others, "key").where(apart & near & may_be_near(similarity))
+    first = F.element_at(F.array_intersect("keys", "b_keys"), 1) == F.col("key")
+    found = strays.join(others, "key").where(apart & near & may_be_near(similarity) & first)
     return found.select(F.least("id", "b_id").alias("a"), F.greatest("id", "b_id").alias("b")).distinct()
 
 
+def print_pairs(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """a, b: the texts of these ids (doc_id) that SimHash links: those of one fingerprint, and the first ones of near fingerprints."""
+    prints = stored(simhash(texts).join(ids, "doc_id", "left_semi"))
+    first = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    named = lambda c: first.select(F.col("fingerprint").alias(c), F.col("least").alias(f"{c}_doc"))
+    links = near_links(first.select("fingerprint")).join(named("a"), "a").join(named("b"), "b").select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b"))
+    alike = prints.join(first.where("n > 1"), "fingerprint").where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
+    return links.union(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def with_same(df: DataFrame, text_col: str) -> DataFrame:
     """df with the column __same: same_words() of its texts, null for those without a word."""
     at = df.columns.index(text_col)
@@ -261,6 +278,7 @@ def linked(texts: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame
     ones = surely_not(signed, F.col("doc_id"), others).union(perhaps(signed, F.col("doc_id"), others).join(others, "doc_id", "left_anti").select(signed.columns))
     maps = ones.select("doc_id", F.col("map").alias("value"))
     rows = ones.select(F.posexplode("keys").alias("at", "key"), F.col("doc_id").alias("id"), "size").select("key", "id", "size", "at")
+    printed = stored(compared(print_pairs(texts, ones.select("doc_id")), texts, maps, shingle, similarity)[0].where(F.col("alike") >= similarity).select("a", "b"))
     # Most shingles are one text's alone; they move once, sorted by range, and go no further.
     rows = stored(rows.repartitionByRange("key", "id").sortWithinPartitions("key", "id").mapInArrow(with_equal_key, rows.schema))
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -275,7 +293,7 @@ def linked(texts: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame
     met, far = compared(stars, texts, maps, shingle, similarity)
     met, near = stored(met), F.col("alike") >= similarity
     starred = met.select("a", "b", (1 - F.col("alike")).alias("near"), (1 - F.col("alike")).alias("far")).union(far.select("a", "b", 1 - F.col("most"), F.lit(1.0)))
-    found = twins.union(compared(pairs, texts, maps, shingle, similarity)[0].where(near).select("a", "b")).union(met.where(near).select("a", "b"))
+    found = twins.union(printed).union(compared(pairs, texts, maps, shingle, similarity)[0].where(near).select("a", "b")).union(met.where(near).select("a", "b"))
     nodes = stored(connected_components(found))
     late = stored(compared(stray_pairs(crowded, centres, starred, nodes, similarity), texts, maps, shingle, similarity)[0].where(near).select("a", "b"))
     if late.limit(1).count():

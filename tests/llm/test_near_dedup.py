@@ -146,3 +146,26 @@ def test_maps_bound_the_similarity():
             assert bound < 0.8
     few = np.arange(5, dtype=np.uint64) << np.uint64(20)
     assert most_alike(shingle_map(few), shingle_map(few)) == 1 and most_alike(shingle_map(few), shingle_map(few + np.uint64(7 << 20))) == 0
+
+
+def test_stray_pairs_come_from_one_block(spark):
+    """Two families in blocks of three shared shingles: each pair of strays and others once, not for each block."""
+    from loamworks.llm.near_dedup import stray_pairs
+
+    ids = list(range(40))
+    crowded = spark.createDataFrame([(k, i, 100, at) for i in ids for at, k in enumerate((11, 12, 13))], "key long, id long, size int, at int")
+    centres = spark.createDataFrame([(k, 0) for k in (11, 12, 13)], "key long, centre long")
+    stars = spark.createDataFrame([(0, i, 0.1 if i < 30 else 0.25, 0.1 if i < 30 else 0.25) for i in ids[1:]], "a long, b long, near double, far double")
+    nodes = spark.createDataFrame([(i, 0) for i in range(30)], "node long, component long")
+    found = stray_pairs(crowded, centres, stars, nodes, 0.8)
+    assert sorted(map(tuple, found.collect())) == sorted((i, j) for i in ids[1:] for j in range(30, 40) if i < j)  # too far from the centre to be near it
+    assert "array_intersect" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_linked_fingerprints_meet(spark, docs):
+    from loamworks.llm.near_dedup import print_pairs
+
+    words = [f"w{i}" for i in range(400)]
+    df = docs([(1, " ".join(words)), (2, " ".join(words).upper()), (3, " ".join([*words, "more"])), (4, "other words here"), (5, "")]).select("doc_id", "text")
+    got = {tuple(r) for r in print_pairs(df, df.where("doc_id < 5").select("doc_id")).collect()}
+    assert (1, 2) in got and not any(4 in p or 5 in p for p in got)
