@@ -38,6 +38,31 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a int, b int")).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [1, 7, 1 << 20])
+def test_components_of_many_chunks(spark, monkeypatch, chunk):
+    """Stars of few edges, more turns than one; paths, hubs, loops, nulls, names and pairs as nodes."""
+    monkeypatch.setattr(graph, "CHUNK", chunk)
+    rng = random.Random(3)
+    edges = [(rng.randrange(90), rng.randrange(90)) for _ in range(40)] + [(i + 1, i) for i in range(100, 160)] + [(300, i) for i in range(301, 340)] + [(400, 400)]
+    label = {x: x for e in edges for x in e}
+    for _ in range(len(label)):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    df = spark.createDataFrame([*edges, (None, 5), (500, None)], "a int, b int").repartition(3)
+    assert dict(graph.components(df).collect()) == label
+    if chunk > 1:
+        names = df.select(*(F.format_string("n%04d", c).alias(c) for c in df.columns)).where("a <> 'nnull' AND b <> 'nnull'")
+        assert dict(graph.components(names).collect()) == {f"n{x:04d}": f"n{y:04d}" for x, y in label.items()}
+        pairs = df.where("a IS NOT NULL AND b IS NOT NULL").select(F.struct(F.col("a").alias("x")).alias("a"), F.struct(F.col("b").alias("x")).alias("b"))
+        assert {r.node.x: r.component.x for r in graph.components(pairs).collect()} == label
+
+
+def test_components_move_few_rows(spark):
+    """Of repeated edges and of those within a task's star nothing moves but a row for each node."""
+    df = spark.range(200_000).select((F.col("id") % 500).alias("a"), (F.col("id") % 499).alias("b"))
+    assert graph._stars(df.coalesce(2), 0).count() <= 2 * 500
+
+
 def test_cosine_pairs_are_exact(spark):
     rng = random.Random(2)
     rows = [(i, [f"w{int(rng.expovariate(0.1))}" for _ in range(rng.randrange(1, 12))]) for i in range(150)]
