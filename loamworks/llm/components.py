@@ -1,46 +1,17 @@
-"""Connected components of a graph whose edges lie in a DataFrame: alternating large and small stars.
-
-A component's root, and a node with many edges, is the key of many rows; these are dealt over tasks by spread_join().
-"""
+"""Connected components of a graph whose edges lie in a DataFrame, as in operators/graph.py."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import dropped, spread_join, stored
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return spread_join(both, least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = spread_join(down, least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+from ..operators.graph import components
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) for every node of an edge.
 
-    edges: two columns of one orderable type; direction, repeats, loops and nulls don't matter (an edge with a null is
-    none). No edges: an empty table. Only a count and a checksum of the edges come to the driver.
+    edges: two columns of one orderable type; direction, repeats, loops and nulls don't matter (an edge with a null, or a
+    loop, is none). No edges: an empty table. Only counts come to the driver: a few jobs, where few edges are linked by one task.
     """
-    a, b = edges.columns
-    now = stored(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
-    sign = None
-    while True:
-        step = stored(_large_star(now))
-        after = stored(_small_star(step))
-        row = after.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-        dropped(now.sparkSession, now)
-        dropped(now.sparkSession, step)
-        if (row.n, row.x) == sign:
-            break
-        sign, now = (row.n, row.x), after
-    roots = after.select(F.col("b").alias("node"), F.col("b").alias("component"))
-    return after.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots).distinct()
+    a, b = (f"`{c}`" for c in edges.columns)
+    return components(edges.where(f"{a} <> {b}"))

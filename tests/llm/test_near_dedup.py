@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from loamworks.llm.components import connected_components
 from loamworks.llm.common import stored
 from loamworks.llm.near_dedup import drop_near_copies, jaccard, most_alike, near_groups, shingle_map, with_values
 
@@ -169,3 +170,12 @@ def test_linked_fingerprints_meet(spark, docs):
     df = docs([(1, " ".join(words)), (2, " ".join(words).upper()), (3, " ".join([*words, "more"])), (4, "other words here"), (5, "")]).select("doc_id", "text")
     got = {tuple(r) for r in print_pairs(df, df.where("doc_id < 5").select("doc_id")).collect()}
     assert (1, 2) in got and not any(4 in p or 5 in p for p in got)
+
+
+def test_links_take_few_jobs(spark, monkeypatch):
+    """Each job leaves plans and code in the driver: few edges are linked in a few jobs, however long their paths are."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(500, None), (7, 7), (600, 600)], "a int, b int").coalesce(2)
+    written, write = [], type(edges.write).parquet
+    monkeypatch.setattr(type(edges.write), "parquet", lambda self, *a, **k: written.append(a) or write(self, *a, **k))
+    assert connected_components(edges).where("component = 0").count() == 301 and len(written) <= 3
+    assert connected_components(edges.where("a > 500")).count() == 0
