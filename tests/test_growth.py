@@ -114,3 +114,21 @@ def test_rules_are_looked_at_once(spark, monkeypatch):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RLIKE") <= len([p for _, _, ps in corpus.RULES.phrase_rules for p in ps])
     assert df.where("component IS NULL").count() == 0
+
+
+def test_best_pages_without_rows_for_pairs(spark, monkeypatch):
+    """Tasks, groups of queries and small matrices, ties and repeated keys: the pages are those of bm25() over all pairs."""
+    monkeypatch.setattr(retrieval, "MOST_QUERIES", 7)
+    monkeypatch.setattr(retrieval, "PAGE_TERMS", 400)
+    monkeypatch.setattr(retrieval, "HELD", 60)
+    rng = random.Random(8)
+    text = lambda n: " ".join(f"W{int(rng.expovariate(0.1))}{rng.choice(['', '-x', ', I', 'é', '_'])}" for _ in range(rng.randrange(n)))
+    pages = [(i, text(30), rng.choice("ab") + "b") for i in range(150)] + [(1000 + i, "W1 w2 w3", "bb") for i in range(9)] + [(3, "w1 w9", "ab"), (2000, None, None), (None, "w1 w2", "ab")]
+    df = spark.createDataFrame(pages, "k int, t string, s string").repartition(5)
+    asked = spark.createDataFrame([(i, text(12)) for i in range(20)] + [(90, "w1 w2 W3"), (91, None), (92, "none")], "q int, t string")
+    fields = {"t": 1, "s": 5}
+    pairs = retrieval.bm25(asked, "q", "t", retrieval.postings(df, "k", fields), "k").select("q", "k", F.round("bm25", 6).alias("score"))
+    want = retrieval.top_k(pairs, "q", [F.desc("score"), F.asc("k")], 4)
+    got = retrieval.search(asked, "q", "t", df, "k", fields, 4)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, got.select("q", "k", "score", "rank").collect())) == sorted(map(tuple, want.select("q", "k", "score", "rank").collect())) and want.count() > 60
