@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -21,10 +23,15 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-def sentence_parts(c: Column, abbreviations: Iterable[str] = ABBREVIATIONS) -> Column:
-    """Sentences as they stand, blank ones too; an abbreviation's full stop is DOT. Only full stops are looked behind."""
+def _marked(c: Column, abbreviations: Iterable[str]) -> Column:
+    """A text with END for the white space after a sentence and DOT for an abbreviation's full stop. Only full stops are looked behind."""
     kept = F.regexp_replace(c, rf"\.(?<=(?<!\p{{L}})(?i:{'|'.join(abbreviations)})\.)", DOT)
-    return F.split(F.regexp_replace(kept, r"([.!?])\s+", f"$1{END}"), END)
+    return F.regexp_replace(kept, r"([.!?])\s+", f"$1{END}")
+
+
+def sentence_parts(c: Column, abbreviations: Iterable[str] = ABBREVIATIONS) -> Column:
+    """Sentences as they stand, blank ones too; an abbreviation's full stop is DOT."""
+    return F.split(_marked(c, abbreviations), END)
 
 
 def sentences(c: Column, abbreviations: Iterable[str] = ABBREVIATIONS) -> Column:
@@ -33,8 +40,9 @@ def sentences(c: Column, abbreviations: Iterable[str] = ABBREVIATIONS) -> Column
 
 
 def sentence_lengths(c: Column, abbreviations: Iterable[str] = ABBREVIATIONS) -> Column:
-    """Words of each of the sentences()."""
-    return F.filter(F.transform(sentence_parts(c, abbreviations), word_count), lambda n: n > 0)
+    """Words of each of the sentences(). The whole text's words become one letter each first, so no sentence is split by itself."""
+    letters = F.regexp_replace(F.regexp_replace(_marked(c, abbreviations), rf"[^\s{END}]+", "w"), r"\s+", "")
+    return F.filter(F.transform(F.split(letters, END), lambda s: F.length(s).cast("long")), lambda n: n > 0)
 
 
 def tokens(c: Column) -> Column:
@@ -169,16 +177,24 @@ def redacted(c: Column, patterns: dict[str, str] = SECRETS, mark: str = "[redact
     return c
 
 
+def _replaced(c: Column, words: Iterable[str], pattern: str, new: str) -> Column:
+    """c with the pattern replaced, looked for only in texts that have one of its words at all (in lower case)."""
+    has = lambda x: reduce(or_, (F.contains(F.lower(x), F.lit(w.lower())) for w in words))
+    # A lambda names the text, so that steps on steps don't repeat each other.
+    return F.transform(F.array(c), lambda x: F.when(has(x), F.regexp_replace(x, pattern, new)).otherwise(x))[0]
+
+
 def rewritten(c: Column, swaps: dict[str, str], connectors: Iterable[str], fillers: Iterable[str]) -> Column:
     """A mechanical rewrite: em dashes to commas, plain words for grand ones (a first capital stays), connectors at a
-    sentence's start and spoken fillers out, longest first, then spaces and punctuation tidied."""
-    c = F.regexp_replace(c, r"\s*—\s*", ", ")
+    sentence's start and spoken fillers out, longest first, then spaces and punctuation tidied. The words are taken as they are."""
+    c = _replaced(c, "—", r"\s*—\s*", ", ")
     for old, new in swaps.items():
-        c = F.regexp_replace(c, rf"(?<![\p{{L}}]){old}(?![\p{{L}}])", new)
-        c = F.regexp_replace(c, rf"(?<![\p{{L}}]){old.capitalize()}(?![\p{{L}}])", new.capitalize())
-    c = F.regexp_replace(c, rf"(?i)(^|[.!?]\s+)(?:{'|'.join(connectors)}),?\s+", "$1")
+        c = _replaced(c, [old], rf"(?<![\p{{L}}]){old}(?![\p{{L}}])", new)
+        c = _replaced(c, [old], rf"(?<![\p{{L}}]){old.capitalize()}(?![\p{{L}}])", new.capitalize())
+    if connectors := list(connectors):
+        c = _replaced(c, connectors, rf"(?i)(^|[.!?]\s+)(?:{'|'.join(connectors)}),?\s+", "$1")
     for filler in sorted(fillers, key=len, reverse=True):
-        c = F.regexp_replace(c, rf"(?i),?\s*(?<![\p{{L}}]){filler}(?![\p{{L}}]),?", "")
+        c = _replaced(c, [filler], rf"(?i),?\s*(?<![\p{{L}}]){filler}(?![\p{{L}}]),?", "")
     return strip(F.regexp_replace(F.regexp_replace(c, r"[ \t]{2,}", " "), r"\s+([,.!?;])", "$1"))
 
 

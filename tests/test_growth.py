@@ -5,6 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from loamworks.functions import text as T
 from loamworks.operators import grid, profile, retrieval, similarity, voice
 from loamworks.operators.pages import fold_edits
 from loamworks.plans import corpus, edits
@@ -132,3 +133,20 @@ def test_best_pages_without_rows_for_pairs(spark, monkeypatch):
     got = retrieval.search(asked, "q", "t", df, "k", fields, 4)
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, got.select("q", "k", "score", "rank").collect())) == sorted(map(tuple, want.select("q", "k", "score", "rank").collect())) and want.count() > 60
+
+
+def test_sentences_are_not_split_one_by_one(spark):
+    """Words of all sentences are counted in the whole text: only the text is split, by its ends of sentences."""
+    texts = ["One two. Dr. A\tb!  C? d", "", None, " . ! ? ", "a\u00a0b c.\nd", "x. \x01y z"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(T.sentence_lengths(F.col("t")).alias("n"))
+    assert [r.n for r in df.collect()] == [[2, 3, 1, 1], [], None, [1, 1, 1], [2, 1], [1, 2]]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and "array_remove" not in plan
+
+
+def test_rewrites_look_only_in_texts_that_have_the_words(spark):
+    rows = ["Purchase it — so, of the TERMINATE.", "terminate  x ; Accordingly, y. accordingly z", "none", "", None, "OF THE end,of the,x"]
+    df = spark.createDataFrame([(t,) for t in rows], "t string")
+    out = df.select(T.rewritten(F.col("t"), {"purchase": "buy", "terminate": "end"}, ("accordingly",), ("of the",)).alias("t"))
+    assert [r.t for r in out.collect()] == ["Buy it, so TERMINATE.", "end x; Accordingly, y. z", "none", "", None, "endx"]
+    assert out._jdf.queryExecution().optimizedPlan().toString().lower().count("contains(") == 7
