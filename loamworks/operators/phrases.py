@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: More phrases than this are refused: the automaton of a task holds them all.
 MOST_PHRASES = 200_000
+#: Texts that are Python objects at once, with what is found in them.
+SLICE_ROWS = 256
 SPACES = re.compile(r"[ \t\n\x0b\f\r]+")
 
 
@@ -61,19 +63,21 @@ def phrase_matches(df: DataFrame, key: str, text: str, phrases: DataFrame, most:
     listed = [(r.lexicon, r.phrase) for r in phrases.where("phrase IS NOT NULL").select("lexicon", "phrase").distinct().orderBy("lexicon", "phrase").limit(most + 1).collect()]
     if len(listed) > most:
         raise ValueError(f"more than {most} phrases")
-    shared = df.sparkSession.sparkContext.broadcast(listed)
+    shared, size = df.sparkSession.sparkContext.broadcast(listed), SLICE_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists, found = shared.value, automaton([p for _, p in shared.value])
+        found = automaton([p for _, p in shared.value])
+        lists = [pa.array(x, pa.string()) for x in zip(*shared.value)] or [pa.array([], pa.string())] * 2
         for batch in batches:
-            of, which, n = [], [], []
-            for i, value in enumerate(batch.column(1)):
-                told = counts_in(value.as_py(), found)
-                of += [i] * len(told)
-                which += told
-                n += told.values()
-            names = [pa.array([lists[k][at] for k in which], pa.string()) for at in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), *names, pa.array(n, pa.int64())], ["k", "lexicon", "phrase", "n"])
+            for at in range(0, batch.num_rows, size):
+                part, of, which, n = batch.slice(at, size), [], [], []
+                for i, value in enumerate(part.column(1)):
+                    told = counts_in(value.as_py(), found)
+                    of += [i] * len(told)
+                    which += told
+                    n += told.values()
+                names = [x.take(pa.array(which, pa.int64())) for x in lists]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of, pa.int64())), *names, pa.array(n, pa.int64())], ["k", "lexicon", "phrase", "n"])
 
     read = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t IS NOT NULL")
     kind = read.schema["k"].dataType.simpleString()

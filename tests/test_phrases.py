@@ -52,3 +52,11 @@ def test_time_of_many_phrases():
         return best
 
     assert seconds(many) < 2 * seconds(many[:5]) + 0.05
+
+
+def test_found_phrases_go_out_by_slices(spark, monkeypatch):
+    """A task has what is found in a few texts at once, not in a whole batch; results are those of all rows."""
+    monkeypatch.setattr(phrases, "SLICE_ROWS", 3)
+    df = spark.range(100).select("id", F.lit("red ring and a red bolt").alias("t")).coalesce(1)
+    found = phrases.phrase_matches(df, "id", "t", table(spark, [("x", "red"), ("y", "a red bolt")]))
+    assert {tuple(r) for r in found.collect()} == {(i, *x) for i in range(100) for x in (("x", "red", 2), ("y", "a red bolt", 1))}
