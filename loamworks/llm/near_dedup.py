@@ -8,9 +8,10 @@ texts use, if of n shingles the first n - ceil(t n) + 1 are taken. Each text is
 that a sample often has last, so few texts share a block. Lengths and places in the order rule out most other pairs. A block
 with few texts is compared pair by pair. In a crowded one each text is compared with the block's centre first (the text that
 has the most texts in its blocks, as an original has among its copies). Texts that are then in the centre's component need no
-link among each other; the others of the block, the strays, are compared with all of its texts that aren't in their component
-and that the triangle inequality of Jaccard distances (through the centre) leaves. So components are exact; the cost of a
-crowded block is its size times its strays.
+link among each other; the others, the strays, are compared with all texts of the centre's blocks (its crowd). A crowd meets by
+parts, in which a task has the shingles of two parts and multiplies them as sparse vectors: it finds every link exactly, makes no
+row for a pair, and gives back one row at most for each text, the components that its links join. So components are exact; the
+rows of a crowd grow with its texts, the products in tasks with its texts times its strays.
 
 Little moves before a pair is known to be worth it. Shingles are sorted once, by range, and only those that two texts have go
 on. A pair first meets with two bitmaps of the texts' shingles: of those that set a bit which the other text's map lacks, none
@@ -29,7 +30,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, by_slices, hot_keys, keyed_text, stored
+from ..operators.graph import least_reachable
+from ..operators.grid import Vectors, scores
+from .common import bounded_batches, by_slices, hot_keys, keyed_text, spread_join, stored
 from .components import connected_components
 from .simhash import lower_words, near_links, shingle_hashes, simhash
 
@@ -41,6 +44,8 @@ SAMPLE_STEP, SAMPLE_ROWS, OFTEN = 16, 16_384, 4
 COUNTED = 1 << 16
 #: Hash buckets of ids; a table of those that some ids fall into has no more rows than these, so it may always be broadcast.
 BUCKETS = 1 << 20
+#: Texts of a crowd's part: at most (about), and at least where there are tasks for more parts; and its shingles at most (about).
+MOST_TEXTS, LEAST_TEXTS, MOST_SHINGLES = 4096, 512, 1 << 20
 
 
 def often(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -234,6 +239,62 @@ def stray_pairs(crowded: DataFrame, centres: DataFrame, stars: DataFrame, nodes:
     return found.select(F.least("id", "b_id").alias("a"), F.greatest("id", "b_id").alias("b")).distinct()
 
 
+def shingled(texts: DataFrame, shingle: int) -> DataFrame:
+    """id, shingles (distinct, in order) of each text."""
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [np.unique(shingle_hashes(lower_words(t), shingle)).view(np.int64) for t in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "shingles"])
+
+    return texts.select("doc_id", "text").mapInArrow(by_slices(each), f"id {texts.schema['doc_id'].dataType.simpleString()}, shingles array<long>")
+
+
+def stray_links(crowd: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """a, b: components that are joined by links between strays and other texts of a centre's crowd, as stars of each task.
+
+    crowd: centre, id, size, a stored table of the texts that share a crowded block with this centre, itself included; nodes:
+    node, component. Strays are dealt over some parts, all texts of the crowd over others; every two parts meet in one task.
+    """
+    component = lambda c: nodes.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
+    hubs = crowd.select("centre").distinct().join(component("centre"), "centre", "left").select("centre", F.coalesce("centre_component", "centre").alias("hub"))
+    own = F.coalesce("id_component", "id")
+    placed = spread_join(crowd, hubs, "centre").join(component("id"), "id", "left")
+    placed = stored(placed.select("centre", "id", "size", own.alias("component"), (own != F.col("hub")).alias("stray")))
+    parallel = crowd.sparkSession.sparkContext.defaultParallelism
+    most = min(MOST_TEXTS, max(LEAST_TEXTS, placed.count() // (4 * parallel)))
+    parts = lambda of: F.greatest(F.ceil(F.count_if(of) / most), F.ceil(F.sum(F.when(of, F.col("size"))) / MOST_SHINGLES)).cast("int")
+    crowds = placed.groupBy("centre").agg(parts(F.lit(True)).alias("of_all"), parts(F.col("stray")).alias("of_strays")).where("of_strays > 0")
+    placed = spread_join(placed, crowds, "centre")
+    at = lambda of: F.pmod(F.xxhash64("id"), of).cast("int")
+    meets = lambda one, of, place: F.transform(F.sequence(F.lit(0), F.col(of) - 1), lambda k: F.struct(F.lit(one).alias("one"), *(c.alias(n) for c, n in zip(place(k), "ij"))))
+    as_stray, as_other = meets(True, "of_all", lambda j: (at("of_strays"), j)), meets(False, "of_strays", lambda i: (i, at("of_all")))
+    met = placed.join(shingled(perhaps(texts, F.col("doc_id"), placed.select("id")), shingle), "id")
+    met = met.select("centre", "component", F.to_json(F.struct("component")).alias("name"), "shingles", F.explode(F.when(F.col("stray"), F.concat(as_stray, as_other)).otherwise(as_other)).alias("m"))
+    kind = crowd.schema["id"].dataType.simpleString()
+
+    def compare(table: pa.Table) -> pa.Table:
+        names = table["name"].combine_chunks().dictionary_encode()
+        code, row = names.indices.to_numpy(), np.zeros(len(names.dictionary), np.int64)
+        row[code] = np.arange(len(code))
+        lists = table["shingles"].combine_chunks()
+        size = np.diff(lists.offsets.to_numpy())
+        known, term = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        every, one = Vectors(size, term, np.ones(len(term)), len(known)), table["one"].to_numpy()
+        x, y = np.flatnonzero(one), np.flatnonzero(~one)
+        root = np.arange(len(row))
+        for start, common in scores(every.part(x), every.part(y)):
+            mine = x[start : start + len(common)]
+            common = common.astype(np.float64)
+            a, b = np.nonzero(common / (size[mine][:, None] + size[y] - common) >= similarity)
+            root = least_reachable(root[code[mine[a]]], root[code[y[b]]], len(row))[root]
+        joined = np.flatnonzero(root != np.arange(len(row)))
+        named = lambda of: table["component"].take(pa.array(row[of]))
+        return pa.table([named(root[joined]), named(joined)], ["a", "b"])
+
+    met = met.select("centre", "m.*", "component", "name", "shingles").repartition(8 * parallel, "centre", "i", "j")
+    return met.groupBy("centre", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}")
+
+
 def print_pairs(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """a, b: the texts of these ids (doc_id) that SimHash links: those of one fingerprint, and the first ones of near fingerprints."""
     prints = stored(simhash(texts).join(ids, "doc_id", "left_semi"))
@@ -289,13 +350,13 @@ def linked(texts: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame
     crowded = members.where(F.col("n") > PAIRED)
     weight = crowded.groupBy("id").agg(F.sum("n").alias("weight"))
     centres = stored(block_centres(crowded.select("key", "id").join(weight, "id")))
-    stars = crowded.select("key", "id").join(centres, "key").where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-    met, far = compared(stars, texts, maps, shingle, similarity)
-    met, near = stored(met), F.col("alike") >= similarity
-    starred = met.select("a", "b", (1 - F.col("alike")).alias("near"), (1 - F.col("alike")).alias("far")).union(far.select("a", "b", 1 - F.col("most"), F.lit(1.0)))
-    found = twins.union(printed).union(compared(pairs, texts, maps, shingle, similarity)[0].where(near).select("a", "b")).union(met.where(near).select("a", "b"))
+    crowd = stored(crowded.select("key", "id", "size").join(centres, "key").select("centre", "id", "size").distinct())
+    stars = crowd.where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+    near = F.col("alike") >= similarity
+    met = compared(stars, texts, maps, shingle, similarity)[0].where(near).select("a", "b")
+    found = twins.union(printed).union(compared(pairs, texts, maps, shingle, similarity)[0].where(near).select("a", "b")).union(met)
     nodes = stored(connected_components(found))
-    late = stored(compared(stray_pairs(crowded, centres, starred, nodes, similarity), texts, maps, shingle, similarity)[0].where(near).select("a", "b"))
+    late = stored(stray_links(crowd, texts, nodes, shingle, similarity))
     if late.limit(1).count():
         nodes = connected_components(nodes.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late))
     return nodes.select(F.col("node").alias("doc"), "component"), repeated

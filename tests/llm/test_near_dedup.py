@@ -179,3 +179,28 @@ def test_links_take_few_jobs(spark, monkeypatch):
     monkeypatch.setattr(type(edges.write), "parquet", lambda self, *a, **k: written.append(a) or write(self, *a, **k))
     assert connected_components(edges).where("component = 0").count() == 301 and len(written) <= 3
     assert connected_components(edges.where("a > 500")).count() == 0
+
+
+def test_strays_meet_without_a_row_for_a_pair(docs, monkeypatch):
+    """Copies of copies, most too far from the original: pairs that become rows grow with the texts, and components are exact in parts too."""
+    from loamworks.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "LEAST_TEXTS", 50, raising=False)
+    rng, met, compared = random.Random(16), [], near_dedup.compared
+
+    def counted(pairs, *rest):
+        pairs = stored(pairs)
+        met.append(pairs.count())
+        return compared(pairs, *rest)
+
+    monkeypatch.setattr(near_dedup, "compared", counted)
+    group = [[f"w{i}" for i in range(150)]]
+    while len(group) < 400:
+        w = list(rng.choice(group))
+        for i in rng.sample(range(150), rng.randrange(3, 6)):
+            w[i] = f"e{i}"
+        group.append(w)
+    rows = [(d, " ".join(w)) for d, w in enumerate(group)]
+    want = components(rows)
+    assert {r.doc_id: r.component_id for r in near_groups(docs(rows)).collect()} == want and 2 < len(set(want.values()))
+    assert sum(met[3:]) < len(rows)  # after the links by fingerprints, with centres and in small blocks
