@@ -40,8 +40,10 @@ def sentences(c: Column, abbreviations: Iterable[str] = ABBREVIATIONS) -> Column
 
 
 def sentence_lengths(c: Column, abbreviations: Iterable[str] = ABBREVIATIONS) -> Column:
-    """Words of each of the sentences(). The whole text's words become one letter each first, so no sentence is split by itself."""
-    letters = F.regexp_replace(F.regexp_replace(_marked(c, abbreviations), rf"[^\s{END}]+", "w"), r"\s+", "")
+    """Words of each of the sentences(). Two passes over the whole text, one for ends of sentences, one that leaves a letter of
+    each word, so no sentence is split by itself and no full stop is marked."""
+    ended = F.regexp_replace(c, rf"([.!?])(?=\s)(?<!(?<!\p{{L}})(?i:{'|'.join(abbreviations)})\.)\s+", f"$1{END}")
+    letters = F.regexp_replace(ended, rf"([^\s{END}])[^\s{END}]*+\s*+|\s++", "$1")
     return F.filter(F.transform(F.split(letters, END), lambda s: F.length(s).cast("long")), lambda n: n > 0)
 
 
@@ -70,8 +72,9 @@ def ngrams(words: Column, n: int) -> Column:
     return F.transform(F.filter(moved, lambda z: z[f"w{n - 1}"].isNotNull()), lambda z: F.concat_ws(" ", *(z[f"w{k}"] for k in range(n))))
 
 
-def contractions(c: Column) -> Column:
-    lower = F.lower(c)
+def contractions(c: Column, lower: Column | None = None) -> Column:
+    """lower: the text in lower case, where a caller has it; else it's made here (as in phrase_count() and matched_phrases())."""
+    lower = F.lower(c) if lower is None else lower
     found = F.regexp_count(lower, F.lit(r"(?<=[a-z])'(?:t|s|re|ve|ll|d|m)\b"))
     return F.when(F.contains(lower, F.lit("'")), found).when(lower.isNotNull(), F.lit(0)).cast("long")
 
@@ -104,14 +107,14 @@ def may_have(lower: Column, phrase: str) -> Column:
     return F.contains(lower, F.lit(max(phrase.lower().split(), key=len)))
 
 
-def phrase_count(c: Column, phrase: str) -> Column:
-    lower = F.lower(c)
+def phrase_count(c: Column, phrase: str, lower: Column | None = None) -> Column:
+    lower = F.lower(c) if lower is None else lower
     return F.when(may_have(lower, phrase), F.regexp_count(lower, F.lit(phrase_pattern(phrase)))).when(lower.isNotNull(), F.lit(0)).cast("long")
 
 
-def matched_phrases(c: Column, phrases: Iterable[str]) -> Column:
+def matched_phrases(c: Column, phrases: Iterable[str], lower: Column | None = None) -> Column:
     """The phrases that a text has, in the order of the list."""
-    lower = F.lower(c)
+    lower = F.lower(c) if lower is None else lower
     return F.array_compact(F.array(*(F.when(may_have(lower, p) & lower.rlike(phrase_pattern(p)), F.lit(p)) for p in phrases), F.lit(None).cast("string")))
 
 

@@ -34,9 +34,11 @@ class Rules:
 def signals(df: DataFrame, rules: Rules, text: str = "text") -> DataFrame:
     """The columns of df and what the rules look at: counts, sentence rhythm, matched phrases."""
     t = F.col(text)
-    lengths = T.sentence_lengths(t)
-    out = df.withColumns({"n_words": T.word_count(t), "lengths": lengths, "em_dash": T.occurrences(t, "—"), "contractions": T.contractions(t), "expandable": sum((T.phrase_count(t, p) for p in rules.expandable), F.lit(0))})
-    out = out.withColumns({f"matched_{name}": T.matched_phrases(t, phrases) for name, _, phrases in rules.phrase_rules})
+    # A column of its own: a lambda's argument isn't shared, so array_compact() would make the lower case again for each phrase.
+    lower = F.col("__lower")
+    out = df.withColumn("__lower", F.lower(t))
+    out = out.withColumns({"n_words": T.word_count(t), "lengths": T.sentence_lengths(t), "em_dash": T.occurrences(t, "—"), "contractions": T.contractions(t, lower), "expandable": sum((T.phrase_count(t, p, lower) for p in rules.expandable), F.lit(0))})
+    out = out.withColumns({f"matched_{name}": T.matched_phrases(t, phrases, lower) for name, _, phrases in rules.phrase_rules}).drop("__lower")
     n = F.size("lengths").cast("long")
     mean = F.coalesce(F.try_divide(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x), n), F.lit(0.0))
     out = out.withColumns({"n_sentences": n, "sentence_len_mean": mean})

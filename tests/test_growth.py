@@ -150,3 +150,15 @@ def test_rewrites_look_only_in_texts_that_have_the_words(spark):
     out = df.select(T.rewritten(F.col("t"), {"purchase": "buy", "terminate": "end"}, ("accordingly",), ("of the",)).alias("t"))
     assert [r.t for r in out.collect()] == ["Buy it, so TERMINATE.", "end x; Accordingly, y. z", "none", "", None, "endx"]
     assert out._jdf.queryExecution().optimizedPlan().toString().lower().count("contains(") == 7
+
+
+def test_texts_are_lowered_once(spark):
+    """A lambda's argument isn't shared: each phrase made the lower case of the whole text again."""
+    plan = corpus.score_breakdown(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1 and plan.count("regexp_replace(") == 2
+    texts = ["Dr. Who? Mr. X met  Mrs.\nY!\n\n(etc.) no. Amr. b", " \t ", ".\x01 \x01a", "a.b c .", "é. ÀMR. x MR. y"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r.n for r in df.select(T.sentence_lengths(F.col("t")).alias("n")).collect()]
+    assert got == [[2, 5, 2, 1, 1], [], [1, 1], [3], [1, 1, 3]]
+    split = df.select(F.transform(T.sentences(F.col("t")), T.word_count).alias("n"))
+    assert [r.n for r in split.collect()][::2] == got[::2]
