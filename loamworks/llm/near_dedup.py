@@ -5,8 +5,8 @@ shingles. SimHash alone misses texts at the threshold, so an exact join on first
 
 Two sets of shingles whose Jaccard similarity is t or more have one of their first shingles in common, in any order that all
 texts use, if of n shingles the first n - ceil(t n) + 1 are taken. Each text is filed under these; the order puts shingles
-that a sample often has last, so few texts share a block. Lengths and places in the order rule out most other pairs. A block
-with few texts is compared pair by pair. In a crowded one each text is compared with the block's centre first (the text that
+that a sample often has last, and before them those that would crowd a block, so few texts share a block. Lengths and places
+in the order rule out most other pairs. A block with few texts is compared pair by pair. In a crowded one each text is compared with the block's centre first (the text that
 has the most texts in its blocks, as an original has among its copies). Texts that are then in the centre's component need no
 link among each other; the others, the strays, are compared with all texts of the centre's blocks (its crowd). A crowd meets by
 parts, in which a task has the shingles of two parts and multiplies them as sparse vectors: it finds every link exactly, makes no
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +43,8 @@ PAIRED = 16
 SAMPLE_STEP, SAMPLE_ROWS, OFTEN = 16, 16_384, 4
 #: The most shingles whose counts are broadcast (the most frequent ones).
 COUNTED = 1 << 16
+#: Bits of the map of shingles that would crowd a block, however many there are; and how often it is added to, at most.
+CROWD_BITS, CROWD_TURNS = 1 << 26, 2
 #: Hash buckets of ids; a table of those that some ids fall into has no more rows than these, so it may always be broadcast.
 BUCKETS = 1 << 20
 #: Texts of a crowd's part: at most (about), and at least where there are tasks for more parts; and its shingles at most (about).
@@ -64,14 +67,45 @@ def often(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], np.log2(n[order]).astype(np.int8)
 
 
-def first_shingles(hashes: np.ndarray, similarity: float, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Of a text's distinct shingles, in order, those of which two similar texts share one."""
-    keys, level = known
-    at = np.minimum(np.searchsorted(keys, hashes), max(0, len(keys) - 1))
-    rank = np.where(keys[at] == hashes, level[at], -1) if len(keys) else np.zeros(len(hashes), np.int8)
+def first_shingles(hashes: np.ndarray, similarity: float, known: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Of a text's distinct shingles, in order, those of which two similar texts share one. known: those of often(), and crowding()."""
+    keys, level, crowds = known
+    slot = hashes & np.uint64(CROWD_BITS - 1)
+    rank = ((crowds[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(np.int8) - 1
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        rank = np.where(keys[at] == hashes, level[at], rank)
     return hashes[np.lexsort((hashes, rank))[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]]
 
 
+def crowding(texts: DataFrame, shingle: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """often(), and a map of the shingles that would be filed for more than PAIRED texts, which a sample doesn't show.
+
+    Those come after the ones that few texts have, so texts that only share a phrase don't meet in blocks. Where there are more
+    of them than texts, what is filed instead is looked at once more. Shingles that share a bit with one of them come late too,
+    which leaves results the same.
+    """
+    known, total = (*often(texts, shingle), np.zeros(CROWD_BITS // 64, np.uint64)), texts.count()
+    for _ in range(CROWD_TURNS):
+        shared = texts.sparkSession.sparkContext.broadcast(known)
+
+        def each(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
+            found = [first_shingles(np.unique(shingle_hashes(lower_words(t), shingle)), similarity, shared.value) for t in batch.column(0).to_pylist()]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], ["key"])
+
+        filed = texts.select("text").mapInArrow(by_slices(each), "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > PAIRED)
+        slot = F.col("key").bitwiseAND(F.lit(CROWD_BITS - 1))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
+        words = filed.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(bit).alias("bits"), F.sum("n").alias("n")).toArrow()
+        shared.unpersist()
+        crowds = known[2].copy()
+        crowds[words["word"].to_numpy()] |= words["bits"].to_numpy().view(np.uint64)
+        known = (*known[:2], crowds)
+        if (pc.sum(words["n"]).as_py() or 0) <= total:
+            break
+    return known
+
+
 def same_words(words: list[bytes]) -> bytes:
     """128 bits by which texts of the same lower-cased words are known."""
     return xxhash.xxh3_128_digest(b" ".join(words))
@@ -99,7 +133,7 @@ def most_alike(x: bytes, y: bytes) -> float:
 
 def signatures(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """doc_id, same (of same_words()), size (distinct shingles), keys, map (shingle_map()) of each text that has a word."""
-    shared = texts.sparkSession.sparkContext.broadcast(often(texts, shingle))
+    shared = texts.sparkSession.sparkContext.broadcast(crowding(texts, shingle, similarity))
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, same, sizes, keys, maps = [], [], [], [], []

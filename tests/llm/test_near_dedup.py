@@ -204,3 +204,18 @@ def test_strays_meet_without_a_row_for_a_pair(docs, monkeypatch):
     want = components(rows)
     assert {r.doc_id: r.component_id for r in near_groups(docs(rows)).collect()} == want and 2 < len(set(want.values()))
     assert sum(met[3:]) < len(rows)  # after the links by fingerprints, with centres and in small blocks
+
+
+def test_phrases_that_a_sample_misses_crowd_no_block(docs, monkeypatch):
+    """Phrases of some twenty texts are seldom in a sample of one in sixteen; texts that share them still meet in no crowded block."""
+    from loamworks.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "SAMPLE_ROWS", 1)
+    crowds, links = [], near_dedup.stray_links
+    monkeypatch.setattr(near_dedup, "stray_links", lambda crowd, *rest: crowds.append(crowd.count()) or links(crowd, *rest))
+    rng = random.Random(17)
+    phrases = [[f"p{k}-{i}" for i in range(9)] for k in range(75)]
+    texts = [[w for k in rng.sample(range(75), 5) for w in [*phrases[k], *(f"x{rng.random()}" for _ in range(50))]] for _ in range(300)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)] + [(1000 + i, " ".join(texts[i] + ["more"] * i)) for i in range(20)]
+    assert {r.doc_id: r.component_id for r in near_groups(docs(rows)).collect()} == components(rows)
+    assert crowds[0] < len(rows) // 4
