@@ -81,6 +81,21 @@ def test_pairs_met_by_blocks_are_those_of_all_rows(spark, monkeypatch):
     assert sorted(map(tuple, similarity.row_clusters(df, "k", "tokens", 0.6).collect())) == sorted(map(tuple, plain.collect()))
 
 
+def test_near_pairs_move_no_row_for_a_block(spark, monkeypatch):
+    """Blocks are broadcast: a row repeated for each block it meets took disk with the square of the table."""
+    monkeypatch.setattr(grid, "MOST_ROWS", 5)
+    rows = [(i, ["to", "fro"][i % 2] if i % 7 else None, [f"w{i % 4}", f"w{i % 3}", "x"][: 3 - (i == 8)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "k int, target string, tokens array<string>")
+    for found in (similarity.row_pairs(df, "k", "tokens", 0.5), similarity.conflicts(df, "k", "target", "tokens", 0.5)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and not any(x in plan for x in ("Generate", "Repartition", "FlatMapGroups"))
+    plain = similarity.row_pairs(df, "k", "tokens", 0.5).where("shared >= 2")
+    to = lambda c: df.select(F.col("k").alias(c), F.col("target").alias(f"{c}_target"))
+    want = plain.join(to("a"), "a").join(to("b"), "b").where("a_target <> b_target")
+    cut = lambda d: sorted((r.a, r.b, round(r.similarity, 9), r.shared, r.a_target, r.b_target) for r in d.collect())
+    assert cut(similarity.conflicts(df, "k", "target", "tokens", 0.5)) == cut(want) and want.count() > 100
+
+
 def test_best_lines_by_blocks(spark, monkeypatch):
     """A section of many blocks, ties too: the lines are those of a plain count; a task's products give no rows."""
     monkeypatch.setattr(grid, "MOST_LINES", 50)
