@@ -1,6 +1,7 @@
 """Phrase lists of any length in one pass: as the pattern of each phrase counts them, and in time that the list's length doesn't set."""
 
 import random
+import re
 import time
 
 import pytest
@@ -60,3 +61,33 @@ def test_found_phrases_go_out_by_slices(spark, monkeypatch):
     df = spark.range(100).select("id", F.lit("red ring and a red bolt").alias("t")).coalesce(1)
     found = phrases.phrase_matches(df, "id", "t", table(spark, [("x", "red"), ("y", "a red bolt")]))
     assert {tuple(r) for r in found.collect()} == {(i, *x) for i in range(100) for x in (("x", "red", 2), ("y", "a red bolt", 1))}
+
+
+def test_ends_that_are_no_letters():
+    listed = ["-x", "x-", "--", "_a", "a_", "é²", "x"]
+    found = phrases.automaton(listed)
+    plain = lambda t, p: len(re.findall(rf"(?<![^\W_]){re.escape(p)}(?![^\W_])", t))
+    for t in ("-x a-x --x x-- x-x -x-x", "_a a_ _a_ b_a ---- é² aé² x²", "-", "x"):
+        assert phrases.counts_in(t, found) == {k: n for k, p in enumerate(listed) if (n := plain(t, p))}
+
+
+def test_more_phrases_than_an_automaton_holds(spark, monkeypatch):
+    """Very long lists take several passes and are not refused; each phrase is found once, and totals are the same."""
+    monkeypatch.setattr(phrases, "MOST_PHRASES", 7)
+    listed = table(spark, [(f"l{i % 3}", f"w{i}") for i in range(40)] + [("l0", "W1"), ("l2", "w1"), ("l1", "w1 w2"), ("l1", None)])
+    df = spark.createDataFrame([(i, "en" if i % 2 else "de", f"w{i} w1 w2, w{i + 1} w1") for i in range(30)] + [(1, "en", None)], "id int, lang string, t string")
+    got = sorted(map(tuple, phrases.phrase_matches(df, "id", "t", listed).collect()))
+    totals = sorted(map(tuple, phrases.phrase_totals(df, "id", "t", listed, ["lang"]).collect()))
+    monkeypatch.setattr(phrases, "MOST_PHRASES", 1000)
+    assert got == sorted(map(tuple, phrases.phrase_matches(df, "id", "t", listed).collect())) and len(got) > 150
+    want = {}
+    for i, lexicon, _, n in got:
+        want.setdefault(("en" if i % 2 else "de", lexicon), []).append((i, n))
+    assert totals == sorted((*k, sum(n for _, n in v), len({i for i, _ in v})) for k, v in want.items())
+
+
+def test_hundreds_of_thousands_of_phrases(spark):
+    """They were refused: openings of some hundred thousand conversations are as many phrases."""
+    listed = spark.range(200_001).select(F.lit("x").alias("lexicon"), F.concat(F.lit("p"), "id").alias("phrase"))
+    df = spark.createDataFrame([(1, "en", "P1 p200000 p200001, p5 p5"), (2, "de", "none")], "id int, lang string, t string")
+    assert [tuple(r) for r in phrases.phrase_totals(df, "id", "t", listed, ["lang"]).collect()] == [("en", "x", 4, 1)]
